@@ -33,9 +33,9 @@ RADIUS = 2
 SPLIT_OVER = 2000
 
 
-def fingerprint(text: str | None) -> int:
+def fingerprint(text: bytes | None) -> int:
     """SimHash over 3-word shingles, repeats included; fewer words: the whole sequence; none: zero."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z alone fold, six blanks alone split
+    words = (text or b"").lower().split()  # bytes: A-Z alone fold, six blanks alone split
     if not words:
         return 0
     digest = xxhash.xxh64_intdigest
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.fromiter((fingerprint(x.as_py()) for x in batch.column("text")), np.uint64, batch.num_rows)
             yield pa.record_batch({"id": batch.column("id"), "fp": pa.array(fp.view(np.int64), pa.int64())})
 
-    src = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    src = docs.select(docs[id_col].alias("id"), docs[text_col].cast("binary").alias("text"))
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, fp long")
 
 
