@@ -27,24 +27,24 @@ from therascape.llm.common import table
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how this vocabulary's text is split before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-_made: dict[int, tuple] = {}
+_made: dict[str, tuple] = {}
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
 
 
-def _encoder(sent) -> tuple:
+def _encoder(key: str, sent) -> tuple:
     """The encoding and its tokens' lengths, made once in a worker."""
-    if sent.id not in _made:
+    if key not in _made:
         import tiktoken
 
         ranks = sent.value
         lengths = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
         for token, k in ranks.items():
             lengths[k] = len(token)
-        _made[sent.id] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), lengths
-    return _made[sent.id]
+        _made[key] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), lengths
+    return _made[key]
 
 
 def section_ends(text: bytes) -> np.ndarray:
@@ -74,7 +74,7 @@ def counted(docs: DataFrame, vocabulary: str = VOCABULARY, rule: str = "first",
     sent = docs.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, lengths = _encoder(sent)
+        encoding, lengths = _encoder(vocabulary, sent)
         for batch in batches:
             counts, sections = [], []
             for x in batch.column("text"):
