@@ -1,4 +1,235 @@
 """All queries of the library, by name, with their SQL twins."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from therascape.functions import text as X
+from therascape.operators import aggregates as A
+from therascape.operators import links as K
+from therascape.operators.filters import LiteratureFilter, ProgramFilter
+from therascape.plans.bridge import LITERATURE_SQL, PROGRAMS_SQL, literature, programs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None, raw: bool = False):
+    """Register a query; its SQL may use the views p (programs) and l (literature) unless it is raw."""
+
+    def put(f):
+        QUERIES[name] = f
+        if sql is not None:
+            uses = [v for v, word in ((PROGRAMS_SQL, " p"), (LITERATURE_SQL, " l")) if f"FROM{word}" in sql or f"JOIN{word}" in sql]
+            ORACLE_SQL[name] = sql if raw else "WITH " + ",\n".join(uses) + ("," if sql.lstrip().startswith(",") else "\n") + sql.lstrip().removeprefix(",")
+        return f
+
+    return put
+
+
+def top_n_sql(counted: str, n: int) -> str:
+    return f""", c AS ({counted}), r AS (SELECT name, "count", row_number() OVER (ORDER BY "count" DESC, name) rn FROM c)
+SELECT CAST(rn AS INTEGER) AS rank, name, CAST("count" AS BIGINT) AS "count", false AS is_other FROM r WHERE rn <= {n}
+UNION ALL SELECT {n} + 1, 'Other (' || count(*) || ')', CAST(sum("count") AS BIGINT), true FROM r WHERE rn > {n} HAVING sum("count") > 0"""
+
+
+def _scalar_top(column: str):
+    return lambda spark, d: A.top_n_other(A.counts(programs(spark, d), F.col(column)), 10)
+
+
+query("agg_01_top_n_other_drug", top_n_sql('SELECT drug_name AS name, count(*) AS "count" FROM p GROUP BY 1', 10))(_scalar_top("drug_name"))
+query("qry_01_company_top_n", top_n_sql('SELECT company_normalized AS name, count(*) AS "count" FROM p WHERE company_normalized IS NOT NULL GROUP BY 1', 10))(
+    lambda spark, d: A.top_n_other(A.counts(programs(spark, d).where("company_normalized is not null"), F.col("company_normalized")), 10)
+)
+query("agg_02_company_with_unknown", top_n_sql("SELECT coalesce(nullif(company_normalized, ''), 'Unknown') AS name, count(*) AS \"count\" FROM p GROUP BY 1", 10))(_scalar_top("company_normalized"))
+query("qry_02_target_top_n", top_n_sql('SELECT target AS name, count(*) AS "count" FROM p GROUP BY 1', 10))(_scalar_top("target"))
+query("agg_18_modality_counts", 'SELECT modality AS name, count(*) AS "count" FROM p GROUP BY 1')(lambda spark, d: A.counts(programs(spark, d), F.col("modality")))
+query("agg_17_status_counts", 'SELECT overall_status AS name, count(*) AS "count" FROM p GROUP BY 1')(lambda spark, d: A.counts(programs(spark, d), F.col("overall_status")))
+query("agg_19_biomarker_counts", 'SELECT name, count(*) AS "count" FROM (SELECT unnest(biomarkers) AS name FROM p) GROUP BY 1')(lambda spark, d: A.element_counts(programs(spark, d), F.col("biomarkers")))
+query("agg_22_distinct_by_frequency", 'SELECT drug_name AS name, count(*) AS "count", row_number() OVER (ORDER BY count(*) DESC, drug_name) AS rank FROM p GROUP BY 1')(
+    lambda spark, d: A.counts(programs(spark, d), F.col("drug_name")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("count"), "name")).cast("long"))
+)
+
+STATUSES = ["RECRUITING", "COMPLETED", "TERMINATED", "UNKNOWN"]
+query(
+    "agg_05_phase_by_status",
+    ", e AS (SELECT unnest(string_split(phase, '/')) AS phase, overall_status s FROM p) SELECT phase, count(*) AS total, " + ", ".join(f"count(*) FILTER (s = '{s}') AS \"{s}\"" for s in STATUSES) + " FROM e GROUP BY 1",
+)(lambda spark, d: A.phase_by_status(programs(spark, d), STATUSES))
+query("agg_20_program_summary", "SELECT count(*) AS total, count(DISTINCT company) AS companies, count(DISTINCT cancer_category) AS cancers, CAST(floor(count(*) FILTER (len(biomarkers) > 0) * 100.0 / count(*) + 0.5) AS BIGINT) AS biomarker_pct FROM p")(
+    lambda spark, d: A.program_summary(programs(spark, d))
+)
+SOURCES = ["src0", "src1", "src2"]
+query("agg_06_year_by_conference", 'SELECT "year", ' + ", ".join(f"count(*) FILTER (conference = '{s}') AS {s}" for s in SOURCES) + ', count(*) AS total FROM l GROUP BY 1')(lambda spark, d: A.year_by_key(literature(spark, d), "conference", SOURCES))
+query("agg_11_by_year", 'SELECT "year", count(*) AS n FROM l GROUP BY 1')(lambda spark, d: literature(spark, d).groupBy("year").agg(F.count("*").alias("n")))
+query("agg_33_manifest", 'SELECT conference, "year", count(*) AS n FROM l GROUP BY 1, 2')(lambda spark, d: literature(spark, d).groupBy("conference", "year").agg(F.count("*").alias("n")))
+query("agg_09_modality_elements", top_n_sql('SELECT name, count(*) AS "count" FROM (SELECT unnest(modality_list) AS name FROM l) GROUP BY 1', 3))(lambda spark, d: A.top_n_other(A.element_counts(literature(spark, d), F.col("modality_list")), 3))
+query("agg_13_country_elements", top_n_sql('SELECT name, count(*) AS "count" FROM (SELECT unnest(countries) AS name FROM l) GROUP BY 1', 8))(lambda spark, d: A.top_n_other(A.element_counts(literature(spark, d), F.col("countries")), 8))
+query(
+    "agg_12_trend",
+    """, e AS (SELECT uid, "year", unnest(modality_list) AS name FROM l), k AS (SELECT name FROM e GROUP BY 1 ORDER BY count(*) DESC, name LIMIT 4),
+g AS (SELECT * FROM (SELECT DISTINCT "year" FROM l) y, k), s AS (SELECT "year", name, count(DISTINCT uid) n FROM e GROUP BY 1, 2)
+SELECT g."year", g.name, coalesce(n, 0) AS "count" FROM g LEFT JOIN s ON g."year" = s."year" AND g.name = s.name""",
+)(lambda spark, d: A.trend(literature(spark, d), "modality_list", 4))
+query("agg_37_author_counts", "SELECT author, count(*) AS n FROM l GROUP BY 1 HAVING count(*) >= 2")(lambda spark, d: K.author_counts(literature(spark, d)))
+query("agg_34_trial_index", 'SELECT nct_id, count(*) AS n, min("year") AS first_year, max("year") AS last_year FROM l GROUP BY 1')(lambda spark, d: K.trial_index(literature(spark, d)))
+
+
+def _preclinical(spark: SparkSession, d: str) -> DataFrame:
+    """A target's drugs as mentioned by supply: a part's brand and name."""
+    part = spark.read.parquet(f"{d}/part.parquet")
+    return part.where("p_size > 10").select(F.col("p_brand").alias("target"), F.col("p_name").alias("drug"))
+
+
+_PB = "CASE phase WHEN 'EARLY_PHASE1' THEN 'P1' WHEN 'PHASE1' THEN 'P1' WHEN 'PHASE1/PHASE2' THEN 'P1/2' WHEN 'PHASE2' THEN 'P2' WHEN 'PHASE2/PHASE3' THEN 'P2/3' WHEN 'PHASE3' THEN 'P3' WHEN 'PHASE4' THEN 'P4' ELSE 'NA' END"
+_SB = "CASE overall_status WHEN 'RECRUITING' THEN 'ongoing' WHEN 'COMPLETED' THEN 'completed' WHEN 'TERMINATED' THEN 'stopped' ELSE 'unknown' END"
+_IDX = "CASE pb WHEN 'P1' THEN 1 WHEN 'P1/2' THEN 2 WHEN 'P2' THEN 3 WHEN 'P2/3' THEN 4 WHEN 'P3' THEN 5 WHEN 'P4' THEN 6 ELSE 0 END"
+
+
+def _maturity_sql(rows: str, before: str) -> str:
+    cell = lambda p, s: f"{p.replace('/', '_').lower()}_{s}"
+    cells = [f"count(*) FILTER (pb = '{p}' AND sb = '{s}') AS {cell(p, s)}" for p in A.CLINICAL for s in ("ongoing", "completed", "stopped")]
+    cells += [f"count(*) FILTER (pb = '{p}') AS {cell(p, 'total')}" for p in A.CLINICAL]
+    names = [c.split(" AS ")[1] for c in cells]
+    out = ", ".join(f"CAST(coalesce({n}, 0) AS BIGINT) AS {n}" for n in names)
+    return f""", e AS ({rows}), b AS (SELECT target, {_PB} AS pb, {_SB} AS sb FROM e WHERE target <> 'Unknown'),
+c AS (SELECT target, {", ".join(cells)}, count(*) AS ct, max({_IDX}) AS ix FROM b WHERE pb <> 'NA' GROUP BY 1), z AS ({before})
+SELECT coalesce(c.target, z.target) AS target, {out}, CAST(coalesce(ct, 0) AS BIGINT) AS clinical_total, CAST(coalesce(pre, 0) AS BIGINT) AS preclinical,
+CAST(coalesce(ct, 0) + coalesce(pre, 0) AS BIGINT) AS total_activity,
+CASE WHEN ix > 0 THEN ['P1', 'P1/2', 'P2', 'P2/3', 'P3', 'P4'][ix] WHEN pre > 0 THEN 'Preclinical' ELSE 'NA' END AS max_phase
+FROM c FULL JOIN z ON c.target = z.target"""
+
+
+_PRE = "SELECT p_brand AS target, count(DISTINCT lower(p_name)) AS pre FROM part WHERE p_size > 10 GROUP BY 1"
+query("qry_12_target_maturity", _maturity_sql("SELECT target, phase, overall_status FROM p", _PRE))(lambda spark, d: A.maturity_matrix(programs(spark, d), _preclinical(spark, d), F.col("target")))
+query("agg_28_biomarker_maturity", _maturity_sql("SELECT unnest(biomarkers) AS target, phase, overall_status FROM p", "SELECT '' AS target, 0 AS pre WHERE false"))(
+    lambda spark, d: A.maturity_matrix(programs(spark, d).withColumn("bm", F.explode("biomarkers")), _preclinical(spark, d).where("false"), F.col("bm"))
+)
+query(
+    "qry_14_target_opportunity",
+    f""", b AS (SELECT target, CAST(left(start_date, 4) AS INTEGER) AS y, 1 AS clin, {_PB} AS pb, {_SB} AS sb FROM p),
+ev AS (SELECT target, y, clin, CASE pb WHEN 'P1' THEN 10 WHEN 'P1/2' THEN 15 WHEN 'P2' THEN 20 WHEN 'P2/3' THEN 25 WHEN 'P3' THEN 30 WHEN 'P4' THEN 40 END *
+  CASE sb WHEN 'ongoing' THEN 100 WHEN 'completed' THEN 115 WHEN 'stopped' THEN 50 ELSE 90 END AS w, {_IDX} AS ix FROM b
+  UNION ALL SELECT unnest(target_list), "year", 0, NULL, 0 FROM l),
+f AS (SELECT * FROM ev WHERE target NOT IN ('Unknown', 'DNA', 'RNA', 'N/A', 'NONE', '-', '')), m AS (SELECT max(y) AS my FROM f),
+a AS (SELECT target, count(*) AS size_total, CAST(sum(clin) AS BIGINT) AS clinical_total, count(*) FILTER (y IN (my, my - 1)) AS recent, count(*) FILTER (y IN (my - 4, my - 3)) AS early,
+  any_value(my) - max(y) AS years_stale, sum(w) AS w, max(ix) AS ix, sum(pow(0.5e0, (my - y) / 2e0)) AS dec, count(y) AS dated FROM f, m GROUP BY 1),
+o AS (SELECT target, size_total, clinical_total, recent, early, floor((recent + 1e0) / (early + 1e0) * 100e0 + 0.5e0) / 100e0 AS growth_ratio, CAST(coalesce(years_stale, 999) AS INTEGER) AS years_stale,
+  CASE WHEN w IS NOT NULL THEN floor(w / 100e0 + 0.5e0) / 10e0 WHEN size_total > clinical_total THEN 0.3e0 ELSE 0e0 END AS clin_maturity,
+  CASE WHEN ix > 0 THEN ['P1', 'P1/2', 'P2', 'P2/3', 'P3', 'P4'][ix] WHEN size_total > clinical_total THEN 'Preclinical' ELSE 'NA' END AS max_phase,
+  floor(dec / (dated + 5e0) * 1000e0 + 0.5e0) / 1000e0 AS recency FROM a)
+SELECT *, recent >= 4 AND growth_ratio >= 1.3e0 AND clin_maturity <= 5e0 AS emerging FROM o""",
+)(lambda spark, d: A.opportunity_rows(programs(spark, d), literature(spark, d)))
+
+
+def _filtered(f: ProgramFilter):
+    return lambda spark, d: programs(spark, d).where(f.column()).groupBy("cancer_category").agg(F.count("*").alias("n"), F.count_distinct("drug_name").alias("drugs"))
+
+
+def _flt(name: str, where: str, f: ProgramFilter) -> None:
+    query(name, f"SELECT cancer_category, count(*) AS n, count(DISTINCT drug_name) AS drugs FROM p WHERE {where} GROUP BY 1")(_filtered(f))
+
+
+_flt("flt_01_company", "company_normalized IN ('Supplier#000000001', 'Supplier#000000003')", ProgramFilter(companies=["Supplier#000000001", "Supplier#000000003"]))
+_flt("flt_02_drug", "drug_name IN ('small ring')", ProgramFilter(drugs=["small ring"]))
+_flt("flt_03_cancer", "cancer_category IN ('HOUSEHOLD', 'MACHINERY')", ProgramFilter(cancers=["HOUSEHOLD", "MACHINERY"]))
+_flt("flt_04_modality", "modality = 'ECONOMY'", ProgramFilter(modalities=["ECONOMY"]))
+_flt("flt_05_target", "target IN ('Brand#2', 'Brand#7')", ProgramFilter(targets=["Brand#2", "Brand#7"]))
+_flt("flt_06_biomarker", "list_has_any(biomarkers, ['BM2', 'BM6'])", ProgramFilter(biomarkers=["BM2", "BM6"]))
+_flt("flt_07_status", "overall_status = 'RECRUITING'", ProgramFilter(statuses=["RECRUITING"]))
+_flt("flt_08_phase", "list_has_any(string_split(phase, '/'), ['PHASE2'])", ProgramFilter(phases=["PHASE2"]))
+_flt("flt_10_regimen", "is_combination", ProgramFilter(regimen="combo"))
+_flt("flt_11_needs_review", "target = 'Unknown'", ProgramFilter(needs_review=True))
+_flt("flt_12_oncology_only", "coalesce(is_oncology, true)", ProgramFilter(oncology_only=True))
+_flt("flt_13_start_years", "CAST(left(start_date, 4) AS INTEGER) BETWEEN 1997 AND 1999", ProgramFilter(start_years=(1997, 1999)))
+_flt("flt_14_completion_years", "CAST(left(completion_date, 4) AS INTEGER) >= 2000", ProgramFilter(completion_years=(2000, None)))
+_flt("flt_15_keyword", "lower(concat_ws(' ', drug_name, company, cancer_category, modality, target, overall_status, phase, nct_id, array_to_string(biomarkers, ' '))) LIKE '%ring supp%'", ProgramFilter(keyword="Ring Supp"))
+
+
+def _lit(name: str, where: str, f: LiteratureFilter) -> None:
+    query(name, f"SELECT conference, count(*) AS n FROM l WHERE {where} GROUP BY 1")(lambda spark, d: literature(spark, d).where(f.column()).groupBy("conference").agg(F.count("*").alias("n")))
+
+
+_lit("flt_20_hide_embargoed", "status <> 'embargoed'", LiteratureFilter())
+_lit("flt_21_conference", "status <> 'embargoed' AND conference IN ('src1', 'src4')", LiteratureFilter(conferences=["src1", "src4"]))
+_lit("flt_22_year", '"year" IN (2019, 2021)', LiteratureFilter(years=[2019, 2021], show_embargoed=True))
+_lit("flt_24_modality", "list_contains(modality_list, 'M4')", LiteratureFilter(modalities=["M4"], show_embargoed=True))
+_lit("flt_26_country", "list_has_any(countries, ['NATION_4', 'NATION_5'])", LiteratureFilter(countries=["NATION_4", "NATION_5"], show_embargoed=True))
+_lit("flt_28_target", "list_contains(target_list, 'Brand#3')", LiteratureFilter(targets=["Brand#3"], show_embargoed=True))
+_lit("flt_33_author", "author = 'Author 7'", LiteratureFilter(author="Author 7", show_embargoed=True))
+_lit("flt_34_trial", "nct_id = 'NCT00000042'", LiteratureFilter(nct_id="NCT00000042", show_embargoed=True))
+
+query("j_09_shared_trials", "SELECT DISTINCT drug_name, uid FROM p JOIN l ON p.nct_id = l.nct_id")(lambda spark, d: K.shared_trials(programs(spark, d), literature(spark, d)))
+query(
+    "agg_38_drug_links",
+    """, k AS (SELECT DISTINCT drug_name, uid, "year" FROM p JOIN l ON p.nct_id = l.nct_id), r AS (SELECT drug_name, uid, row_number() OVER (PARTITION BY drug_name ORDER BY "year" DESC, uid) AS rank, count(*) OVER (PARTITION BY drug_name) AS total FROM k)
+SELECT drug_name, CAST(rank AS INTEGER) AS rank, uid, total FROM r WHERE rank <= 15""",
+)(lambda spark, d: K.top_links(K.shared_trials(programs(spark, d), literature(spark, d)), literature(spark, d)))
+query("j_13_new_trials", "SELECT DISTINCT nct_id FROM p WHERE nct_id NOT IN (SELECT nct_id FROM l)")(lambda spark, d: K.missing_from(programs(spark, d).select("nct_id").distinct(), literature(spark, d), "nct_id"))
+query(
+    "agg_40_dedup_representative",
+    """, r AS (SELECT *, row_number() OVER (PARTITION BY drug_name, company, phase ORDER BY completion_date DESC, nct_id DESC, overall_status DESC) AS rn FROM p),
+g AS (SELECT drug_name, company, phase, list_sort(list(DISTINCT nct_id)) AS ids, count(*) AS n FROM p GROUP BY 1, 2, 3)
+SELECT r.drug_name, r.company, r.phase, completion_date, nct_id, overall_status, array_to_string(ids, ',') AS nct_ids, n FROM r JOIN g ON r.drug_name = g.drug_name AND r.company = g.company AND r.phase = g.phase WHERE rn = 1""",
+)(lambda spark, d: A.representatives(programs(spark, d), ["drug_name", "company", "phase"], "completion_date", ["nct_id", "overall_status"]).withColumn("nct_ids", F.array_join("nct_ids", ",")))
+query(
+    "agg_36_new_and_updated",
+    "SELECT count(DISTINCT nct_id) FILTER (start_date >= '2001-06-01') AS new_trials, count(DISTINCT nct_id) FILTER (completion_date >= '2001-06-01' AND start_date < '2001-06-01') AS updated_trials FROM p",
+)(lambda spark, d: programs(spark, d).agg(F.count_distinct(F.when(F.col("start_date") >= "2001-06-01", F.col("nct_id"))).alias("new_trials"), F.count_distinct(F.when((F.col("completion_date") >= "2001-06-01") & (F.col("start_date") < "2001-06-01"), F.col("nct_id"))).alias("updated_trials")))
+
+
+def _merge(spark: SparkSession, d: str) -> DataFrame:
+    value, action = K.gated_merge(F.col("target"), F.concat(F.lit("Brand#"), (F.length("drug_name") % 9).cast("string")), (F.length("company") + F.length("drug_name")) % 40 / 39.0)
+    return programs(spark, d).select(value.alias("merged"), action.alias("action")).groupBy("merged", "action").agg(F.count("*").alias("n"))
+
+
+query(
+    "mrg_01_gated_merge",
+    """, m AS (SELECT target, 'Brand#' || (length(drug_name) % 9) AS model, ((length(company) + length(drug_name)) % 40) / 39e0 AS c FROM p)
+SELECT CASE WHEN (target = 'Unknown' AND c >= 0.6) OR (target <> 'Unknown' AND target <> model AND c >= 0.85) THEN model ELSE target END AS merged,
+CASE WHEN target = 'Unknown' AND c >= 0.6 THEN 'filled' WHEN target <> 'Unknown' AND target <> model AND c >= 0.85 THEN 'adopted' WHEN target <> 'Unknown' AND target <> model AND c >= 0.8 THEN 'flagged' ELSE 'kept' END AS action,
+count(*) AS n FROM m GROUP BY 1, 2""",
+)(_merge)
+query(
+    "scl_s18_strip_markup",
+    r"""SELECT page_id, length(t) AS n, md5(t) AS digest FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?s)<jats:title>.*?</jats:title>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS t FROM pages)""",
+    raw=True,
+)(lambda spark, d: spark.read.parquet(f"{d}/pages.parquet").select("page_id", X.strip_markup(F.col("html")).alias("t")).select("page_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("digest")))
+query("scl_s27_token_key", "SELECT regexp_replace(lower(p_brand || ' ' || p_name), '[^a-z0-9]', '', 'g') AS k, count(*) AS n FROM part GROUP BY 1", raw=True)(
+    lambda spark, d: spark.read.parquet(f"{d}/part.parquet").groupBy(X.token_key(F.concat_ws(" ", "p_brand", "p_name")).alias("k")).agg(F.count("*").alias("n"))
+)
+query("scl_h01_digest_id", "SELECT p_partkey, left(sha1(p_name || '::' || p_brand), 16) AS id FROM part", raw=True)(lambda spark, d: spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.left(F.sha1(F.concat_ws("::", "p_name", "p_brand")), F.lit(16)).alias("id")))
+query("scl_j01_json_props", "SELECT CAST(json_extract(props, '$.k') AS INTEGER) AS k, count(*) AS n FROM events GROUP BY 1", raw=True)(
+    lambda spark, d: spark.read.parquet(f"{d}/events.parquet").groupBy(F.from_json("props", "k int")["k"].alias("k")).agg(F.count("*").alias("n"))
+)
+query("str_02_daily_window", "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2", raw=True)(
+    lambda spark, d: spark.read.parquet(f"{d}/events.parquet").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"))
+)
+
+_TEXTS = [
+    "A phase 2 trial of trastuzumab deruxtecan (DXd) in HER2-positive breast cancer NCT01234567",
+    "Pembrolizumab plus lenvatinib for hepatocellular carcinoma, NCT00000001 and NCT00000001",
+    "CAR-T targeting CD19 in B-cell lymphoma; tumor mutational burden (TMB) as biomarker",
+    "Until we met, all was well",
+    "",
+]
+_TAGS = [
+    (0, "ADC", "HER2", "HER2", "Breast", "NCT01234567"),
+    (1, "Monoclonal Antibody", "PD-1", "", "Liver", "NCT00000001"),
+    (2, "CAR-T", "CD19", "tumor mutational burden,biomarker,TMB", "Hematologic", ""),
+    (3, "Cell Therapy", "MET", "MET", "Hematologic", ""),
+    (4, "Unknown", "Unknown", "", "Other", ""),
+]
+
+
+def _tags(spark: SparkSession, d: str) -> DataFrame:
+    """Tagging of fixed texts with known answers."""
+    df = spark.createDataFrame(list(enumerate(_TEXTS)), "id int, t string")
+    t = F.col("t")
+    return df.select("id", X.modality(t).alias("modality"), X.target(t).alias("target"), F.array_join(X.biomarkers(t), ",").alias("biomarkers"), X.cancer_category(t).alias("cancer"), F.array_join(X.trial_ids(t), ",").alias("trials"))
+
+
+query("scl_s03_text_tags", "SELECT * FROM (VALUES " + ", ".join(map(str, _TAGS)) + ") t(id, modality, target, biomarkers, cancer, trials)", raw=True)(_tags)
