@@ -14,18 +14,17 @@ SIZE = 1 << BITS
 _SHAPE = bytes(0x61 if 0x61 <= c <= 0x7A or c >= 0x80 else 0x41 if 0x41 <= c <= 0x5A else 0x30 if 0x30 <= c <= 0x39 else c for c in range(256))
 
 
-def word_slots(text: bytes | None, bigrams: bool = True, shapes: bool = True) -> np.ndarray:
+def word_slots(text: bytes | None, bits: int = BITS) -> np.ndarray:
     """Sorted distinct slots of a text's word unigrams, word bigrams and word-end shapes."""
     words = (text or b"").split()
     if not words:
         return np.zeros(0, np.int64)
-    ends = {w[-3:].translate(_SHAPE) for w in set(words)} if shapes else ()
+    ends = {w[-3:].translate(_SHAPE) for w in set(words)}
     words = [w.lower() for w in words]
     found = {crc32(w) for w in set(words)}
     found.update(crc32(b"\x01" + x) for x in ends)
-    if bigrams:
-        found.update(crc32(b"%b %b" % x) for x in set(zip(words, words[1:])))
-    return np.unique(np.fromiter(found, np.int64, len(found)) & (SIZE - 1))
+    found.update(crc32(b"%b %b" % x) for x in set(zip(words, words[1:])))
+    return np.unique(np.fromiter(found, np.int64, len(found)) & ((1 << bits) - 1))
 
 
 #: Lengths in bytes of the word beginnings that count as features beside whole words.

@@ -1,6 +1,6 @@
 """Quality classifier: naive Bayes support vectors (operator 5).
 
-Indicators of word unigrams, word bigrams and word-end shapes, hashed to 2**22 slots, are scaled by their class
+Indicators of word unigrams, word bigrams and word-end shapes, hashed to 2**20 slots, are scaled by their class
 log-count ratios; on these a linear hinge-loss model is fitted by dual coordinate descent, and a logistic curve
 fitted on margins of a part left out of the descent turns margins into probabilities.  The fit uses at most
 ``TRAIN_ROWS`` labelled rows outside the held-out fold (a documented bound: feature lists of that many rows reach
@@ -21,15 +21,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from therascape.llm.common import table
-from therascape.llm.features import SIZE, held_out, training_rows, word_slots
+from therascape.llm.features import held_out, training_rows, word_slots
 
 TRAIN_ROWS = 8000
+BITS = 20
+SIZE = 1 << BITS
 THRESHOLD = 0.7
 
 
 def _slot_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        slots = [word_slots(x.as_py()).astype("<i4").tobytes() for x in batch.column("text")]
+        slots = [word_slots(x.as_py(), BITS).astype("<i4").tobytes() for x in batch.column("text")]
         yield pa.record_batch({"y": batch.column("y").cast(pa.int32()), "slots": pa.array(slots, pa.binary())})
 
 
@@ -104,11 +106,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """(row, score) for every input row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**22 weights of four bytes
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**20 weights of four bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = [sent.value.score(word_slots(x.as_py())) for x in batch.column("text")]
+            score = [sent.value.score(word_slots(x.as_py(), BITS)) for x in batch.column("text")]
             yield pa.record_batch({"row": batch.column("row"), "score": pa.array(score, pa.float64())})
 
     src = docs.select(F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("row"), F.col(text_col).cast("binary").alias("text"))
