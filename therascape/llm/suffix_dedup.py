@@ -41,7 +41,7 @@ WIDTH = 200
 #: Perfect difference set of order 11: every nonzero difference modulo 133 occurs once.
 COVER_MOD = 133
 COVER = (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Bytes of names that one bucket holds at most, on average.
 BUCKET_BYTES = 24 << 20
 
