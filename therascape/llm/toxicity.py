@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from therascape.llm.common import table
 from therascape.llm.features import SIZE, held_out, training_rows, word_counts
 
-TRAIN_ROWS = 12000
+TRAIN_ROWS = 8000
 FEATURES = 1024
 #: A feature is at least so many times as common in toxic documents as in others.
 TELLING = 12
@@ -102,7 +102,7 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TRAIN_ROWS) -> Model:
     rows = training_rows(docs, labels, label, most).select("y", "text").mapInArrow(_count_lists, "y int, slots binary, counts binary").collect()
     rows.sort(key=lambda r: (bytes(r["slots"]), bytes(r["counts"]), r["y"]))
-    ints = lambda b: np.frombuffer(b, "<i4").astype(np.int64)
+    ints = lambda b: np.frombuffer(b, "<i4")
     return Model([ints(r["slots"]) for r in rows], [ints(r["counts"]) for r in rows], np.array([int(r["y"]) for r in rows], np.int64))
 
 
