@@ -41,7 +41,7 @@ WIDTH = 200
 #: Perfect difference set of order 11: every nonzero difference modulo 133 occurs once.
 COVER_MOD = 133
 COVER = (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 #: Bytes of names that one bucket holds at most, on average.
 BUCKET_BYTES = 24 << 20
 
@@ -80,8 +80,8 @@ class Block:
         self.sum = np.zeros(n + 1, np.uint64)
         np.cumsum(codes[self.text] * self.pow[:n], out=self.sum[1:])
         lens = np.diff(self.off)
-        self.end = np.repeat(self.off[1:], lens)  # of the document that holds the position
-        self.sample = np.flatnonzero(np.isin(np.arange(COVER_MOD), COVER)[(np.arange(n) - np.repeat(self.off[:-1], lens)) % COVER_MOD])
+        self.end = np.repeat(self.off[1:].astype(np.int32), lens)  # of the document that holds the position
+        self.sample = np.flatnonzero(np.isin(np.arange(COVER_MOD), COVER)[(np.arange(n, dtype=np.int32) - np.repeat(self.off[:-1].astype(np.int32), lens)) % np.int32(COVER_MOD)])
 
     def names(self, at: np.ndarray, depth: int) -> np.ndarray:
         x = (self.sum[at + depth] - self.sum[at]) * self.inv[at]
@@ -173,14 +173,14 @@ class Work:
         settled = self.deep[self.long.repeats(row["long"])]
         np.add.at(edge, settled, 1)
         np.add.at(edge, settled + COVER_MOD, -1)
-        self.start = np.cumsum(edge[:-1]) > 0  # of windows known to repeat
+        self.start = np.cumsum(edge[:-1], dtype=np.int32) > 0  # of windows known to repeat
         seen = np.zeros(n + COVER_MOD + 1, np.int32)
         seen[self.tied + 1] = 1
-        seen = np.cumsum(seen)
+        np.cumsum(seen, out=seen)
         self.open = b.fits(np.flatnonzero((seen[COVER_MOD : n + COVER_MOD] > seen[:n]) & ~self.start), width)
         held = np.zeros(n + 1, np.int32)
         held[self.open + 1] = 1
-        held = np.cumsum(held)
+        np.cumsum(held, out=held)
         self.marks = held[self.tied + 1] > held[np.maximum(self.tied - COVER_MOD + 1, 0)]
         self.near = Named(b.names(self.tied, short), n_buckets, 5)
         if "near" not in row:
@@ -189,7 +189,7 @@ class Work:
         q = self.tied[self.near.repeats(row["near"], alone=False)]
         np.add.at(asked, np.maximum(q - COVER_MOD + 1, 0), 1)
         np.add.at(asked, q + 1, -1)
-        also = b.fits(np.flatnonzero((np.cumsum(asked[:-1]) > 0) & self.start), width)
+        also = b.fits(np.flatnonzero((np.cumsum(asked[:-1], dtype=np.int32) > 0) & self.start), width)
         self.full = Named(b.names(np.concatenate([self.open, also]), width), n_buckets)
         if "full" not in row:
             return
@@ -256,7 +256,7 @@ def _cut(text_col: str, n_buckets: int, width: int, with_kept: bool):
             edge = np.zeros(n + width + 1, np.int32)
             edge[np.flatnonzero(work.start)] += 1
             edge[np.flatnonzero(work.start) + width] -= 1
-            gone = np.cumsum(edge)[:n] > 0
+            gone = np.cumsum(edge, dtype=np.int32)[:n] > 0
             first = gone.copy()
             first[1:] &= ~gone[:-1]
             starts = b.off[:-1][b.off[:-1] < n]
