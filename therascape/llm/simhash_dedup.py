@@ -201,11 +201,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """The input's rows without near copies: of each group the row with the smallest id stays.
 
-    Rows that share that id are told apart by their text, so exactly one row of a group stays.
+    Exact repetitions of a kept row (same id, same text) go too; rows that share a kept id with another text stay.
     """
     groups = near_groups(docs, id_col, text_col, radius).where(F.col("id").eqNullSafe(F.col("component"))).select("id").distinct()
     hit = docs[id_col].eqNullSafe(groups["id"])
-    one = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col)
+    one = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(1))
     return docs.join(groups, hit, "left_semi").withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n")
 
 
