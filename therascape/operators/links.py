@@ -48,3 +48,12 @@ def gated_merge(rule: Column, model: Column, confidence: Column, fill: float = 0
 
 def author_counts(literature: DataFrame, least: int = 2) -> DataFrame:
     return literature.groupBy("author").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def emerging_targets(news: DataFrame, corpus: DataFrame, k: int = 40) -> DataFrame:
+    """AGG-36: the k targets of the news (target) that are rarest in the corpus (target), with both counts; ties go to more news, then by name."""
+    known = F.coalesce(F.col("target"), F.lit("Unknown")) != "Unknown"
+    week = news.where(known).groupBy("target").agg(F.count("*").alias("this_week"))
+    total = corpus.where(known).groupBy("target").agg(F.count("*").alias("corpus_total"))
+    both = week.join(total, "target", "left").withColumn("corpus_total", F.coalesce("corpus_total", F.lit(0).cast("long")))
+    return both.orderBy("corpus_total", F.desc("this_week"), "target").limit(k)

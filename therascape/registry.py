@@ -8,11 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from therascape.functions import drugs
+from therascape.functions import normalize as N
 from therascape.functions import text as X
 from therascape.operators import aggregates as A
 from therascape.operators import links as K
+from therascape.operators import merges as M
 from therascape.operators.filters import LiteratureFilter, ProgramFilter
 from therascape.plans.bridge import LITERATURE_SQL, PROGRAMS_SQL, literature, programs
+from therascape.sources import literature as R
+from therascape.sources import store as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -233,3 +238,107 @@ def _tags(spark: SparkSession, d: str) -> DataFrame:
 
 
 query("scl_s03_text_tags", "SELECT * FROM (VALUES " + ", ".join(map(str, _TAGS)) + ") t(id, modality, target, biomarkers, cancer, trials)", raw=True)(_tags)
+
+
+def _answers(name: str, f, cases: dict[str, str | None]) -> None:
+    """A query of fixed names with known answers."""
+    quote = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+    values = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in cases.items())
+    query(name, f"SELECT * FROM (VALUES {values}) t(raw, name)", raw=True)(lambda spark, d: spark.createDataFrame([(k,) for k in cases], "raw string").select("raw", f(F.col("raw")).alias("name")))
+
+
+_answers("nrm_01_target", N.target, {"ErbB-2": "HER2", "WTErbB-2": "HER2", "K-RAS G12D": "KRAS", "DNA": "Unknown", "": None, "NRAS": "NRAS", "K-RAS": "K-RAS", "pd1": "PD-1"})
+_answers("nrm_03_target_list", lambda c: F.array_join(N.targets(F.split(c, ";")), ";"), {"HER-2;EGFR;ERBB2;": "HER2;EGFR", "": "", "VEGFA;KDR;x": "VEGF/VEGFR;x"})
+_answers("nrm_04_model_target", N.model_target, {"bortezomib": "Proteasome", "TP53": "p53", "Vascular Endothelial Growth Factor Receptor (VEGFR)": "VEGF/VEGFR", "n/a": "Unknown"})
+_answers("nrm_05_plain_biomarker", N.plain_biomarker, {"MSI": "MSI-H", "genomic": None, "PD-L1": "PD-L1", "BRCA": "BRCA"})
+_answers("nrm_06_biomarker", N.biomarker, {"KRAS G12C": "KRAS", "Her2-low": "HER2", "VEGFR2": "VEGFR2", "KRASG12C": "KRAS", "EGFRm": "EGFR", "BRAF V600": "BRAF", "KRAS p.G12C": "KRAS"})
+_answers("nrm_07_biomarker_state", N.biomarker_state, {"HER2 Amplification": "amplification", "HER2": None, "KRAS G12C": "mutation", "HER2-low": "low"})
+_answers("nrm_09_institution", N.institution, {"Yonsei University Health System": "Yonsei University", "The University of Tokyo Hospital": "The University of Tokyo", "Acme Therapeutics, Inc., Boston": "Acme Therapeutics, Inc."})
+_answers("nrm_10_country", N.country, {"China.": "China", "CA.": "USA", "PR": "Puerto Rico", "Republic of Korea": "South Korea"})
+_answers("nrm_11_companies", lambda c: F.array_join(N.companies(c), "|"), {"AstraZeneca UK Limited": "AstraZeneca", "AstraZeneca; Merck": "AstraZeneca|Merck (MSD)", "Merck KGaA, Darmstadt": "Merck KGaA"})
+_answers("nrm_12_modality", N.known_modality, {"adc": "ADC", " Small molecule ": "Small Molecule", "x": "Unknown"})
+_answers("nrm_15_country_of_code", N.country_of_code, {"us": "USA", "ZZ": "ZZ"})
+_answers("scl_lead_drug", lambda c: F.array_join(drugs.lead_first(F.split(c, ";")), "|"), {"Placebo;Carboplatin;ABC-1;abc-1 10 mg": "ABC-1|Placebo|Carboplatin", "": "Unknown"})
+_answers("scl_phases", lambda c: F.array_join(R.phases(c), "|"), {"A phase II and Phase 3 trial, phase 2": "PHASE2|PHASE3", "none": ""})
+_answers("mrg_09_cdx_strategy", M.cdx_strategy, {"HER2 must have been documented": "confirmed", "exploratory analysis of KRAS": "exploratory", "adults": "none"})
+_answers("mrg_07_gap_fix", lambda c: M.fixed_modality(c, F.lit("Unknown")), {"BCG vaccine + drug": "Vaccine", "COVID vaccine": None, "interferon alfa": "Recombinant Protein", "anti-IL-6 mAb": None, "x": None})
+
+query("snk_03_metadata", "SELECT count(*) AS total, count(DISTINCT company) AS companies FROM p")(lambda spark, d: S.metadata(programs(spark, d)))
+
+
+def _cdx(spark: SparkSession, d: str) -> DataFrame:
+    partners = F.when(F.col("is_combination"), F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    s = M.cdx_score(F.lit("2001-01-01").cast("date"), F.col("completion_date"), F.size("biomarkers") > 0, F.lit(None).cast("string"), F.col("drug_name"), partners, F.col("target"))
+    rows = programs(spark, d).select(s.alias("s")).select("s.score", "s.level", F.array_contains("s.flags", "needs_review").alias("review"))
+    return rows.groupBy("score", "level", "review").agg(F.count("*").alias("n"))
+
+
+query(
+    "mrg_08_cdx_score",
+    """, s AS (SELECT 1 + CASE WHEN date_diff('day', DATE '2001-01-01', CAST(completion_date AS DATE)) BETWEEN 0 AND 180 THEN 3 ELSE 0 END + CASE WHEN len(biomarkers) > 0 THEN 2 ELSE 0 END
+  + CASE WHEN regexp_matches(lower(drug_name), 'colorectal|gastric|stomach|colon|rectal|gastrointestinal|gi|crc|gc') THEN 2 ELSE 0 END + CASE WHEN is_combination THEN 0 ELSE 1 END AS score, target = 'Unknown' AS review FROM p)
+SELECT CAST(score AS INTEGER) AS score, CASE WHEN score >= 7 THEN 'high' WHEN score >= 4 THEN 'medium' ELSE 'low' END AS level, review, count(*) AS n FROM s GROUP BY 1, 2, 3""",
+)(_cdx)
+
+
+def _literature_merge(spark: SparkSession, d: str) -> DataFrame:
+    records = literature(spark, d).withColumn("biomarker_list", F.array(F.lit("B")))
+    labels = spark.read.parquet(f"{d}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
+    answers = labels.select(
+        F.concat(F.lit("uid-"), F.col("doc_id").cast("string")).alias("uid"),
+        F.when(F.col("t") == 1, F.array(F.lit("ADC"))).otherwise(F.array().cast("array<string>")).alias("modality_list"),
+        F.array(F.lit("T")).alias("target_list"),
+        F.array(F.lit("M")).alias("biomarkers"),
+        F.when(F.col("q") == 1, 0.8).otherwise(0.3).alias("confidence"),
+        F.when(F.col("doc_id") % 4 == 0, "short").alias("summary"),
+    )
+    out = M.merge_literature(records, answers)
+    return out.groupBy(F.array_join("modality_list", ",").alias("modalities"), F.array_join("target_list", ",").alias("targets"), "enrich_src", "summary").agg(F.count("*").alias("n"))
+
+
+query(
+    "mrg_03_literature_merge",
+    """, a AS (SELECT 'uid-' || doc_id AS uid, max(quality) AS q, max(toxic) AS t, max(CASE WHEN doc_id % 4 = 0 THEN 'short' END) AS s FROM labels GROUP BY 1)
+SELECT CASE WHEN q = 1 THEN CASE WHEN t = 1 THEN 'ADC' ELSE 'Unknown' END ELSE array_to_string(modality_list, ',') END AS modalities, CASE WHEN q = 1 THEN 'T' ELSE array_to_string(target_list, ',') END AS targets,
+CASE WHEN q = 1 THEN 'llm' ELSE 'rule' END AS enrich_src, s AS summary, count(*) AS n FROM l LEFT JOIN a ON l.uid = a.uid GROUP BY 1, 2, 3, 4""",
+)(_literature_merge)
+
+
+def _cross_source(spark: SparkSession, d: str) -> DataFrame:
+    part = spark.read.parquet(f"{d}/part.parquet").groupBy(F.col("p_name").alias("drug_id"))
+    none = F.lit(None)
+    answers = part.agg(F.min("p_type").alias("modality"), F.max("p_brand").alias("target"), (F.max("p_size") / 50.0).alias("confidence"), (F.min("p_size") % 2 == 0).alias("conflict"))
+    answers = answers.withColumns({"biomarkers": none.cast("array<string>"), "evidence": none.cast("array<string>"), "note": none.cast("string")})
+    rows = programs(spark, d).withColumnRenamed("drug_name", "drug_id").withColumnRenamed("biomarkers", "biomarker_list")
+    return M.merge_cross_source(rows, answers).groupBy("modality", "target", "action").agg(F.count("*").alias("n"))
+
+
+query(
+    "mrg_05_cross_source",
+    """, a AS (SELECT p_name AS k, min(p_type) AS am, max(p_brand) AS tg, max(p_size) / 50e0 AS c, min(p_size) % 2 = 0 AS cf FROM part GROUP BY 1),
+j AS (SELECT *, target = 'Unknown' AND c >= 0.7e0 AS gap, regexp_replace(lower(target), '[^a-z0-9]', '', 'g') AS x, regexp_replace(lower(tg), '[^a-z0-9]', '', 'g') AS y FROM p JOIN a ON drug_name = k),
+t AS (SELECT *, NOT gap AND cf AND c >= 0.85e0 AND am <> modality AS tm, gap OR (cf AND c >= 0.85e0 AND NOT (contains(x, y) OR contains(y, x))) AS tt FROM j)
+SELECT CASE WHEN tm THEN am ELSE modality END AS modality, CASE WHEN tt THEN tg ELSE target END AS target, CASE WHEN tm OR tt THEN CASE WHEN gap THEN 'filled' ELSE 'corrected' END END AS action, count(*) AS n FROM t GROUP BY 1, 2, 3""",
+)(_cross_source)
+
+
+def _evidence(spark: SparkSession, d: str) -> DataFrame:
+    p, lit = programs(spark, d), literature(spark, d)
+    by_trial = K.shared_trials(p, lit).select(F.col("drug_name").alias("drug_id"), "uid", F.lit(True).alias("by_trial"))
+    named = p.select(F.col("drug_name").alias("drug_id"), "target").distinct().join(lit.select("uid", F.explode("target_list").alias("target")), "target").select("drug_id", "uid", F.lit(False).alias("by_trial"))
+    return M.evidence(by_trial.union(named), lit.withColumn("llm_confidence", F.length("title") % 10 / 10.0)).select("drug_id", "uid", "rank")
+
+
+query(
+    "mrg_06_evidence",
+    """, t AS (SELECT DISTINCT drug_name, uid, 1 AS bt FROM p JOIN l ON p.nct_id = l.nct_id), e AS (SELECT uid, unnest(target_list) AS tt FROM l),
+g AS (SELECT DISTINCT drug_name, uid, 0 AS bt FROM (SELECT DISTINCT drug_name, target FROM p) x JOIN e ON target = tt), u AS (SELECT drug_name, uid, max(bt) AS bt FROM (SELECT * FROM t UNION ALL SELECT * FROM g) GROUP BY 1, 2),
+r AS (SELECT drug_name AS drug_id, u.uid, row_number() OVER (PARTITION BY drug_name ORDER BY bt DESC, length(title) % 10 DESC, u.uid) AS rank FROM u JOIN l ON u.uid = l.uid)
+SELECT drug_id, uid, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 8""",
+)(_evidence)
+query(
+    "agg_36_emerging_targets",
+    """, w AS (SELECT target, count(*) AS this_week FROM p WHERE target <> 'Unknown' AND start_date >= '2001-06-01' GROUP BY 1),
+c AS (SELECT target, count(*) AS corpus_total FROM (SELECT target FROM p UNION ALL SELECT unnest(target_list) FROM l) GROUP BY 1)
+SELECT target, this_week, coalesce(corpus_total, 0) AS corpus_total FROM w LEFT JOIN c USING (target) ORDER BY corpus_total, this_week DESC, target LIMIT 10""",
+)(lambda spark, d: K.emerging_targets(programs(spark, d).where("start_date >= '2001-06-01'").select("target"), programs(spark, d).select("target").union(literature(spark, d).select(F.explode("target_list"))), 10))
