@@ -196,3 +196,11 @@ def test_empty_tables(spark, docs):
     assert chunk_dedup.duplicate_spans(none).count() == 0
     assert decontaminate.hits(docs, spark.createDataFrame([], "item_id long, text string")).where("size(items) > 0").count() == 0
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_keep_one_with_clashing_columns(spark):
+    rows = [(1, "a b c d", "x", 1, 2, 3), (2, "a b c d", "y", 1, 2, 3), (1, "a b c d", "x", 1, 2, 3), (3, "quite other words in this text", "z", 0, 0, 0), (4, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id string, N int, n_ int, component int")
+    kept = simhash_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4]

@@ -205,8 +205,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     """
     groups = near_groups(docs, id_col, text_col, radius).where(F.col("id").eqNullSafe(F.col("component"))).select("id").distinct()
     hit = docs[id_col].eqNullSafe(groups["id"])
-    one = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(1))
-    return docs.join(groups, hit, "left_semi").withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n")
+    one = Window.partitionBy(docs[id_col], F.xxhash64(docs[text_col])).orderBy(F.lit(1))
+    mark = "n"
+    while mark in {c.lower() for c in docs.columns}:
+        mark += "_"
+    return docs.join(groups, hit, "left_semi").withColumn(mark, F.row_number().over(one)).where(F.col(mark) == 1).drop(mark)
 
 
 def op8_simhash_bktree(spark, sf_dir):
