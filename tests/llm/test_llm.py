@@ -149,6 +149,22 @@ def test_chunks_cover_texts_and_one_copy_stays(docs, rows):
     assert all(got[k].n_removed == 0 for k in range(30))
 
 
+def test_chunks_of_every_length_are_compared(spark):
+    rng = random.Random(5)
+    stump = next(t for t in (words(rng, 60) for _ in range(1000)) if 0 < len(t) - ([0, *chunk_dedup.cuts(t.encode())])[-2] < 16)
+    texts = [(1, "ten  bytes"), (2, "ten  bytes"), (None, "ten  bytes"), (4, stump), (5, stump), (6, "z"), (7, None), (8, ""), (9, words(rng, 200)), (9, words(rng, 3))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = sorted(((r.id, r.n_bytes, r.n_chunks, r.n_removed_chunks, r.n_removed, [tuple(s) for s in r.spans]) for r in chunk_dedup.duplicate_spans(docs).collect()), key=str)
+    seen, want = set(), []
+    for k, text in sorted(texts, key=lambda x: (x[0] is None, x[0] or 0)):
+        t = (text or "").encode()
+        ends = chunk_dedup.cuts(t)
+        spans = [(a, b) for a, b in zip([0, *ends], ends) if t[a:b] in seen or seen.add(t[a:b])]
+        want.append((k, len(t), len(ends), len(spans), sum(b - a for a, b in spans), spans))
+    assert got == sorted(want, key=str)
+    assert {r[0]: r[1] - r[4] for r in got if r[0] in (1, 2, None, 5)} == {1: 10, 2: 0, None: 0, 5: 0}
+
+
 def test_license_lines(spark):
     texts = ["x\nReleased under the MIT license.\ny", "Licensed under the Apache License,\nVersion 2.0.", None, "", "a license to speak", "Licensed under CC BY-NC 4.0"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

@@ -6,8 +6,9 @@ Chunks are compared by BLAKE2b digest (128 bits): the first one, by (doc_id, pla
 The rows that meet are digests, not text, counted before they are shuffled; texts never move.  A hot chunk
 costs a row for each of its copies, which an adaptive join may split over tasks.
 
-Defined results: null text is empty and has no chunks; a text's last chunk may be shorter than ``LEAST``; repeated
-rows are copies of one another, so one of them keeps its text; null ids come after all others.
+Defined results: null text is empty and has no chunks; a text's last chunk may be shorter than ``LEAST`` and is
+compared like any other, so short texts and short ends that occur before go too; repeated rows are
+copies of one another, so one of them keeps its text; null ids come after all others.
 """
 
 from __future__ import annotations
@@ -24,8 +25,6 @@ from pyspark.sql import types as T
 from therascape.llm.common import materialize, table
 
 LEAST, MOST, MASK_BITS = 32, 512, 5
-#: Shorter last chunks are kept: a few bytes in common mean nothing.
-COMPARED = 16
 GEAR = np.random.default_rng(64).integers(0, 1 << 32, 256, np.uint64).astype(np.uint32)
 
 
@@ -82,7 +81,6 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     every = rows.select("id", "row", F.posexplode("chunks").alias("k", "c"), "chunks").select(
         "id", "row", "k", F.coalesce(F.get("chunks.end", F.col("k") - 1), F.lit(0)).alias("start"), F.col("c.end").alias("end"), F.col("c.digest").alias("digest")
     )
-    every = every.where(F.col("end") - F.col("start") >= COMPARED)
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "k")
     firsts = every.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("digest", F.col("first.row").alias("row0"), F.col("first.k").alias("k0"))
     gone = every.join(firsts, "digest").where("row <> row0 or k <> k0")
