@@ -172,6 +172,45 @@ def test_license_lines(spark):
     assert got == {0: [("MIT", 1)], 1: [("Apache-2.0", 0)], 2: [], 3: [], 4: [], 5: [("CC-BY-NC-4.0", 0)]}
 
 
+def test_licenses_inside_lines_over_many_lines_and_whole():
+    known = licenses.Templates(licenses.TEMPLATES, licenses.THRESHOLD)
+    names = lambda text: [(m["license"], m["line"], m["lines"]) for m in known.scan(text.encode())]
+    assert names("This project is released under the MIT License. See LICENSE for details.") == [("MIT", 0, 1)]
+    assert names("Copyright 2020 Acme. Licensed under the Apache License, Version 2.0 (see LICENSE)") == [("Apache-2.0", 0, 1)]
+    assert names("The MIT License (MIT)") == [("MIT-title", 0, 1)]
+    assert names("x\n\n# This\n# work is\n# licensed\n# under the\n# GNU General\n# Public License,\n# version 3.\nend") == [("GPL-3.0", 2, 7)]
+    assert names("a b. Released under the MIT License. Licensed under CC BY-SA 4.0, too") == [("MIT", 0, 1), ("CC-BY-SA-4.0", 0, 1)]
+    for name in ("Apache-2.0-text", "BSD-3-Clause-text", "GPL-2.0-text", "MIT-text"):
+        assert name in [m["license"] for m in known.scan(("Before it.\n" + licenses.TEMPLATES[name] + "\nAnd after.").encode())]
+    assert [m["license"] for m in licenses.Templates({"short": "CC BY 4.0"}, 0.8).scan(b"free, CC BY 4.0 it is")] == ["short"]
+    assert licenses.Templates({}, 0.8).scan(b"a b") == [] and licenses.Templates({"one": "word"}, 0.8).scan(b"one word") == []
+
+
+def test_license_windows_equal_brute_force():
+    rng = random.Random(6)
+    templates = {"p": "a b a b c", "q": "b c d", "r": "c c c c d a a b"}
+    grams = {k: licenses.bigrams(v.encode()) for k, v in templates.items()}
+    known = licenses.Templates(templates, 0.8)
+    for _ in range(150):
+        text = [rng.choice("aabbccdx") for _ in range(rng.randint(0, 25))]
+        lines = "".join(w + rng.choice(" \n") for w in text)
+        row = [lines[: 2 * k].count("\n") for k in range(len(text))]
+        wins = []
+        for a in range(len(text)):
+            for b in range(a + 2, len(text) + 1):
+                have = licenses.bigrams(" ".join(text[a:b]).encode())
+                for name, of in grams.items():
+                    dice = 2 * (have & of).total() / (b - a - 1 + of.total())
+                    if dice >= 0.8:
+                        wins.append((-dice, -of.total(), a, name, b))
+        want, used = [], set()
+        for dice, _, a, name, b in sorted(wins):
+            if used.isdisjoint(range(a, b)):
+                used.update(range(a, b))
+                want.append((a, {"line": row[a], "lines": row[b - 1] - row[a] + 1, "license": name, "dice": -dice}))
+        assert known.scan(lines.encode()) == [m for _, m in sorted(want, key=lambda x: x[0])]
+
+
 def test_token_counts_sum_to_whole_documents(docs, rows):
     for rule in ("first", "most"):
         got = token_counts.counted(docs, rule=rule).collect()
