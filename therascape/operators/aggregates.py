@@ -152,6 +152,21 @@ def representatives(programs: DataFrame, keys: list[str], latest: str, tie: list
     return out.select(*keys, "best.*", "nct_ids", "n")
 
 
+def dedup_by_regimen(programs: DataFrame, regimen: list[str], latest: str, tie: list[str], unions: list[str]) -> DataFrame:
+    """AGG-40: one row for each drug, company (both by normalised name), phase, cancer and regimen: the one with the latest date (ties by ``tie``).
+
+    ``unions`` are array columns; each becomes the distinct elements of its group, those of the latest row first.
+    """
+    keyed = programs.withColumns({"name_key": X.collapse(F.lower("drug_name")), "company_key": F.lower(F.trim("company"))})
+    rank = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"rank_{k}") for k, c in enumerate([latest, *tie])]
+    no_null = [F.coalesce(F.col(c), F.array().cast(programs.schema[c].dataType)).alias(c) for c in unions]
+    keys = ["name_key", "company_key", "phase", "cancer_category", *regimen]
+    best = F.max_by(F.struct(latest, *tie), F.struct(*rank)).alias("best")
+    rows = F.sort_array(F.collect_list(F.struct(*rank, *no_null)), asc=False).alias("rows")
+    out = keyed.groupBy(*keys).agg(best, rows, F.count("*").alias("n"))
+    return out.select(*keys, "best.*", *[F.array_distinct(F.flatten(f"rows.{c}")).alias(c) for c in unions], "n")
+
+
 def format_canon(named: DataFrame) -> DataFrame:
     """(name, canonical) from (name, count): spellings with one format key take the most frequent one, then one with a hyphen, then the shortest."""
     order = F.struct(F.col("count"), F.col("name").contains("-").cast("int"), -F.length("name"), F.col("name"))

@@ -113,6 +113,19 @@ query("qry_12_target_maturity", _maturity_sql("SELECT target, phase, overall_sta
 query("agg_28_biomarker_maturity", _maturity_sql("SELECT unnest(biomarkers) AS target, phase, overall_status FROM p", "SELECT '' AS target, 0 AS pre WHERE false"))(
     lambda spark, d: A.maturity_matrix(programs(spark, d).withColumn("bm", F.explode("biomarkers")), _preclinical(spark, d).where("false"), F.col("bm"))
 )
+
+
+def _preclinical_biomarkers(spark: SparkSession, d: str) -> DataFrame:
+    """A biomarker's drugs as mentioned by supply: the biomarkers of a part, as in ``programs``, and its name."""
+    bm = lambda k: F.concat(F.lit("BM"), (F.col("p_size") % k).cast("string"))
+    part = spark.read.parquet(f"{d}/part.parquet").where("p_size > 10")
+    return part.select(F.explode(F.array_distinct(F.array(bm(7), bm(5)))).alias("target"), F.col("p_name").alias("drug"))
+
+
+_PRE_BM = "SELECT bm AS target, count(DISTINCT lower(p_name)) AS pre FROM (SELECT p_name, unnest(['BM' || (p_size % 7), 'BM' || (p_size % 5)]) AS bm FROM part WHERE p_size > 10) GROUP BY 1"
+query("agg_28_biomarker_maturity_preclinical", _maturity_sql("SELECT unnest(biomarkers) AS target, phase, overall_status FROM p", _PRE_BM))(
+    lambda spark, d: A.maturity_matrix(programs(spark, d).withColumn("bm", F.explode("biomarkers")), _preclinical_biomarkers(spark, d), F.col("bm"))
+)
 query(
     "qry_14_target_opportunity",
     f""", b AS (SELECT target, CAST(left(start_date, 4) AS INTEGER) AS y, 1 AS clin, {_PB} AS pb, {_SB} AS sb FROM p),
@@ -180,6 +193,28 @@ query(
 g AS (SELECT drug_name, company, phase, list_sort(list(DISTINCT nct_id)) AS ids, count(*) AS n FROM p GROUP BY 1, 2, 3)
 SELECT r.drug_name, r.company, r.phase, completion_date, nct_id, overall_status, array_to_string(ids, ',') AS nct_ids, n FROM r JOIN g ON r.drug_name = g.drug_name AND r.company = g.company AND r.phase = g.phase WHERE rn = 1""",
 )(lambda spark, d: A.representatives(programs(spark, d), ["drug_name", "company", "phase"], "completion_date", ["nct_id", "overall_status"]).withColumn("nct_ids", F.array_join("nct_ids", ",")))
+
+
+def _dedup_by_regimen(spark: SparkSession, d: str) -> DataFrame:
+    lit = literature(spark, d).groupBy("nct_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("countries")))).alias("countries"), F.array_sort(F.collect_set("uid")).alias("links"))
+    rows = programs(spark, d).join(lit, "nct_id", "left").withColumn("nct_ids", F.array("nct_id"))
+    unions = ["nct_ids", "countries", "links"]
+    out = A.dedup_by_regimen(rows, ["is_combination"], "completion_date", ["nct_id", "overall_status"], unions)
+    return out.withColumns({c: F.array_join(c, ",") for c in unions})
+
+
+_KEY = "name_key, company_key, phase, cancer_category, is_combination"
+query(
+    "agg_40_dedup_by_regimen",
+    rf""", k AS (SELECT *, trim(regexp_replace(lower(drug_name), '\s+', ' ', 'g')) AS name_key, lower(trim(company)) AS company_key FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY {_KEY} ORDER BY completion_date DESC, nct_id DESC, overall_status DESC) AS rn FROM k),
+e AS (SELECT {_KEY}, 'i' AS kind, nct_id AS x, rn FROM r UNION ALL SELECT {_KEY}, 'u', x, rn FROM r JOIN (SELECT nct_id AS id, uid AS x FROM l) ON r.nct_id = id
+  UNION ALL SELECT {_KEY}, 'c', x, rn FROM r JOIN (SELECT nct_id AS id, unnest(countries) AS x FROM l) ON r.nct_id = id),
+f AS (SELECT {_KEY}, kind, x, min(rn) AS m FROM e GROUP BY ALL),
+g AS (SELECT {_KEY}, string_agg(x, ',' ORDER BY m, x) FILTER (kind = 'i') AS nct_ids, coalesce(string_agg(x, ',' ORDER BY m, x) FILTER (kind = 'c'), '') AS countries, coalesce(string_agg(x, ',' ORDER BY m, x) FILTER (kind = 'u'), '') AS links FROM f GROUP BY ALL),
+h AS (SELECT {_KEY}, count(*) AS n FROM r GROUP BY ALL)
+SELECT {_KEY}, completion_date, nct_id, overall_status, nct_ids, countries, links, n FROM r JOIN g USING ({_KEY}) JOIN h USING ({_KEY}) WHERE rn = 1""",
+)(_dedup_by_regimen)
 query(
     "agg_36_new_and_updated",
     "SELECT count(DISTINCT nct_id) FILTER (start_date >= '2001-06-01') AS new_trials, count(DISTINCT nct_id) FILTER (completion_date >= '2001-06-01' AND start_date < '2001-06-01') AS updated_trials FROM p",
