@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from therascape.functions import dictionaries as D
 from therascape.functions import drugs
 from therascape.functions import normalize as N
 from therascape.functions import text as X
+from therascape.functions import vocabulary as V
 from therascape.operators import aggregates as A
 from therascape.operators import links as K
 from therascape.operators import merges as M
@@ -298,6 +300,69 @@ _answers("scl_phases", lambda c: F.array_join(R.phases(c), "|"), {"A phase II an
 _answers("mrg_09_cdx_strategy", M.cdx_strategy, {"HER2 must have been documented": "confirmed", "exploratory analysis of KRAS": "exploratory", "adults": "none"})
 _answers("mrg_07_gap_fix", lambda c: M.fixed_modality(c, F.lit("Unknown")), {"BCG vaccine + drug": "Vaccine", "COVID vaccine": None, "interferon alfa": "Recombinant Protein", "anti-IL-6 mAb": None, "x": None})
 
+
+
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    """(raw, n): every text of documents, its lines and words, and the names of parts, suppliers and nations, with how often each is there."""
+    t = F.col("text")
+    texts = spark.read.parquet(f"{d}/documents.parquet").select(F.explode(F.concat(F.array(t), F.split(t, "\n"), F.filter(F.split(t, r"[ \t\n\x0B\f\r]+"), lambda w: w != ""))).alias("raw"))
+    for name, column in (("part", "p_name"), ("part", "p_brand"), ("part", "p_type"), ("supplier", "s_name"), ("nation", "n_name")):
+        texts = texts.union(spark.read.parquet(f"{d}/{name}.parquet").select(column))
+    return texts.groupBy("raw").agg(F.count("*").alias("n"))
+
+
+NAMES_SQL = r"""WITH t AS (SELECT unnest(list_concat([text], string_split(text, chr(10)), list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda w: w <> ''))) AS raw FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT p_name FROM part UNION ALL SELECT p_brand FROM part UNION ALL SELECT p_type FROM part UNION ALL SELECT s_name FROM supplier UNION ALL SELECT n_name FROM nation),
+v AS (SELECT raw, count(*) AS n FROM t GROUP BY 1) """
+
+
+def _over_names(name: str, f, sql: str | None = None) -> None:
+    """A query of a function over all names of the tables; its SQL, where it has one, is an expression of ``raw``."""
+    query(f"{name}_tables", sql and f"{NAMES_SQL}SELECT md5(raw) AS digest, {sql} AS name, n FROM v", raw=True)(lambda spark, d: _names(spark, d).select(F.md5("raw").alias("digest"), f(F.col("raw")).alias("name"), "n"))
+
+
+def _case_sql(key: str, table: dict[str, str]) -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    return f"CASE {key} " + " ".join(f"WHEN {quote(k)} THEN {quote(v)}" for k, v in table.items()) + " END"
+
+
+_WHITE = r"[\s\x{0B}\x{85}\p{Z}]+"
+_STRIPPED = f"regexp_replace(raw, '^{_WHITE}|{_WHITE}$', '', 'g')"
+_DOTLESS = f"regexp_replace(regexp_replace(raw, '[.\\s\\x{{0B}}\\x{{85}}\\p{{Z}}]+$', ''), '^{_WHITE}', '')"
+_over_names("nrm_01_target", N.target)
+_over_names("nrm_03_target_list", lambda c: F.array_join(N.targets(F.split(c, ";")), ";"))
+_over_names("nrm_04_model_target", N.model_target)
+_over_names(
+    "nrm_05_plain_biomarker",
+    N.plain_biomarker,
+    f"CASE WHEN {_STRIPPED} <> '' AND lower({_STRIPPED}) NOT IN ({', '.join(repr(x) for x in V.BIOMARKER_JUNK)}) THEN coalesce({_case_sql(f"regexp_replace(lower({_STRIPPED}), '[^a-z0-9]', '', 'g')", V.BIOMARKER_CANON)}, {_STRIPPED}) END",
+)
+_over_names("nrm_06_biomarker", N.biomarker)
+_over_names("nrm_07_biomarker_state", N.biomarker_state)
+_over_names("nrm_09_institution", N.institution)
+_over_names(
+    "nrm_10_country",
+    N.country,
+    f"CASE WHEN {_DOTLESS} = '' THEN raw WHEN upper({_DOTLESS}) IN ({', '.join(repr(x) for x in V.US_STATES)}) THEN 'USA' ELSE coalesce({_case_sql(f'upper({_DOTLESS})', V.US_TERRITORIES)}, {_case_sql(_DOTLESS, V.COUNTRIES)}, {_DOTLESS}) END",
+)
+_over_names("nrm_11_companies", lambda c: F.array_join(N.companies(c), "|"))
+_over_names("nrm_12_modality", N.known_modality, f"coalesce({_case_sql(f'lower({_STRIPPED})', {k.lower(): k for k in D.MODALITY})}, 'Unknown')")
+_over_names("nrm_15_country_of_code", N.country_of_code)
+_over_names("scl_lead_drug", lambda c: F.array_join(drugs.lead_first(F.split(c, ";")), "|"))
+_over_names("scl_phases", lambda c: F.array_join(R.phases(c), "|"))
+_over_names("mrg_09_cdx_strategy", M.cdx_strategy)
+_over_names("mrg_07_gap_fix", lambda c: M.fixed_modality(c, F.lit("Unknown")))
+
+
+def _text_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Tagging of every document's whole text."""
+    t = F.col("text")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return docs.select("doc_id", X.modality(t).alias("modality"), X.target(t).alias("target"), F.array_join(X.biomarkers(t), ",").alias("biomarkers"), X.cancer_category(t).alias("cancer"), F.array_join(X.trial_ids(t), ",").alias("trials"))
+
+
+query("scl_s03_text_tags_tables")(_text_tags)
+
 query("snk_03_metadata", "SELECT count(*) AS total, count(DISTINCT company) AS companies FROM p")(lambda spark, d: S.metadata(programs(spark, d)))
 
 
