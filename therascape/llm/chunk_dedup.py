@@ -3,12 +3,13 @@
 A text's UTF-8 bytes are cut where the gear hash of the last 32 bytes, h = (h << 1) + G[byte], has ``MASK_BITS`` zero
 bits, at least ``LEAST`` and at most ``MOST`` bytes after the last cut, so an insertion moves only the cuts near it.
 Chunks are compared by BLAKE2b digest (128 bits): the first one, by (doc_id, place), stays and every other one goes.
-The rows that meet are digests, not text, counted before they are shuffled; texts never move.  A hot chunk
-costs a row for each of its copies, which an adaptive join may split over tasks.
+The rows that meet are digests, not text, counted before they are shuffled; texts never move.  Digests of more than a fixed
+share of all chunks are broadcast (``join_spread``), so a hot chunk fills no task.
 
 Defined results: null text is empty and has no chunks; a text's last chunk may be shorter than ``LEAST`` and is
 compared like any other, so short texts and short ends that occur before go too; repeated rows are
-copies of one another, so one of them keeps its text; null ids come after all others.
+copies of one another, so one of them keeps its text; null ids come after all others; an empty table gives an empty
+table; the result carries the id alone, so input columns cannot clash, and ``remove_repeats`` gives all columns back.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from therascape.llm.common import materialize, table
+from therascape.llm.common import join_spread, materialize, table
+from therascape.llm.suffix_dedup import whole_characters
 
 LEAST, MOST, MASK_BITS = 32, 512, 5
 GEAR = np.random.default_rng(64).integers(0, 1 << 32, 256, np.uint64).astype(np.uint32)
@@ -64,32 +66,63 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digests += [blake2b(text[a:b], digest_size=16).digest() for a, b in zip([0, *at], at, strict=False)]
         offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
         chunk = pa.StructArray.from_arrays([pa.array(ends, pa.int32()), pa.array(digests, pa.binary())], ["end", "digest"])
-        yield pa.record_batch({"id": batch.column("id"), "chunks": pa.ListArray.from_arrays(offsets, chunk)})
+        yield pa.record_batch({"carry": batch.column("carry"), "chunks": pa.ListArray.from_arrays(offsets, chunk)})
 
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, chunks): for every row the ends and digests of its chunks."""
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+def chunks(docs: DataFrame, carry: Column, text_col: str = "text") -> DataFrame:
+    """(carry, chunks): for every row the ends and digests of its chunks, beside a column of the caller's choice."""
+    src = docs.select(carry.alias("carry"), docs[text_col].cast("binary").alias("text"))
     kind = T.ArrayType(T.StructType().add("end", "integer").add("digest", "binary"))
-    return src.mapInArrow(_chunked, T.StructType([src.schema["id"], T.StructField("chunks", kind)]))
+    return src.mapInArrow(_chunked, T.StructType([src.schema["carry"], T.StructField("chunks", kind)]))
+
+
+def _with_spans(rows: DataFrame, id_of: str) -> DataFrame:
+    """The rows (carry, chunks, mark) with ``spans``: the byte ranges of chunks that are not the first of their digest."""
+    every = rows.select(F.col(id_of).alias("id"), "mark", F.posexplode("chunks").alias("k", "c"), "chunks").select(
+        "id", "mark", "k", F.coalesce(F.get("chunks.end", F.col("k") - 1), F.lit(0)).alias("start"), F.col("c.end").alias("end"), F.col("c.digest").alias("digest")
+    )
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "mark", "k")
+    firsts = every.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
+    firsts = materialize(firsts.select("digest", "n", F.col("first.mark").alias("mark0"), F.col("first.k").alias("k0")), "chunk-firsts")
+    total = rows.agg(F.sum(F.size("chunks"))).first()[0] or 0
+    gone = join_spread(every, firsts, "digest", total).where("mark <> mark0 or k <> k0")
+    gone = gone.groupBy("mark").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    return rows.join(gone, "mark", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")))
 
 
 def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_chunks, n_removed_chunks, n_removed, spans) for every row; spans are byte ranges to cut out."""
-    rows = chunks(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
-    rows = materialize(rows, "chunks")
-    every = rows.select("id", "row", F.posexplode("chunks").alias("k", "c"), "chunks").select(
-        "id", "row", "k", F.coalesce(F.get("chunks.end", F.col("k") - 1), F.lit(0)).alias("start"), F.col("c.end").alias("end"), F.col("c.digest").alias("digest")
-    )
-    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "k")
-    firsts = every.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("digest", F.col("first.row").alias("row0"), F.col("first.k").alias("k0"))
-    gone = every.join(firsts, "digest").where("row <> row0 or k <> k0")
-    gone = gone.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    rows = materialize(chunks(docs, docs[id_col], text_col).withColumn("mark", F.monotonically_increasing_id()), "chunks")
+    out = _with_spans(rows, "carry")
     n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    out = rows.join(gone, "row", "left").withColumn("spans", F.coalesce("spans", none))
     size = F.coalesce(F.array_max("chunks.end"), F.lit(0))
-    return out.select("id", size.cast("long").alias("n_bytes"), F.size("chunks").cast("long").alias("n_chunks"), F.size("spans").cast("long").alias("n_removed_chunks"), n_removed.alias("n_removed"), "spans")
+    return out.select(
+        F.col("carry").alias("id"), size.cast("long").alias("n_bytes"), F.size("chunks").cast("long").alias("n_chunks"), F.size("spans").cast("long").alias("n_removed_chunks"), n_removed.alias("n_removed"), "spans"
+    )
+
+
+def _kept(text: bytes, spans: list[dict]) -> str:
+    """A text without its spans; a character of which a byte goes is cut as a whole."""
+    gone = np.zeros(len(text), bool)
+    for s in spans:
+        gone[s["start"] : s["end"]] = True
+    data = np.frombuffer(text, np.uint8)
+    return data[~whole_characters(gone, data, np.zeros(1, np.int64))].tobytes().decode("utf-8", "replace")
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input's rows and columns with repeated chunks cut out of the text.  Every row stays."""
+    row = F.struct(*[docs[c] for c in docs.columns])
+    rows = materialize(chunks(docs, row, text_col).withColumn("mark", F.monotonically_increasing_id()), "chunk-rows")
+    out = _with_spans(rows, f"carry.`{id_col}`").select("carry", "spans", F.col(f"carry.`{text_col}`").cast("binary").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [_kept(x.as_py(), s.as_py()) if len(s) else None for x, s in zip(batch.column("text"), batch.column("spans"), strict=True)]
+            yield pa.record_batch({"carry": batch.column("carry"), "kept": pa.array(kept, pa.string())})
+
+    out = out.mapInArrow(run, T.StructType([out.schema["carry"]]).add("kept", "string"))
+    return out.select(*[(F.coalesce("kept", F.col(f"carry.`{c}`")) if c == text_col else F.col(f"carry.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op3_chunk_dedup(spark, sf_dir):

@@ -31,6 +31,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_spread(rows: DataFrame, found: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined to ``found`` by ``key``, however many rows one key has; an inner join.
+
+    ``found`` has one row for each key, and in ``n`` how many of the ``total`` rows it has.  Keys of more than a share of
+    1 / (4 * shuffle partitions) of the rows are fewer than four times the shuffle partitions: these are broadcast and joined in place.
+    All others meet by a shuffle, in which no key fills a partition.
+    """
+    most = total // (4 * shuffle_width(rows.sparkSession))
+    hot, cold = found.where(F.col("n") > most).drop("n"), found.where(F.col("n") <= most).drop("n")
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
 def as_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(row, text): the input row as one struct, so that no column an operator adds can clash with an input column."""
     return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))

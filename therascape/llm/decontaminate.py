@@ -31,7 +31,8 @@ from therascape.llm.common import table
 
 WINDOW = 10
 SAMPLE = 8
-PART_BYTES = 16 << 20
+#: Bytes of benchmark text broadcast at once; its windows take about 20 times as many in the driver and in each worker.
+PART_BYTES = 4 << 20
 _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
 
@@ -39,27 +40,52 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_FOLD).split()
 
 
+class Bits:
+    """A bit vector with ranks: bits packed in words, and the ones before each word."""
+
+    def __init__(self, bits: np.ndarray):
+        packed = np.packbits(bits, bitorder="little")
+        self.words = np.frombuffer(packed.tobytes() + bytes(16 - len(packed) % 8), "<u8")
+        self.before = np.concatenate(([0], np.cumsum(np.bitwise_count(self.words), dtype=np.int32)))
+
+    def ones(self, at: np.ndarray) -> np.ndarray:
+        """How many bits are set before each place."""
+        word = at >> 6
+        low = self.words[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
+        return self.before[word] + np.bitwise_count(low).astype(np.int64)
+
+    def at(self, at: np.ndarray) -> np.ndarray:
+        return (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
+
+
 class WaveletMatrix:
     """Ranks of symbols in a sequence, one bit level after another; queries are arrays."""
 
     def __init__(self, seq: np.ndarray, levels: int):
         self.levels = []
         for bit in range(levels - 1, -1, -1):
-            ones = (seq >> bit) & 1
-            zeros = np.zeros(len(seq) + 1, np.int32)
-            np.cumsum(1 - ones, out=zeros[1:])
-            self.levels.append((bit, zeros, int(zeros[-1])))
-            seq = np.concatenate([seq[ones == 0], seq[ones == 1]])
+            one = (seq >> bit) & 1 > 0
+            self.levels.append((bit, Bits(one), int(len(seq) - one.sum())))
+            seq = np.concatenate([seq[~one], seq[one]])
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol occurs before each place."""
         first = np.zeros_like(at)
-        for bit, zeros, n in self.levels:
-            one = ((symbol >> bit) & 1).astype(bool)
-            at = np.where(one, n + at - zeros[at], zeros[at])
-            first = np.where(one, n + first - zeros[first], zeros[first])
+        for bit, bits, n in self.levels:
+            one = (symbol >> bit) & 1 > 0
+            x, y = bits.ones(at), bits.ones(first)
+            at, first = np.where(one, n + x, at - x), np.where(one, n + y, first - y)
         return at - first
 
+    def symbols(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol at each place and how often it occurs before."""
+        symbol, first = np.zeros_like(at), np.zeros_like(at)
+        for bit, bits, n in self.levels:
+            one, x, y = bits.at(at), bits.ones(at), bits.ones(first)
+            symbol |= one.astype(np.int64) << bit
+            at, first = np.where(one, n + x, at - x), np.where(one, n + y, first - y)
+        return symbol, at - first
+
 
 class FMIndex:
     """Over a sequence of symbols of at least 1; 0 is added as its end."""
@@ -78,16 +104,15 @@ class FMIndex:
             step *= 2
             if fresh[-1] == n - 1 or step >= n:
                 break
-        last = seq[order - 1]
-        self.bwt, top = last, int(seq.max())
-        self.first = np.concatenate(([0], np.cumsum(np.bincount(seq, minlength=top + 1))))
-        self.ranks = WaveletMatrix(last, max(1, top.bit_length()))
-        self.known = np.where(order % SAMPLE == 0, order, -1)
-        self.top = top
+        self.n, self.top = n, int(seq.max())
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(seq, minlength=self.top + 1))))
+        self.ranks = WaveletMatrix(seq[order - 1], max(1, self.top.bit_length()))
+        sampled = order % SAMPLE == 0
+        self.sampled, self.places = Bits(sampled), order[sampled].astype(np.int32)
 
     def search(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search of all rows of a matrix: where each one's suffixes start and end."""
-        lo, hi = np.zeros(len(windows), np.int64), np.full(len(windows), len(self.bwt), np.int64)
+        lo, hi = np.zeros(len(windows), np.int64), np.full(len(windows), self.n, np.int64)
         live = np.flatnonzero((windows <= self.top).all(1))
         hi[np.setdiff1d(np.arange(len(windows)), live)] = 0
         for k in range(windows.shape[1] - 1, -1, -1):
@@ -104,29 +129,41 @@ class FMIndex:
         out, steps, todo = np.zeros(len(rows), np.int64), 0, np.arange(len(rows))
         rows = rows.copy()
         while len(todo):
-            found = self.known[rows[todo]]
-            out[todo[found >= 0]] = found[found >= 0] + steps
-            todo = todo[found < 0]
-            c = self.bwt[rows[todo]]
-            rows[todo] = self.first[c] + self.ranks.rank(c, rows[todo])
+            at = rows[todo]
+            found = self.sampled.at(at)
+            out[todo[found]] = self.places[self.sampled.ones(at[found])] + steps
+            todo, at = todo[~found], at[~found]
+            symbol, before = self.ranks.symbols(at)
+            rows[todo] = self.first[symbol] + before
             steps += 1
         return out
 
 
 class Windows:
-    """The benchmark's distinct windows as word numbers (2 and up), by length, with the items that hold them."""
+    """The benchmark's distinct windows as word numbers (2 and up), by length, with the items that hold them.
+
+    ``by_length``: windows as rows of a matrix, and of each the items from ``first[k]`` to ``first[k + 1]`` in ``items``.  A window takes
+    4 * WINDOW + 12 bytes or so.
+    """
 
-    def __init__(self, items: list[tuple[str, bytes | None]]):
+    def __init__(self, texts: list[tuple[str, bytes | None]]):
         self.number: dict[bytes, int] = {}
-        holders: dict[tuple[int, ...], set[str]] = defaultdict(set)
-        for item, text in items:
-            ids = [self.number.setdefault(w, len(self.number) + 2) for w in words_of(text)]
-            for k in range(max(1, len(ids) - WINDOW + 1) if ids else 0):
-                holders[tuple(ids[k : k + WINDOW])].add(item)
+        self.names = sorted({item for item, _ in texts})
+        name_of = {item: k for k, item in enumerate(self.names)}
+        rows: dict[int, list[np.ndarray]] = defaultdict(list)
+        owners: dict[int, list[np.ndarray]] = defaultdict(list)
+        for item, text in texts:
+            ids = np.array([self.number.setdefault(w, len(self.number) + 2) for w in words_of(text)], np.int32)
+            if len(ids):
+                size = min(len(ids), WINDOW)
+                rows[size].append(np.lib.stride_tricks.sliding_window_view(ids, size))
+                owners[size].append(np.full(len(ids) - size + 1, name_of[item], np.int32))
         self.by_length = {}
-        for n in sorted({len(w) for w in holders}):
-            rows = [w for w in holders if len(w) == n]
-            self.by_length[n] = (np.array(rows, np.int64), [sorted(holders[w]) for w in rows])
+        for n in sorted(rows):
+            windows, which = np.unique(np.concatenate(rows.pop(n)), axis=0, return_inverse=True)
+            pair = np.unique(which.ravel().astype(np.int64) * len(self.names) + np.concatenate(owners.pop(n)))
+            first = np.searchsorted(pair, np.arange(len(windows) + 1) * len(self.names))
+            self.by_length[n] = (windows, first, (pair % len(self.names)).astype(np.int32))
         self.shortest = min(self.by_length, default=WINDOW)
 
 
@@ -155,7 +192,7 @@ def _search(numbers: list[np.ndarray], bench: Windows) -> tuple[list[list[tuple[
     text[np.cumsum(lens) - 1] = 1
     index = FMIndex(text)
     cover = np.zeros(len(seq) + 1, np.int32)
-    for size, (windows, holders) in bench.by_length.items():
+    for size, (windows, first, holders) in bench.by_length.items():
         lo, hi = index.search(windows)
         count = hi - lo
         which = np.repeat(np.arange(len(windows)), count)
@@ -167,7 +204,7 @@ def _search(numbers: list[np.ndarray], bench: Windows) -> tuple[list[list[tuple[
         np.add.at(cover, at + size, -1)
         pair = np.unique(np.searchsorted(starts, at, side="right") - 1 + which * n)
         for w, d in zip(pair // n, pair % n, strict=True):
-            items[d].update(holders[w])
+            items[d].update(bench.names[k] for k in holders[first[w] : first[w + 1]])
     hit = np.cumsum(cover[:-1]) > 0
     edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
     owner = np.searchsorted(starts, edge[::2], side="right") - 1

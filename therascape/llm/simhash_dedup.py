@@ -12,8 +12,12 @@ not broadcast: they grow with the corpus, so they stay where their shard is and
 them by the shuffle.  A shard returns links that join its fingerprints into the same groups as all links
 would (at most one for each fingerprint), and components are found by large-star/small-star rounds.
 
+No fingerprint, shard or component fills a task, whatever its share of the rows: joins on them go through
+``join_spread``, and a shard that was dealt again agrees on 48 bits, so it holds 65,536 fingerprints at most.
+
 Defined results: null or blank text has fingerprint zero and links like any other; repeated rows share a
-component; a null id never names a component unless all its ids are null; an empty table gives an empty table.
+component; a null id never names a component unless all its ids are null; an empty table gives an empty table;
+other columns, whatever their names, never meet those of the operator.
 """
 
 from __future__ import annotations
@@ -23,11 +27,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
-from therascape.llm.common import materialize, shuffle_width, table
+from therascape.llm.common import join_spread, materialize, shuffle_width, table
 
 RADIUS = 2
 SPLIT_OVER = 2000
@@ -49,16 +53,16 @@ def fingerprint(text: bytes | None) -> int:
     return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): the fingerprint, as a signed 64-bit integer, of every row."""
+def fingerprints(docs: DataFrame, carry: Column, text_col: str = "text") -> DataFrame:
+    """(carry, fp): the fingerprint, as a signed 64-bit integer, of every row, beside a column of the caller's choice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.fromiter((fingerprint(x.as_py()) for x in batch.column("text")), np.uint64, batch.num_rows)
-            yield pa.record_batch({"id": batch.column("id"), "fp": pa.array(fp.view(np.int64), pa.int64())})
+            yield pa.record_batch({"carry": batch.column("carry"), "fp": pa.array(fp.view(np.int64), pa.int64())})
 
-    src = docs.select(docs[id_col].alias("id"), docs[text_col].cast("binary").alias("text"))
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, fp long")
+    src = docs.select(carry.alias("carry"), docs[text_col].cast("binary").alias("text"))
+    return src.mapInArrow(run, T.StructType([src.schema["carry"]]).add("fp", "long"))
 
 
 class BKTree:
@@ -148,9 +152,9 @@ def shard_links(distinct: DataFrame, radius: int = RADIUS, split_over: int = SPL
     if radius > 2:
         raise ValueError("the pigeonhole rule here holds for a radius of 2 at most")
     n = shuffle_width(distinct.sparkSession)
-    keyed = distinct.select("fp", F.explode(F.array(*_pairs_of_blocks("fp", 0, 16))).alias("shard"))
-    sizes = keyed.groupBy("shard").agg(F.count("*").alias("size")).where("size > 1")
-    keyed = materialize(keyed.join(sizes, "shard"), "simhash-shards")
+    keyed = materialize(distinct.select("fp", F.explode(F.array(*_pairs_of_blocks("fp", 0, 16))).alias("shard")), "simhash-keys")
+    sizes = keyed.groupBy("shard").agg(F.count("*").alias("size")).where("size > 1").withColumn("n", F.col("size"))
+    keyed = materialize(join_spread(keyed, sizes, "shard", keyed.count()), "simhash-shards")
     links = _links(keyed.where(F.col("size") <= split_over).repartition(n, "shard").sortWithinPartitions("shard", "fp"), radius)
     large = keyed.where(F.col("size") > split_over)
     # the other two blocks of a large shard, as 32 bits together, are dealt again; ranks by pair number as in _pairs_of_blocks
@@ -176,10 +180,11 @@ def components(links: DataFrame) -> DataFrame:
     now = state(links)
     while now[0]:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("n"))
+        large = join_spread(both, least, "a", 2 * now[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = materialize(large, "links-large")
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = join_spread(large, least, "a", 2 * now[0])
         small = small.select("a", F.col("m").alias("b")).union(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
         links = materialize(small.where("a <> b").distinct(), "links")
         was, now = now, state(links)
@@ -188,28 +193,34 @@ def components(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _groups(fps: DataFrame, least: Column, radius: int) -> DataFrame:
+    """(fp, least, n, root) of each distinct fingerprint: the smallest ``least`` of its rows, their number and its group."""
+    distinct = materialize(fps.groupBy("fp").agg(F.min(least).alias("least"), F.count("*").alias("n")), "simhash-distinct")
+    roots = components(shard_links(distinct.select("fp"), radius))
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """(id, fp, component): for every row its fingerprint and the smallest id reachable over links."""
-    fps = materialize(fingerprints(docs, id_col, text_col), "simhash")
-    distinct = materialize(fps.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
-    roots = components(shard_links(distinct.select("fp"), radius))
-    group = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = group.groupBy("root").agg(F.min("least").alias("component"))
-    return fps.join(group.join(least, "root").select("fp", "component"), "fp").select("id", "fp", "component")
+    fps = materialize(fingerprints(docs, docs[id_col], text_col).withColumnRenamed("carry", "id"), "simhash")
+    group = materialize(_groups(fps, F.col("id"), radius), "simhash-groups")
+    least = group.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("n"))
+    members = join_spread(group.select("fp", F.col("n").alias("rows"), "root"), least, "root", group.count())
+    members = materialize(members.select("fp", "component", F.col("rows").alias("n")), "simhash-members")
+    return join_spread(fps, members, "fp", fps.count()).select("id", "fp", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The input's rows without near copies: of each group the row with the smallest id stays.
+    """The input's rows without near copies: exactly one row of each group stays, that with the smallest id.
 
-    Exact repetitions of a kept row (same id, same text) go too; rows that share a kept id with another text stay.
+    Null ids come last; of rows that share the smallest id any one stays.  The choice goes by a mark of the row, written once beside
+    it, so equal ids and equal rows do no harm.
     """
-    groups = near_groups(docs, id_col, text_col, radius).where(F.col("id").eqNullSafe(F.col("component"))).select("id").distinct()
-    hit = docs[id_col].eqNullSafe(groups["id"])
-    one = Window.partitionBy(docs[id_col], F.xxhash64(docs[text_col])).orderBy(F.lit(1))
-    mark = "n"
-    while mark in {c.lower() for c in docs.columns}:
-        mark += "_"
-    return docs.join(groups, hit, "left_semi").withColumn(mark, F.row_number().over(one)).where(F.col(mark) == 1).drop(mark)
+    row = F.struct(*[docs[c] for c in docs.columns])
+    rows = materialize(fingerprints(docs, row, text_col).withColumn("mark", F.monotonically_increasing_id()), "simhash-rows")
+    place = F.struct(F.col(f"carry.`{id_col}`").isNull().alias("no_id"), F.col(f"carry.`{id_col}`").alias("id"), "mark")
+    kept = _groups(rows, place, radius).groupBy("root").agg(F.min("least").alias("least")).select("least.mark")
+    return rows.join(kept, "mark", "left_semi").select(*[F.col(f"carry.`{c}`").alias(c) for c in docs.columns])
 
 
 def op8_simhash_bktree(spark, sf_dir):

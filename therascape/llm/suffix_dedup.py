@@ -4,7 +4,7 @@ Every byte covered by a ``width``-byte string that starts at two or more places
 The suffixes of the corpus are never sorted as a whole.  The work is laid out blockwise:
 
 1. Documents are packed into blocks of about ``BLOCK_BYTES`` and stored once, bucketed by block, in the
-   warehouse; every later pass reads the blocks where they are, without shuffling text again.
+   shared folder; every later pass reads the blocks where they are, without shuffling text again.
 2. A difference cover D modulo v picks sample suffixes: for any two positions some shift below v puts both
    on sample positions.  Sample suffixes get *names*: two samples share a name if and only if they agree on
    their first characters.  Names are compared one bucket of the name space at a time.
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from therascape.llm.common import materialize, shuffle_width, table
+from therascape.llm.common import materialize, shared_dir, shuffle_width, table
 
 WIDTH = 200
 #: Perfect difference set of order 11: every nonzero difference modulo 133 occurs once.
@@ -248,7 +248,15 @@ def _emit(which: str, text_col: str, n_buckets: int, width: int):
     return run
 
 
-def _cut(text_col: str, n_buckets: int, width: int, with_kept: bool):
+def whole_characters(gone: np.ndarray, text: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """``gone`` widened to characters: a UTF-8 character of which a byte goes, goes; ``starts`` of texts begin characters, too."""
+    begins = (text & 0xC0) != 0x80
+    begins[starts] = True
+    at = np.flatnonzero(begins)
+    return np.repeat(np.logical_or.reduceat(gone, at), np.diff(np.append(at, len(text)))) if len(at) else gone
+
+
+def _cut(text_col: str, n_buckets: int, width: int, characters: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _records(batches):
             work = Work(row, text_col, n_buckets, width)
@@ -257,9 +265,11 @@ def _cut(text_col: str, n_buckets: int, width: int, with_kept: bool):
             edge[np.flatnonzero(work.start)] += 1
             edge[np.flatnonzero(work.start) + width] -= 1
             gone = np.cumsum(edge, dtype=np.int32)[:n] > 0
+            starts = b.off[:-1][b.off[:-1] < n]
+            if characters:
+                gone = whole_characters(gone, b.text, starts)
             first = gone.copy()
             first[1:] &= ~gone[:-1]
-            starts = b.off[:-1][b.off[:-1] < n]
             first[starts] = gone[starts]
             total = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[b.off])
             removed, spans = total(gone), total(first)
@@ -271,18 +281,18 @@ def _cut(text_col: str, n_buckets: int, width: int, with_kept: bool):
             pairs = pa.StructArray.from_arrays([pa.array(at - base, pa.int64()), pa.array(np.flatnonzero(last) + 1 - base, pa.int64())], ["start", "end"])
             out = {"row": b.rows, "n_bytes": pa.array(np.diff(b.off), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64())}
             out["spans"] = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(spans))), pa.int32()), pairs)
-            if with_kept:
-                cuts = np.concatenate(([0], np.cumsum(np.diff(b.off) - removed))).astype(np.int32)
-                out["kept"] = pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(b.text[~gone].tobytes())])
+            cuts = np.concatenate(([0], np.cumsum(np.diff(b.off) - removed))).astype(np.int32)
+            out["kept"] = pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(b.text[~gone].tobytes())])
             yield pa.record_batch(out)
 
     return run
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text", width: int = WIDTH) -> DataFrame:
+def repeated_spans(docs: DataFrame, text_col: str = "text", width: int = WIDTH, characters: bool = False) -> DataFrame:
     """(row, n_bytes, n_removed, n_spans, spans, kept) for every input row.
 
-    ``spans`` are the maximal removed runs as byte offsets, ``kept`` the bytes left, ``row`` the input row.
+    ``spans`` are the maximal removed runs as byte offsets, ``kept`` the bytes left, ``row`` the input row.  With
+    ``characters`` a character of which a byte goes is removed as a whole, so that ``kept`` is text as far as the input was.
     """
     if width <= COVER_MOD:
         raise ValueError(f"width must be over {COVER_MOD}")
@@ -290,7 +300,8 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", width: int = WIDTH)
     src = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     packed = src.mapInArrow(_pack(text_col), _BLOCK_SCHEMA)
     buckets, name = shuffle_width(spark), f"therascape_suffix_{uuid.uuid4().hex}"
-    packed.repartition(buckets, "block").write.bucketBy(buckets, "block").format("parquet").saveAsTable(name)
+    path = f"{shared_dir(spark)}/therascape/suffix-blocks-{uuid.uuid4().hex}"
+    packed.repartition(buckets, "block").write.bucketBy(buckets, "block").format("parquet").option("path", path).saveAsTable(name)
     blocks = spark.table(name)
     size = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     n_buckets = max(buckets, -(-size * 8 * len(COVER) // (COVER_MOD * BUCKET_BYTES)))
@@ -300,24 +311,19 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", width: int = WIDTH)
         known = known.join(_verdicts(names, bytes_each, which), "block", "left")
     schema = T.StructType([src.schema["row"]]).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
     schema = schema.add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long"))).add("kept", "binary")
-    return known.mapInArrow(_cut(text_col, n_buckets, width, True), schema)
+    return known.mapInArrow(_cut(text_col, n_buckets, width, characters), schema)
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """The input's rows and columns with repeated bytes cut out of the text.
+    """The input's rows and columns with repeated bytes cut out of the text.  Every row stays.
 
-    A character of which a byte goes is cut as a whole, so the text stays valid UTF-8.  Every row stays.
+    A character of which a byte goes is cut as a whole; no other character is touched or made.
     """
-    out = repeated_spans(docs, text_col, width)
-    clean = F.when(F.col("n_spans") == 0, F.col(f"row.`{text_col}`")).otherwise(_decode(F.col("kept")))
+    out = repeated_spans(docs, text_col, width, characters=True)
+    clean = F.when(F.col("n_spans") == 0, F.col(f"row.`{text_col}`")).otherwise(F.col("kept").cast("string"))
     return out.select(*[clean.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
-def _decode(col):
-    """Bytes to text; a cut inside a character leaves stray bytes, which become U+FFFD and are dropped."""
-    return F.replace(F.make_valid_utf8(col.cast("string")), F.lit("�"), F.lit(""))
-
-
 def op2_suffix_dedup(spark, sf_dir):
     """Every document of ``documents``: what the removal of 200-byte repeats leaves."""
     out = repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -13,6 +13,7 @@ of about a megabyte.  Defined results: null and empty texts have no tokens and n
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -28,6 +29,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how this vocabulary's text is split before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 _made: dict[str, tuple] = {}
+#: Runs of white space (of Unicode) that are handed to the merges as the one piece that the pattern makes of them.
+LONG_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -47,6 +50,21 @@ def _encoder(key: str, sent) -> tuple:
     return _made[key]
 
 
+def encode(encoding, text: str) -> list[int]:
+    """The tokens of a whole text.
+
+    The pattern takes a run of white space but for its last character as one piece (at the end of a text all of it).  Its matcher
+    runs out of stack on very long ones, so these pieces are cut out here, where the pattern cuts anyway.
+    """
+    out, at = [], 0
+    for m in LONG_BLANK.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        out += encoding.encode_ordinary(text[at : m.start()])
+        out += encoding._encode_single_piece(text[m.start() : end])
+        at = end
+    return out + encoding.encode_ordinary(text[at:]) if at < len(text) else out
+
+
 def section_ends(text: bytes) -> np.ndarray:
     """Where the lines of a text end, line breaks included."""
     ends = np.flatnonzero(np.frombuffer(text, np.uint8) == 10) + 1
@@ -79,7 +97,7 @@ def counted(docs: DataFrame, vocabulary: str = VOCABULARY, rule: str = "first",
             counts, sections = [], []
             for x in batch.column("text"):
                 text = x.as_py() or ""
-                size = lengths[encoding.encode_ordinary(text)] if text else np.zeros(0, np.int64)
+                size = lengths[encode(encoding, text)] if text else np.zeros(0, np.int64)
                 counts.append(len(size))
                 sections.append(attribute(section_ends(text.encode()), size, rule))
             yield pa.record_batch({"row": batch.column("row"), "n_tokens": pa.array(counts, pa.int64()), "sections": pa.array(sections, pa.list_(pa.int64()))})
