@@ -2,7 +2,9 @@
 
 A text's UTF-8 bytes are cut where the gear hash of the last 32 bytes, h = (h << 1) + G[byte], has ``MASK_BITS`` zero
 bits, at least ``LEAST`` and at most ``MOST`` bytes after the last cut, so an insertion moves only the cuts near it.
-Chunks are compared by BLAKE2b digest (128 bits): the first one, by (doc_id, place), stays and every other one goes.
+Chunks are compared by BLAKE2b digest (128 bits): the first one, by (doc_id, place), stays and every other one is a
+repetition.  Repetitions that follow one another make a run; runs of ``LEAST_RUN`` bytes or more go, and so does a text
+that is one run whatever its length.  Shorter runs are turns of phrase that texts share by chance.
 The rows that meet are digests, not text, counted before they are shuffled; texts never move.  Digests of more than a fixed
 share of all chunks are broadcast (``join_spread``), so a hot chunk fills no task.
 
@@ -27,6 +29,7 @@ from therascape.llm.common import join_spread, materialize, table
 from therascape.llm.suffix_dedup import whole_characters
 
 LEAST, MOST, MASK_BITS = 32, 512, 5
+LEAST_RUN = 96
 GEAR = np.random.default_rng(64).integers(0, 1 << 32, 256, np.uint64).astype(np.uint32)
 
 
@@ -77,7 +80,7 @@ def chunks(docs: DataFrame, carry: Column, text_col: str = "text") -> DataFrame:
 
 
 def _with_spans(rows: DataFrame, id_of: str) -> DataFrame:
-    """The rows (carry, chunks, mark) with ``spans``: the byte ranges of chunks that are not the first of their digest."""
+    """(carry, n_bytes, n_chunks, spans) of rows (carry, chunks, mark): the byte ranges of repetitions in long runs."""
     every = rows.select(F.col(id_of).alias("id"), "mark", F.posexplode("chunks").alias("k", "c"), "chunks").select(
         "id", "mark", "k", F.coalesce(F.get("chunks.end", F.col("k") - 1), F.lit(0)).alias("start"), F.col("c.end").alias("end"), F.col("c.digest").alias("digest")
     )
@@ -87,7 +90,28 @@ def _with_spans(rows: DataFrame, id_of: str) -> DataFrame:
     total = rows.agg(F.sum(F.size("chunks"))).first()[0] or 0
     gone = join_spread(every, firsts, "digest", total).where("mark <> mark0 or k <> k0")
     gone = gone.groupBy("mark").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    return rows.join(gone, "mark", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")))
+    size = F.coalesce(F.array_max("chunks.end"), F.lit(0)).cast("long")
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    out = rows.join(gone, "mark", "left").select("carry", size.alias("n_bytes"), F.size("chunks").cast("long").alias("n_chunks"), F.coalesce("spans", none).alias("spans"))
+    return out.mapInArrow(_runs, out.schema)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with the spans of long runs alone."""
+    for batch in batches:
+        spans = batch.column("spans")
+        size = np.asarray(pa.compute.list_value_length(spans))
+        flat = spans.flatten()
+        start, end = (np.asarray(flat.field(c), np.int64) for c in ("start", "end"))
+        row = np.repeat(np.arange(len(size)), size)
+        fresh = np.ones(len(start), bool)
+        fresh[1:] = (row[1:] != row[:-1]) | (start[1:] != end[:-1])
+        run = np.cumsum(fresh) - 1
+        long = np.bincount(run, end - start) if len(run) else np.zeros(0)
+        keep = (long[run] >= LEAST_RUN) | (long[run] == np.asarray(batch.column("n_bytes"))[row])
+        offsets = np.concatenate(([0], np.cumsum(np.bincount(row[keep], minlength=len(size)))))
+        kept = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat.filter(pa.array(keep)))
+        yield batch.set_column(batch.schema.get_field_index("spans"), pa.field("spans", kept.type), kept)
 
 
 def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -95,10 +119,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = materialize(chunks(docs, docs[id_col], text_col).withColumn("mark", F.monotonically_increasing_id()), "chunks")
     out = _with_spans(rows, "carry")
     n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
-    size = F.coalesce(F.array_max("chunks.end"), F.lit(0))
-    return out.select(
-        F.col("carry").alias("id"), size.cast("long").alias("n_bytes"), F.size("chunks").cast("long").alias("n_chunks"), F.size("spans").cast("long").alias("n_removed_chunks"), n_removed.alias("n_removed"), "spans"
-    )
+    return out.select(F.col("carry").alias("id"), "n_bytes", "n_chunks", F.size("spans").cast("long").alias("n_removed_chunks"), n_removed.alias("n_removed"), "spans")
 
 
 def _kept(text: bytes, spans: list[dict]) -> str:

@@ -7,7 +7,9 @@ piece, so roots test whole texts for equality and differing branches locate edit
 Likeness is 1 for equal roots, else the Dice coefficient of the two sets of leaves.
 
 Defined results: null text is empty; two empty texts are alike (1); repeated rows keep one row each and follow one
-another in the order of (doc_id, text); null ids come last; a lone document's next document is itself.
+another in the order of (doc_id, text), or by a hash of the text where very many share an id; null ids come last; a lone
+document's next document is itself; an empty table gives an empty table; the operators put the input's columns
+inside ``row`` or leave them behind, so none can clash.
 """
 
 from __future__ import annotations
@@ -70,30 +72,49 @@ def fingerprinted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return src.withColumn("nodes", tree(F.col("text"))).select("row", "text", fingerprint_of(F.col("nodes")).alias("fingerprint"))
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _range_of(x: Column, edges: list) -> Column:
+    """How many of the sorted edges are at most x, looked up in two steps of about the root of their number."""
+    if not edges:
+        return F.lit(0)
+    step = max(1, int(len(edges) ** 0.5))
+    below = lambda xs: F.size(F.filter(xs, lambda b: b <= x))
+    part = below(F.array(*map(F.lit, edges[::step])))
+    fine = F.array(*[F.array(*map(F.lit, edges[k : k + step])) for k in range(0, len(edges), step)])
+    return F.when(part == 0, F.lit(0)).otherwise((part - 1) * step + below(F.element_at(fine, F.greatest(part, F.lit(1)))))
+
+
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", often: int = 100_000) -> DataFrame:
     """(id, text, fingerprint, next_text, next_fingerprint): next by descending id, after the last comes the first.
 
-    Documents are dealt by ranges of ids, so no task sees the whole order.  The first document of each range goes to
-    the range above as well, where it follows the last one; ranges are cut at approximate percentiles.
+    Documents are dealt by ranges of ids, so no task sees the whole order; ranges are cut at approximate percentiles.  An id (or
+    null) of over ``often`` rows and more than a range's worth is a group of its own, dealt again by hashes of the texts, in whose
+    order its rows then stand.  The first document of each group goes to the group before it as well, where it follows the last one.
     """
-    n = min(4 * shuffle_width(docs.sparkSession), 4096)
+    n = 4 * shuffle_width(docs.sparkSession)
     ids = docs.select(F.col(id_col).alias("id"))
-    bounds = ids.agg(F.percentile_approx("id", [k / n for k in range(1, n)], 20 * n)).first()[0] or []
-    bounds = F.array(*map(F.lit, sorted(set(bounds)))) if bounds else F.array().cast("array<long>")
-    group = F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.size(F.filter(bounds, lambda b: b <= F.col("id"))))
-    # a row for each range, at most n + 1: its first document and the range above, for the very first one the last range
-    heads = ids.withColumn("g", group).groupBy("g").agg(F.max("id").alias("head"))
-    above = F.lead("g").over(Window.orderBy("g"))
-    heads = heads.select("head", F.coalesce(above, F.lit(-2)).alias("up"))
-    lowest = ids.withColumn("g", group).agg(F.min("g").alias("low"))
-    heads = heads.crossJoin(F.broadcast(lowest)).select("head", F.when(F.col("up") == -2, F.col("low")).otherwise(F.col("up")).alias("up"))
-    full = fingerprinted(docs, text_col).select(F.col(f"row.`{id_col}`").alias("id"), "text", "fingerprint").withColumn("g", group)
-    both = full.join(F.broadcast(heads), F.col("id").eqNullSafe(F.col("head")), "left")
-    places = F.when(F.col("up").isNull(), F.array(F.struct(F.col("g"), F.lit(0).alias("late")))).otherwise(F.array(F.struct(F.col("g"), F.lit(0).alias("late")), F.struct(F.col("up").alias("g"), F.lit(1).alias("late"))))
-    dealt = both.select("id", "text", "fingerprint", F.explode(places).alias("at")).select("id", "text", "fingerprint", "at.*")
-    order = Window.partitionBy("g").orderBy("late", F.desc_nulls_last("id"), "text")
-    seen = dealt.withColumn("next", F.lead(F.struct("text", "fingerprint")).over(order)).where("late = 0")
-    return seen.select("id", "text", "fingerprint", F.col("next.text").alias("next_text"), F.col("next.fingerprint").alias("next_fingerprint"))
+    seen = ids.groupBy("id").agg(F.count("*").alias("c"))
+    rows, cuts = ids.agg(F.count("*"), F.percentile_approx("id", [k / n for k in range(1, n)], 20 * n)).first()
+    # each has more than 1 / n of all rows, so these are fewer than n
+    hot = seen.where(F.col("c") > max(often, rows // n)).collect()
+    edges = sorted({*(cuts or []), *[r["id"] for r in hot if r["id"] is not None]})
+    parts = F.coalesce(*[F.when(F.col("id").eqNullSafe(r["id"]), -(-r["c"] * n // rows)) for r in hot], F.lit(0))
+    # in the order of documents: ranges from above, null ids last; an often repeated id is the least of its range
+    range_of = F.when(F.col("id").isNull(), F.lit(1)).otherwise(-_range_of(F.col("id"), edges))
+    group = F.struct(range_of.alias("range"), (parts > 0).alias("repeated"), F.when(parts > 0, F.pmod(F.col("tie"), parts)).otherwise(0).alias("part"))
+    dealt = lambda df: df.withColumn("tie", F.when(parts > 0, F.xxhash64("text")) if hot else F.lit(None).cast("long")).withColumn("g", group)
+    ids = docs.select(F.col(id_col).alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    # a row for each group, some n at most: its first document's id and hash, and the group before it, for the first one the last
+    heads = dealt(ids).groupBy("g").agg(F.max("id").alias("head"), F.min("tie").alias("head_tie"))
+    whole = Window.orderBy("g").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = heads.select("g", "head", "head_tie", F.coalesce(F.lag("g").over(Window.orderBy("g")), F.last("g").over(whole)).alias("up"))
+    full = dealt(fingerprinted(docs, text_col).select(F.col(f"row.`{id_col}`").alias("id"), "text", "fingerprint"))
+    both = full.join(F.broadcast(heads), "g")
+    early, late = (F.struct(F.col(g).alias("g"), F.lit(k).alias("late")) for g, k in (("g", 0), ("up", 1)))
+    first = F.col("id").eqNullSafe(F.col("head")) & F.col("tie").eqNullSafe(F.col("head_tie"))
+    dealt_rows = both.select("id", "text", "fingerprint", "tie", F.explode(F.when(first, F.array(early, late)).otherwise(F.array(early))).alias("at"))
+    order = Window.partitionBy("at.g").orderBy("at.late", F.desc_nulls_last("id"), "tie", "text")
+    out = dealt_rows.withColumn("next", F.lead(F.struct("text", "fingerprint")).over(order)).where("at.late = 0")
+    return out.select("id", "text", "fingerprint", F.col("next.text").alias("next_text"), F.col("next.fingerprint").alias("next_fingerprint"))
 
 
 def op4_merkle_fingerprints(spark, sf_dir):

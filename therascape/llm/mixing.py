@@ -7,12 +7,12 @@ given less than one block more or less than its share, and the schedule repeats
 period is therefore computed from the weights alone, by a fold over its Q slots, and every block's slot
 follows by arithmetic; no task walks over the blocks of a source.
 
-Within a source documents stand in the order of (md5 of the id, id).  Positions are counted for 256 ranges of
+Within a source documents stand in the order of (md5 of the id, id).  Positions are counted for 256 or more ranges of
 that digest apart and put together by a sum over counts, so a source with a third of all rows is spread as well.
 
 No row is dropped or repeated.  A source that runs out leaves its slots empty, from then on shares are of what is left:
 ``full_mix`` says whether a block's slot lies before the first empty one.  Defined results: null is a source of
-its own; null ids come last in their source; repeated rows take places of their own; sources without a given
+its own; null ids come last in their source, in any order; repeated rows take places of their own; sources without a given
 weight get weight 1; an empty table gives an empty table; other columns come back inside ``row``.
 """
 
@@ -22,11 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from therascape.llm.common import materialize, table
+from therascape.llm.common import materialize, shuffle_width, table
 
 BLOCK_ROWS = 16
 #: Slots over which the default weights are spread.
 SLOTS = 1000
+#: Slots times sources of a period at most; a million take about five seconds.
+MOST_STEPS = 1 << 24
+#: Slots that one inner fold fills.
+LEAP = 128
 
 
 def default_weights(counts: DataFrame) -> DataFrame:
@@ -35,18 +39,35 @@ def default_weights(counts: DataFrame) -> DataFrame:
     return counts.withColumn("q", F.greatest(F.lit(1), F.floor(F.lit(SLOTS) * share + 0.5)).cast("long"))
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _common_divisor(w: Column) -> Column:
+    """The greatest common divisor of all q by Euclid's steps (92 suffice for 64 bits)."""
+    euclid = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.coalesce(s["a"] % F.nullif(s["b"], F.lit(0)), F.lit(0).cast("long")).alias("b")))
+    both = lambda a, x: F.aggregate(F.sequence(F.lit(1), F.lit(92)), F.struct(a.alias("a"), x["q"].alias("b")), euclid, lambda s: s["a"])
+    return F.aggregate(w, F.lit(0).cast("long"), both)
+
+
 def one_period(weights: DataFrame) -> DataFrame:
     """(key, q, k, slot, period): the slots of each source's first q blocks; weights: (key, q), a row for each source.
 
-    The weights are a parameter of as many rows as there are sources, folded in one row.
+    The q that come back are divided by their greatest common divisor, so that the period is as short as can be.  The weights are a
+    parameter of as many rows as there are sources, folded in one row; a period times sources over ``MOST_STEPS`` is an error.
     """
-    one = weights.agg(F.array_sort(F.collect_list(F.struct("key", "q"))).alias("w"))
-    one = one.withColumn("period", F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + x["q"])).where("period > 0")
+    one = weights.agg(F.array_sort(F.collect_list(F.struct("key", "q"))).alias("w")).where(F.size("w") > 0).withColumn("g", _common_divisor(F.col("w")))
+    one = one.select(F.transform("w", lambda x: F.struct(x["key"].alias("key"), F.floor(x["q"] / F.col("g")).cast("long").alias("q"))).alias("w"))
+    one = one.withColumn("period", F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + x["q"]))
+    far = F.raise_error(F.lit(f"period of the weights times sources is over {MOST_STEPS}: use rounder weights")).cast("long")
+    one = one.withColumn("period", F.when(F.col("period") * F.size("w") > MOST_STEPS, far).otherwise(F.col("period")))
+    one = materialize(one, "weights")  # one row; else the divided weights would be computed anew for each slot
     first = F.transform("w", lambda x: F.lit(1).cast("long"))
-    due = lambda nxt, t: F.array_min(
+    due = lambda w, nxt, t: F.array_min(
         F.filter(
             F.transform(
-                F.arrays_zip(nxt.alias("k"), F.col("w").alias("w")),
+                F.arrays_zip(nxt.alias("k"), w.alias("w")),
                 lambda x, i: F.struct(
                     F.ceil(x["k"] * F.col("period") / x["w"]["q"]).cast("long").alias("deadline"), i.cast("int").alias("i"), x["k"].alias("k"), ((x["k"] - 1) * F.col("period")).alias("lead"), x["w"]["q"].alias("q")
                 ),
@@ -56,11 +77,22 @@ def one_period(weights: DataFrame) -> DataFrame:
     )
     empty = F.array().cast("array<struct<i:int,k:bigint,slot:bigint>>")
 
-    def step(acc: Column, t: Column) -> Column:
-        pick = F.transform(F.array(due(acc["nxt"], t)), lambda d: F.struct(F.transform(acc["nxt"], lambda k, i: F.when(i == d["i"], k + 1).otherwise(k)).alias("nxt"), F.concat(acc["out"], F.array(F.struct(d["i"].alias("i"), d["k"].alias("k"), t.alias("slot")))).alias("out")))
-        return F.element_at(pick, 1)
+    def step(w: Column, acc: Column, t: Column) -> Column:
+        return _let(
+            due(w, acc["nxt"], t),
+            lambda d: F.struct(F.transform(acc["nxt"], lambda k, i: F.when(i == d["i"], k + 1).otherwise(k)).alias("nxt"), F.concat(acc["out"], F.array(F.struct(d["i"].alias("i"), d["k"].alias("k"), t.alias("slot")))).alias("out")),
+        )
+
+    def leap(w: Column, acc: Column, begin: Column) -> Column:
+        """``LEAP`` slots from ``begin``: their list grows by itself, so the long one is copied once for all of them."""
+        slots = F.sequence(begin, F.least(begin + (LEAP - 1), F.col("period") - 1))
+        part = F.aggregate(slots, F.struct(acc["nxt"].alias("nxt"), empty.alias("out")), lambda a, t: step(w, a, t))
+        return _let(part, lambda p: F.struct(p["nxt"].alias("nxt"), F.concat(acc["out"], p["out"]).alias("out")))
 
-    fold = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("period") - 1), F.struct(first.alias("nxt"), empty.alias("out")), step, lambda a: a["out"])
+    begins = F.sequence(F.lit(0).cast("long"), F.col("period") - 1, F.lit(LEAP).cast("long"))
+    # the weights are copied out of the row's bytes once, which makes each of the many looks at them cheap
+    copied = F.transform("w", lambda x: F.struct(x["q"].alias("q")))
+    fold = _let(copied, lambda w: F.aggregate(begins, F.struct(first.alias("nxt"), empty.alias("out")), lambda a, b: leap(w, a, b), lambda a: a["out"]))
     out = one.select("w", "period", F.explode(fold).alias("s"))
     at = F.element_at("w", F.col("s.i") + 1)
     return out.select(at["key"].alias("key"), at["q"].alias("q"), F.col("s.k").alias("k"), F.col("s.slot").alias("slot"), "period")
@@ -72,7 +104,11 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, id_col: str = "d
     ``position`` orders the mix: slot * block_rows + the row's place in its block.  All times count blocks.
     """
     src = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), F.coalesce(F.concat(F.lit("s:"), docs[source_col].cast("string")), F.lit("null")).alias("key"))
-    src = src.withColumn("digest", F.coalesce(F.md5(F.col("id").cast("string")), F.lit("~"))).withColumn("part", F.left("digest", F.lit(2)))
+    # digests are cut to ranges: 256 of them on a small cluster, 16 times the shuffle partitions or more on a large one
+    digits = max(2, len(f"{shuffle_width(docs.sparkSession):x}") + 1)
+    # rows without an id are dealt by their place, since they have no digest to spread them
+    no_id = F.concat(F.lit("~"), F.lpad(F.hex(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(16 ** (digits - 1)))), digits - 1, "0"))
+    src = src.withColumn("digest", F.coalesce(F.md5(F.col("id").cast("string")), no_id)).withColumn("part", F.left("digest", F.lit(digits)))
     parts = src.groupBy("key", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.select("key", "part", F.coalesce(before, F.lit(0)).alias("before"))
@@ -86,12 +122,12 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, id_col: str = "d
     period = materialize(one_period(weighted.select("key", "q")), "period")
     # the first empty slot: each source's block after its last
     blocks = F.ceil(F.col("rows") / block_rows).cast("long")
-    after = weighted.select("key", blocks.alias("b")).join(period, "key").where(F.col("k") == F.col("b") % F.col("q") + 1)
+    after = counts.select("key", blocks.alias("b")).join(period, "key").where(F.col("k") == F.col("b") % F.col("q") + 1)
     empty = after.agg(F.min(F.floor(F.col("b") / F.col("q")) * F.col("period") + F.col("slot")).alias("empty"))
     order = Window.partitionBy("key", "part").orderBy("digest", F.asc_nulls_last("id"))
     placed = src.withColumn("n", F.row_number().over(order)).join(parts, ["key", "part"])
     placed = placed.withColumn("n", F.col("before") + F.col("n") - 1).withColumn("block", F.floor(F.col("n") / block_rows).cast("long") + 1)
-    placed = placed.join(weighted.select("key", "q"), "key").withColumn("k", (F.col("block") - 1) % F.col("q") + 1).drop("q")
+    placed = placed.join(F.broadcast(period.where("k = 1").select("key", "q")), "key").withColumn("k", (F.col("block") - 1) % F.col("q") + 1).drop("q")
     placed = placed.join(period, ["key", "k"]).join(F.broadcast(empty))
     slot = F.floor((F.col("block") - 1) / F.col("q")) * F.col("period") + F.col("slot")
     return placed.select(
