@@ -3,6 +3,10 @@ passages and benchmark passages are cut out, and the sources are mixed to target
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
 one's docs.  All but the last return the columns of documents; n_chars follows a changed text.
+
+Defined results: null and empty texts pass toxicity and form one near-duplicate group, of which one row stays; of repeated
+rows one stays; a null source is mixed as one of its own; extra columns pass through, and the columns that mixing adds take a longer
+prefix where an input column has theirs; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -35,8 +39,11 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = mixing.mix(docs)
-    return out.select("row.*", *[F.col(c).alias(f"mix_{c}") for c in ("block", "release", "deadline", "slot", "position", "full_mix")])
+    added = ("block", "release", "deadline", "slot", "position", "full_mix")
+    prefix = "mix_"
+    while {f"{prefix}{c}" for c in added} & {c.lower() for c in docs.columns}:
+        prefix = f"mix_{prefix}"
+    return mixing.mix(docs).select("row.*", *[F.col(c).alias(f"{prefix}{c}") for c in added])
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_copies), ("suffix_dedup", cut_repeats), ("decontamination", cut_benchmark), ("mixing", mix_sources)]
