@@ -12,7 +12,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from therascape.llm import chunk_dedup, licenses, merkle, mixing, quality, simhash_dedup, suffix_dedup, token_counts, toxicity
+from therascape.llm import chunk_dedup, decontaminate, licenses, merkle, mixing, quality, simhash_dedup, suffix_dedup, token_counts, toxicity
 from therascape.llm.features import held_out, word_slots
 from therascape.llm.queries import ORACLE_SQL, QUERIES
 
@@ -421,3 +421,26 @@ def test_pipeline_stages_and_run(spark, folder):
 
 def test_pipeline_of_an_empty_table(spark, empty):
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_fm_index_finds_every_place():
+    rng = np.random.default_rng(8)
+    for n, top in ((1, 1), (60, 2), (400, 5), (3000, 300)):
+        seq = np.tile(rng.integers(1, top + 1, n), 2)
+        index = decontaminate.FMIndex.restored(decontaminate.FMIndex.of(seq).arrays())
+        full = [*seq.tolist(), 0]
+        assert decontaminate.suffix_array(np.array(full)).tolist() == sorted(range(len(full)), key=lambda k: full[k:])
+        for size in (1, 2, 7):
+            windows = np.array([rng.integers(1, top + 2, size) for _ in range(20)] + [seq[k : k + size] for k in range(0, max(0, len(seq) - size + 1), 1 + n // 20)])
+            lo, hi = index.search(windows)
+            for w, a, b in zip(windows, lo, hi):
+                want = [k for k in range(len(seq) - size + 1) if (seq[k : k + size] == w).all()]
+                assert sorted(index.locate(np.arange(a, b)).tolist()) == want
+
+
+def test_benchmark_in_parts_finds_the_same(spark, folder):
+    docs, bench = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
+    shards = decontaminate.indexed(docs)
+    row = decontaminate.hits(docs, bench).schema["row"]
+    one, many = (sorted(decontaminate.search(shards, bench, row, b).collect(), key=str) for b in (1 << 20, 20))
+    assert one == many and sum(len(r.spans) for r in one) > 0

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +55,55 @@ def as_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def shuffle_width(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+BLOCK_SCHEMA = "block long, n_bytes long, data binary"
+
+
+def pack(text_col: str, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: rows (row) packed in blocks of ``most`` bytes of text or little more, each one Arrow stream."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        seq, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def out() -> pa.RecordBatch:
+            nonlocal seq, held, size
+            whole = pa.Table.from_batches(held)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(whole.combine_chunks())
+            made = pa.record_batch({"block": pa.array([seq], pa.int64()), "n_bytes": pa.array([size], pa.int64()), "data": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+            seq, held, size = seq + 1, [], 0
+            return made
+
+        for batch in batches:
+            rows = batch.column("row")
+            lens = np.asarray(pa.compute.binary_length(rows.field(text_col).fill_null("")).to_numpy(zero_copy_only=False), np.int64)
+            a = 0
+            for k, x in enumerate(lens):
+                size += int(x)
+                if size >= most:
+                    held.append(batch.slice(a, k + 1 - a))
+                    yield out()
+                    a = k + 1
+            if a < len(lens):
+                held.append(batch.slice(a))
+        if held:
+            yield out()
+
+    return run
+
+
+def unpacked(data: bytes) -> pa.StructArray:
+    """The rows of a block."""
+    with pa.ipc.open_stream(data) as r:
+        whole = r.read_all()
+    return whole["row"].combine_chunks() if whole.num_rows else pa.array([], whole.schema.field("row").type)
+
+
+def records(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield {c: batch.column(c)[k].as_py() for c in batch.schema.names}

@@ -4,22 +4,26 @@ Words are maximal runs of digits, lower-case letters (A-Z folded) and non-ASCII
 consecutive words of a benchmark item, or a whole item that has fewer.  Every document word inside any
 occurrence of a window is hit.
 
-A shard is one Arrow batch of documents.  Only runs of words that the benchmark knows can hold a window, so
-the shard's index covers those runs: a suffix array by prefix doubling, its Burrows-Wheeler transform in a
-wavelet matrix whose ranks drive the backward search of all windows at once, and suffix positions sampled
-every ``SAMPLE`` symbols, from which occurrences are located.  Hits are merged to removal spans.
+A shard is a block of documents of about ``SHARD_BYTES``.  Its index covers all its words, numbered by the shard's own
+vocabulary: a suffix array by prefix doubling, its Burrows-Wheeler transform in a wavelet matrix whose ranks drive the
+backward search of all windows at once, and suffix positions sampled every ``SAMPLE`` symbols, from which occurrences
+are located.  Shards and indexes are written once to the shared folder (``indexed``) and serve any number of benchmarks
+(``search``).  Hits are merged to removal spans.
 
-The benchmark is broadcast in parts of at most ``PART_BYTES`` of text; a larger one takes several passes, whose
-hits are merged row by row.
+The benchmark is broadcast in parts of at most ``PART_BYTES`` of text; a larger one takes several passes over the
+indexes, whose hits are written and merged.
 
 Defined results: null has no words; items without words have no windows; items that share an id count once; a
-null item id reads "null"; repeated documents are treated alike; empty tables give no hits.
+null item id reads "null"; repeated documents are treated alike; empty tables give no hits; the input's columns, whatever
+their names, come back inside ``row``.
 """
 
 from __future__ import annotations
 
+import io
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from therascape.llm.common import table
+from therascape.llm.common import BLOCK_SCHEMA, materialize, pack, records, table, unpacked
 
 WINDOW = 10
 SAMPLE = 8
+SHARD_BYTES = 2 << 20
 #: Bytes of benchmark text broadcast at once; its windows take about 20 times as many in the driver and in each worker.
 PART_BYTES = 4 << 20
 _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -43,10 +48,14 @@ def words_of(text: bytes | None) -> list[bytes]:
 class Bits:
     """A bit vector with ranks: bits packed in words, and the ones before each word."""
 
-    def __init__(self, bits: np.ndarray):
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        self.before = np.concatenate(([0], np.cumsum(np.bitwise_count(words), dtype=np.int32)))
+
+    @classmethod
+    def of(cls, bits: np.ndarray) -> Bits:
         packed = np.packbits(bits, bitorder="little")
-        self.words = np.frombuffer(packed.tobytes() + bytes(16 - len(packed) % 8), "<u8")
-        self.before = np.concatenate(([0], np.cumsum(np.bitwise_count(self.words), dtype=np.int32)))
+        return cls(np.frombuffer(packed.tobytes() + bytes(16 - len(packed) % 8), "<u8"))
 
     def ones(self, at: np.ndarray) -> np.ndarray:
         """How many bits are set before each place."""
@@ -61,12 +70,19 @@ class Bits:
 class WaveletMatrix:
     """Ranks of symbols in a sequence, one bit level after another; queries are arrays."""
 
-    def __init__(self, seq: np.ndarray, levels: int):
-        self.levels = []
-        for bit in range(levels - 1, -1, -1):
+    def __init__(self, levels: list[Bits], zeros: list[int]):
+        """Bits and their zeros from the highest bit of the symbols to the lowest."""
+        self.levels = [(len(levels) - 1 - k, b, int(n)) for k, (b, n) in enumerate(zip(levels, zeros, strict=True))]
+
+    @classmethod
+    def of(cls, seq: np.ndarray, n_bits: int) -> WaveletMatrix:
+        levels, zeros = [], []
+        for bit in range(n_bits - 1, -1, -1):
             one = (seq >> bit) & 1 > 0
-            self.levels.append((bit, Bits(one), int(len(seq) - one.sum())))
+            levels.append(Bits.of(one))
+            zeros.append(int(len(seq) - one.sum()))
             seq = np.concatenate([seq[~one], seq[one]])
+        return cls(levels, zeros)
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol occurs before each place."""
@@ -87,28 +103,54 @@ class WaveletMatrix:
         return symbol, at - first
 
 
+def suffix_array(seq: np.ndarray) -> np.ndarray:
+    """Places of the suffixes in sorted order, by prefix doubling; the last symbol must be the least and occur once.
+
+    A suffix's rank is where its group of equal beginnings starts; only groups of two and more are sorted on.
+    """
+    n = len(seq)
+    order = np.argsort(seq, kind="stable")
+    fresh = np.concatenate(([True], seq[order[1:]] != seq[order[:-1]]))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    shared = ~(fresh & np.append(fresh[1:], True))
+    act, step = np.flatnonzero(shared), 1
+    while len(act):
+        at = order[act]
+        key = rank[at] * (n + 1) + rank[at + step]
+        turn = np.argsort(key, kind="stable")
+        at, key = at[turn], key[turn]
+        order[act] = at
+        fresh = np.concatenate(([True], key[1:] != key[:-1]))
+        rank[at] = np.maximum.accumulate(np.where(fresh, act, 0))
+        act = act[~(fresh & np.append(fresh[1:], True))]
+        step *= 2
+    return order
+
+
 class FMIndex:
     """Over a sequence of symbols of at least 1; 0 is added as its end."""
 
-    def __init__(self, seq: np.ndarray):
+    def __init__(self, n: int, first: np.ndarray, ranks: WaveletMatrix, sampled: Bits, places: np.ndarray):
+        self.n, self.top, self.first, self.ranks, self.sampled, self.places = n, len(first) - 2, first, ranks, sampled, places
+
+    @classmethod
+    def of(cls, seq: np.ndarray) -> FMIndex:
         seq = np.append(seq, 0).astype(np.int64)
-        n = len(seq)
-        rank, step = seq, 1
-        while True:
-            key = rank * (max(int(rank.max()), n) + 2)
-            key[: n - step] += rank[step:] + 1
-            order = np.argsort(key, kind="stable")
-            fresh = np.concatenate(([0], np.cumsum(key[order[1:]] != key[order[:-1]])))
-            rank = np.empty(n, np.int64)
-            rank[order] = fresh
-            step *= 2
-            if fresh[-1] == n - 1 or step >= n:
-                break
-        self.n, self.top = n, int(seq.max())
-        self.first = np.concatenate(([0], np.cumsum(np.bincount(seq, minlength=self.top + 1))))
-        self.ranks = WaveletMatrix(seq[order - 1], max(1, self.top.bit_length()))
-        sampled = order % SAMPLE == 0
-        self.sampled, self.places = Bits(sampled), order[sampled].astype(np.int32)
+        order, top = suffix_array(seq), int(seq.max())
+        first = np.concatenate(([0], np.cumsum(np.bincount(seq, minlength=top + 1))))
+        taken = order % SAMPLE == 0
+        return cls(len(seq), first, WaveletMatrix.of(seq[order - 1], max(1, top.bit_length())), Bits.of(taken), order[taken].astype(np.int32))
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        """What is kept of the index; ``restored`` makes it again."""
+        out = {f"level{k}": b.words for k, (_, b, _) in enumerate(self.ranks.levels)}
+        return out | {"zeros": np.array([n for *_, n in self.ranks.levels]), "n": np.array(self.n), "first": self.first, "sampled": self.sampled.words, "places": self.places}
+
+    @classmethod
+    def restored(cls, a: dict[str, np.ndarray]) -> FMIndex:
+        ranks = WaveletMatrix([Bits(a[f"level{k}"]) for k in range(len(a["zeros"]))], a["zeros"].tolist())
+        return cls(int(a["n"]), a["first"], ranks, Bits(a["sampled"]), a["places"])
 
     def search(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search of all rows of a matrix: where each one's suffixes start and end."""
@@ -164,53 +206,56 @@ class Windows:
             pair = np.unique(which.ravel().astype(np.int64) * len(self.names) + np.concatenate(owners.pop(n)))
             first = np.searchsorted(pair, np.arange(len(windows) + 1) * len(self.names))
             self.by_length[n] = (windows, first, (pair % len(self.names)).astype(np.int32))
-        self.shortest = min(self.by_length, default=WINDOW)
 
 
-def _search(numbers: list[np.ndarray], bench: Windows) -> tuple[list[list[tuple[int, int]]], list[set[str]]]:
-    """For each document the merged hit spans, as [first word, last word + 1), and the items found."""
-    n = len(numbers)
+def index_of(texts: list[bytes | None]) -> bytes:
+    """The index of a shard's texts: words numbered from 2 in the order they first come, 1 after each text."""
+    number: dict[bytes, int] = {}
+    parts, sizes = [], []
+    for text in texts:
+        found = words_of(text)
+        sizes.append(len(found))
+        parts += [np.fromiter((number.setdefault(w, len(number) + 2) for w in found), np.int32, len(found)), np.ones(1, np.int32)]
+    index = FMIndex.of(np.concatenate(parts) if parts else np.zeros(0, np.int32))
+    words = np.frombuffer(b" ".join(number), np.uint8)
+    sink = io.BytesIO()
+    np.savez(sink, words=words, sizes=np.array(sizes, np.int64), **index.arrays())
+    return sink.getvalue()
+
+
+def find(index: bytes, bench: Windows) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set[str]]]:
+    """Of a shard's documents: their words, the merged hit spans, as [first word, last word + 1), and the items found."""
+    with np.load(io.BytesIO(index)) as f:
+        kept = dict(f)
+    sizes, shard = kept["sizes"], FMIndex.restored(kept)
+    n, starts = len(sizes), np.cumsum(sizes + 1) - sizes - 1
     spans: list[list[tuple[int, int]]] = [[] for _ in range(n)]
     items: list[set[str]] = [set() for _ in range(n)]
-    if not n or not bench.by_length:
-        return spans, items
-    sizes = np.array([len(x) + 1 for x in numbers])
-    seq = np.zeros(int(sizes.sum()), np.int32)  # 0 parts documents here
-    starts = np.cumsum(sizes) - sizes
-    for a, x in zip(starts, numbers, strict=True):
-        seq[a : a + len(x)] = x
-    inside = seq > 0
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], inside.view(np.int8), [0]))))
-    a, b = edge[::2], edge[1::2]
-    keep = b - a >= bench.shortest
-    a, b = a[keep], b[keep]
-    if not len(a):
-        return spans, items
-    lens = b - a + 1  # with the separator that follows
-    place = np.repeat(a - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())  # place in seq of each symbol
-    text = seq[np.minimum(place, len(seq) - 1)].astype(np.int64)
-    text[np.cumsum(lens) - 1] = 1
-    index = FMIndex(text)
-    cover = np.zeros(len(seq) + 1, np.int32)
+    known = np.fromiter(map(bench.number.get, kept["words"].tobytes().split(), repeat(0)), np.int64)
+    symbol = np.zeros(len(bench.number) + 2, np.int64)  # of each benchmark word in this shard
+    symbol[known[known > 0]] = np.flatnonzero(known) + 2
+    cover = np.zeros(shard.n + WINDOW + 1, np.int32)
     for size, (windows, first, holders) in bench.by_length.items():
-        lo, hi = index.search(windows)
+        here = symbol[windows]
+        may = np.flatnonzero((here > 0).all(1))
+        lo, hi = shard.search(here[may])
         count = hi - lo
-        which = np.repeat(np.arange(len(windows)), count)
+        which = np.repeat(may, count)
         if not len(which):
             continue
         rows = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
-        at = place[index.locate(rows)]
+        at = shard.locate(rows)
         np.add.at(cover, at, 1)
         np.add.at(cover, at + size, -1)
         pair = np.unique(np.searchsorted(starts, at, side="right") - 1 + which * n)
         for w, d in zip(pair // n, pair % n, strict=True):
             items[d].update(bench.names[k] for k in holders[first[w] : first[w + 1]])
-    hit = np.cumsum(cover[:-1]) > 0
+    hit = np.cumsum(cover) > 0
     edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
     owner = np.searchsorted(starts, edge[::2], side="right") - 1
     for d, x, y in zip(owner, edge[::2] - starts[owner], edge[1::2] - starts[owner], strict=True):
         spans[d].append((int(x), int(y)))
-    return spans, items
+    return sizes, spans, items
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -223,41 +268,81 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
-    """(row, text, n_words, spans, items) for every input row; spans of hit words, items sorted as strings."""
-    spark = docs.sparkSession
+def indexed(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(block, n_bytes, data, index): the documents in shards with their FM-indexes, written to the shared folder."""
+    src = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    out = T.StructType.fromDDL(BLOCK_SCHEMA).add("index", "binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in records(batches):
+            texts = unpacked(row["data"]).field(text_col).cast(pa.binary()).to_pylist()
+            yield pa.record_batch({k: pa.array([v], pa.int64() if isinstance(v, int) else pa.binary()) for k, v in (row | {"index": index_of(texts)}).items()})
+
+    return materialize(src.mapInArrow(pack(text_col, SHARD_BYTES), BLOCK_SCHEMA).mapInArrow(run, out), "fm-shards")
+
+
+_FOUND = "block long, words array<long>, spans array<array<struct<first:long,end:long>>>, items array<array<string>>"
+_FOUND_SPANS = pa.list_(pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))
+
+
+def _found(shards: DataFrame, sent) -> DataFrame:
+    """For each shard what one part of the benchmark finds in it; texts are not read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in records(batches):
+            sizes, spans, items = find(row["index"], sent.value)
+            yield pa.record_batch(
+                {
+                    "block": pa.array([row["block"]], pa.int64()),
+                    "words": pa.array([sizes], pa.list_(pa.int64())),
+                    "spans": pa.array([[[{"first": a, "end": b} for a, b in x] for x in spans]], _FOUND_SPANS),
+                    "items": pa.array([[sorted(x) for x in items]], pa.list_(pa.list_(pa.string()))),
+                }
+            )
+
+    return shards.select("block", "index").mapInArrow(run, _FOUND)
+
+
+def search(shards: DataFrame, benchmark: DataFrame, row: T.StructField, part_bytes: int = PART_BYTES) -> DataFrame:
+    """(row, n_words, spans, items) for every document of indexed shards: spans of hit words, items sorted as strings.
+
+    ``row`` is the field that the documents' rows have, as in ``hits``.
+    """
+    spark = shards.sparkSession
     bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("binary").alias("text"))
     parts = max(1, -(-(bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part_bytes))
-    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(text_col).cast("binary").alias("text"))
-    span = T.ArrayType(T.StructType().add("first", "long").add("end", "long"))
-    out = row.select("row", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast(span).alias("spans"), F.array().cast("array<string>").alias("items"))
+    found = None
     for part in range(parts):
-        rows = bench.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part) if parts > 1 else bench
-        sent = spark.sparkContext.broadcast(Windows([tuple(x) for x in rows.collect()]))  # at most about part_bytes of text
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            known = sent.value
-            for batch in batches:
-                words, get = [], known.number.get
-                for x in batch.column("text"):
-                    found = words_of(x.as_py())
-                    words.append(np.array([get(w, 0) for w in found], np.int32))
-                spans, items = _search(words, known)
-                if parts > 1:
-                    spans = [_merged([(y["first"], y["end"]) for y in x.as_py()] + s) for x, s in zip(batch.column("spans"), spans, strict=True)]
-                    items = [set(x.as_py()) | s for x, s in zip(batch.column("items"), items, strict=True)]
-                yield pa.record_batch(
-                    {
-                        "row": batch.column("row"),
-                        "text": batch.column("text"),
-                        "n_words": pa.array([len(x) for x in words], pa.int64()),
-                        "spans": pa.array([[{"first": a, "end": b} for a, b in x] for x in spans], pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))),
-                        "items": pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-                    }
-                )
-
-        out = out.mapInArrow(run, out.schema)
-    return out
+        rows = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part) if parts > 1 else bench
+        sent = spark.sparkContext.broadcast(Windows([tuple(x) for x in rows.collect()]))  # about part_bytes of text
+        now = materialize(_found(shards, sent), f"fm-found-{part}")
+        sent.unpersist()  # so that executors hold one part at a time
+        found = now if found is None else found.union(now)
+    found = found.groupBy("block").agg(F.first("words").alias("words"), F.collect_list(F.struct("spans", "items")).alias("parts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in records(batches):
+            docs, every = unpacked(x["data"]), x["parts"]
+            spans = [_merged([(s["first"], s["end"]) for p in of for s in p]) for of in zip(*(p["spans"] for p in every), strict=True)]
+            items = [sorted({i for p in of for i in p}) for of in zip(*(p["items"] for p in every), strict=True)]
+            yield pa.record_batch(
+                {
+                    "row": docs,
+                    "n_words": pa.array(x["words"], pa.int64()),
+                    "spans": pa.array([[{"first": a, "end": b} for a, b in s] for s in spans], _FOUND_SPANS.value_type),
+                    "items": pa.array(items, pa.list_(pa.string())),
+                }
+            )
+
+    span = T.ArrayType(T.StructType().add("first", "long").add("end", "long"))
+    out = T.StructType([row]).add("n_words", "long").add("spans", span).add("items", T.ArrayType(T.StringType()))
+    return shards.select("block", "data").join(found, "block").select("data", "words", "parts").mapInArrow(run, out)
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
+    """(row, n_words, spans, items) for every input row; spans of hit words, items sorted as strings."""
+    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).schema["row"]
+    return search(indexed(docs, text_col), benchmark, row, part_bytes)
 
 
 def _without(text: bytes, spans: list[dict]) -> str:
@@ -285,7 +370,7 @@ def remove_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -
             clean = [_without(x.as_py(), s.as_py()) if len(s) else None for x, s in zip(batch.column("text"), batch.column("spans"), strict=True)]
             yield pa.record_batch({"row": batch.column("row"), "clean": pa.array(clean, pa.string())})
 
-    out = out.select("row", "text", "spans").mapInArrow(run, schema)
+    out = out.select("row", F.col(f"row.`{text_col}`").cast("binary").alias("text"), "spans").mapInArrow(run, schema)
     return out.select(*[F.coalesce("clean", F.col(f"row.`{c}`")).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from therascape.llm.common import materialize, shared_dir, shuffle_width, table
+from therascape.llm.common import BLOCK_SCHEMA, materialize, pack, records, shared_dir, shuffle_width, table, unpacked
 
 WIDTH = 200
 #: Perfect difference set of order 11: every nonzero difference modulo 133 occurs once.
@@ -45,7 +45,6 @@ BLOCK_BYTES = 1 << 19
 #: Bytes of names that one bucket holds at most, on average.
 BUCKET_BYTES = 24 << 20
 
-_BLOCK_SCHEMA = "block long, n_bytes long, data binary"
 _NAME_SCHEMA = "block long, bucket int, names binary"
 _cache: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -155,9 +154,7 @@ class Work:
     """One block in one pass: the stages up to where the verdicts so far allow."""
 
     def __init__(self, row: dict, text_col: str, n_buckets: int, width: int):
-        with pa.ipc.open_stream(row["data"]) as r:
-            table = r.read_all()
-        self.block = b = Block(table["row"].combine_chunks() if table.num_rows else pa.array([], table.schema.field("row").type), text_col)
+        self.block = b = Block(unpacked(row["data"]), text_col)
         short, long = width - COVER_MOD + 1, width + COVER_MOD - 1
         self.at = b.fits(b.sample, short)
         self.short = Named(b.names(self.at, short), n_buckets, 5)
@@ -196,49 +193,9 @@ class Work:
         self.start[self.open[self.full.repeats(row["full"])[: len(self.open)]]] = True
 
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        for k in range(batch.num_rows):
-            yield {c: batch.column(c)[k].as_py() for c in batch.schema.names}
-
-
-def _pack(text_col: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        seq, held, size = TaskContext.get().partitionId() << 32, [], 0
-
-        def out() -> pa.RecordBatch:
-            nonlocal seq, held, size
-            whole = pa.Table.from_batches(held)
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                w.write_table(whole.combine_chunks())
-            made = pa.record_batch({"block": pa.array([seq], pa.int64()), "n_bytes": pa.array([size], pa.int64()), "data": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
-            seq, held, size = seq + 1, [], 0
-            return made
-
-        for batch in batches:
-            rows = batch.column("row")
-            lens = np.asarray(pa.compute.binary_length(rows.field(text_col).fill_null("")).to_numpy(zero_copy_only=False), np.int64)
-            a = 0
-            for k, x in enumerate(lens):
-                size += int(x)
-                if size >= BLOCK_BYTES:
-                    held.append(batch.slice(a, k + 1 - a))
-                    yield out()
-                    a = k + 1
-            if a < len(lens):
-                held.append(batch.slice(a))
-        if held:
-            yield out()
-
-    return run
-
-
 def _emit(which: str, text_col: str, n_buckets: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _records(batches):
+        for row in records(batches):
             work = Work(row, text_col, n_buckets, width)
             parts = list(getattr(work, which).split(work.marks if which == "near" else None))
             if parts:
@@ -258,7 +215,7 @@ def whole_characters(gone: np.ndarray, text: np.ndarray, starts: np.ndarray) ->
 
 def _cut(text_col: str, n_buckets: int, width: int, characters: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _records(batches):
+        for row in records(batches):
             work = Work(row, text_col, n_buckets, width)
             b, n = work.block, len(work.block.text)
             edge = np.zeros(n + width + 1, np.int32)
@@ -298,7 +255,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", width: int = WIDTH,
         raise ValueError(f"width must be over {COVER_MOD}")
     spark = docs.sparkSession
     src = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    packed = src.mapInArrow(_pack(text_col), _BLOCK_SCHEMA)
+    packed = src.mapInArrow(pack(text_col, BLOCK_BYTES), BLOCK_SCHEMA)
     buckets, name = shuffle_width(spark), f"therascape_suffix_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/therascape/suffix-blocks-{uuid.uuid4().hex}"
     packed.repartition(buckets, "block").write.bucketBy(buckets, "block").format("parquet").option("path", path).saveAsTable(name)
