@@ -21,11 +21,29 @@ def element_counts(df: DataFrame, values: Column, exclude: tuple[str, ...] = ())
     return out.groupBy("name").agg(F.count("*").alias("count"))
 
 
+def all_ranked(counted: DataFrame) -> DataFrame:
+    """(name, count, rank): rank by count, then name, of any number of groups.
+
+    Groups are partitioned by ranges of the order; a row's rank is its place in its range and the sizes of the ranges before it, of
+    which there are as many as shuffle partitions.  The
+    ranged rows are kept in memory or on disk until dropped: the ranges are sampled, and two samples might differ.
+    """
+    order = [F.desc("count"), F.asc("name")]
+    n = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = counted.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()).persist()
+    sizes = parts.groupBy("part").agg(F.count("*").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return parts.withColumn("place", place).join(F.broadcast(sizes.select("part", before.alias("before"))), "part").select("name", "count", (F.col("before") + F.col("place")).cast("long").alias("rank"))
+
+
 def top_n_other(counted: DataFrame, n: int) -> DataFrame:
     """(rank, name, count, is_other): the n largest and one row "Other (k)" for the k groups behind them, if it counts any.
 
-    The top is a limit, and the rest follows from totals, so no task sorts all groups.
+    With n = 0 all groups stay, ranked.  The top is a limit, and the rest follows from totals, so no task sorts all groups.
     """
+    if not n:
+        return all_ranked(counted).select(F.col("rank").cast("int").alias("rank"), "name", "count", F.lit(False).alias("is_other"))
     top = counted.orderBy(F.desc("count"), "name").limit(n)
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("count"), "name")))
     whole = counted.agg(F.count("*").alias("k"), F.coalesce(F.sum("count"), F.lit(0)).alias("s"))
@@ -95,10 +113,10 @@ NO_TARGET = ["Unknown", "DNA", "RNA", "N/A", "NONE", "-"]
 EMERGING = {"min_recent": 4, "min_growth": 1.3, "max_maturity": 5.0}
 
 
-def opportunity_rows(programs: DataFrame, abstracts: DataFrame, half_life: float = 2.0, smoothing: int = 5) -> DataFrame:
-    """Activity, growth, clinical maturity and smoothed recency for each target.
+def opportunity_rows(programs: DataFrame, abstracts: DataFrame, half_life: float = 2.0, smoothing: int = 5, entity: str = "target", lists: str = "target_list") -> DataFrame:
+    """Activity, growth, clinical maturity and smoothed recency for each target, or for another ``entity`` (AGG-30).
 
-    ``programs``: target, phase, overall_status, start_date; ``abstracts``: target_list, year.  Both feeds become one table of
+    ``programs``: the entity, phase, overall_status, start_date; ``abstracts``: its list, year.  Both feeds become one table of
     events that is aggregated by (target, year) first, so a hot target moves a few rows a task; the latest year is a scalar.
     """
     drop = [*NO_TARGET, ""]
@@ -106,11 +124,11 @@ def opportunity_rows(programs: DataFrame, abstracts: DataFrame, half_life: float
     weight = X.phase_weight(pb) * F.create_map(*[F.lit(x) for kv in STATUS_WEIGHT.items() for x in kv])[sb]
     weight = F.round(weight * 1000).cast("long")  # whole thousandths, so that sums do not depend on their order
     idx = F.array_position(F.array(*map(F.lit, CLINICAL)), pb)
-    clin = programs.select("target", X.year_of(F.col("start_date")).alias("y"), F.lit(1).alias("clin"), F.when(pb != "NA", weight).alias("w"), idx.alias("idx"))
-    lit = abstracts.select(F.explode(F.array_distinct("target_list")).alias("target"), F.col("year").alias("y"), F.lit(0).alias("clin"), F.lit(None).cast("long").alias("w"), F.lit(0).cast("long").alias("idx"))
+    clin = programs.select(F.col(entity).alias("target"), X.year_of(F.col("start_date")).alias("y"), F.lit(1).alias("clin"), F.when(pb != "NA", weight).alias("w"), idx.alias("idx"))
+    lit = abstracts.select(F.explode(F.array_distinct(lists)).alias("target"), F.col("year").alias("y"), F.lit(0).alias("clin"), F.lit(None).cast("long").alias("w"), F.lit(0).cast("long").alias("idx"))
     events = clin.unionByName(lit).where(F.col("target").isNotNull() & ~F.col("target").isin(drop))
     yearly = events.groupBy("target", "y").agg(F.count("*").alias("n"), F.sum("clin").alias("clin"), F.sum("w").alias("w"), F.count("w").alias("wn"), F.max("idx").alias("idx"))
-    top = events.agg(F.max("y").alias("max_year"))
+    top = yearly.agg(F.max("y").alias("max_year"))
     y, m = F.col("y"), F.col("max_year")
     spread = yearly.crossJoin(F.broadcast(top))
     total = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))

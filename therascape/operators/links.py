@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from therascape.functions import vocabulary as V
+from therascape.functions.normalize import lookup
+from therascape.functions.text import token_key
+
 
 def trial_index(literature: DataFrame) -> DataFrame:
     """(nct_id, n, first_year, last_year): what is known of each trial id in the literature."""
@@ -19,11 +23,182 @@ def shared_trials(programs: DataFrame, literature: DataFrame) -> DataFrame:
 
 
 def top_links(links: DataFrame, literature: DataFrame, k: int = 15) -> DataFrame:
-    """(drug_name, rank, uid, total): a drug's newest k links, ties by uid, with the number of all its links."""
-    dated = links.join(literature.select("uid", "year"), "uid")
+    """(drug_name, rank, uid, total): a drug's newest k links, ties by uid, with the number of all its links.
+
+    Links are cut to k in each of ``SALTS`` parts of a drug first, so no drug's links gather in one task.
+    """
+    dated = links.join(literature.select("uid", "year"), "uid").withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)))
     total = links.groupBy("drug_name").agg(F.count("*").alias("total"))
-    ranked = dated.withColumn("rank", F.row_number().over(Window.partitionBy("drug_name").orderBy(F.desc("year"), "uid"))).where(F.col("rank") <= k)
-    return ranked.join(total, "drug_name").select("drug_name", "rank", "uid", "total")
+    return cut_to(dated, "drug_name", [F.desc("year"), F.asc("uid")], k).join(total, "drug_name").select("drug_name", "rank", "uid", "total")
+
+
+#: Parts in which the rows of one key are cut to the best k before they meet.
+SALTS = 64
+
+
+def cut_to(rows: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
+    """The best k rows of each key with their ``rank``; ``rows`` have a column ``salt``, by which they are cut first."""
+    part = rows.withColumn("rank", F.row_number().over(Window.partitionBy(key, "salt").orderBy(*order))).where(F.col("rank") <= k)
+    return part.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= k).drop("salt")
+
+
+#: A code name, beginnings that name targets and receptors, isotopes.
+CODE = r"[A-Za-z]{2,}[- ]?\d{2,}[A-Za-z0-9]*"
+NO_CODE = (
+    r"^(?:pd|pdl|cd|cdk|il|her|tim|lag|ctla|nkg|hla|tgf|braf|kras|nras|egfr|fgfr|vegf|trop|muc|cldn|claudin|hpv|covid|hiv|hbv|hcv|b7|axl|met|alk|ros|ret|kit|pik|akt|mtor|parp|wee|atr"
+    r"|atm|chk|aurora|plk|tyk|jak|stat|bcl|mcl|idh|flt|ezh|menin|hdac|dnmt|psma|fap|dota|gd2|cdh|hsp|cea|ror|dll|tnf|ccr|cxcr|gpc|epcam|nectin|sstr)\d"
+)
+ISOTOPES = ["radium223", "lu177", "yttrium90", "ga68", "y90", "i131", "ho166", "ac225", "pb212", "cu64", "zr89", "f18", "tc99m", "in111", "re188", "sm153"]
+SHORTEST_CODE = 5
+
+
+def code_tokens(text: Column) -> Column:
+    """FLT-46, SCL-S28: the distinct code names in a text, letters and digits only, without targets and isotopes."""
+    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CODE), F.lit(0)), token_key)
+    return F.array_distinct(F.filter(found, lambda t: (F.length(t) >= SHORTEST_CODE) & ~t.rlike(NO_CODE) & ~t.isin(ISOTOPES)))
+
+
+def is_code(token: Column) -> Column:
+    """FLT-45: five characters or more, a digit among them."""
+    return (F.length(token) >= SHORTEST_CODE) & token.rlike(r"\d")
+
+
+def title_tokens(title: Column) -> Column:
+    """The code-like words of a title and its code names."""
+    words = F.transform(F.split(F.coalesce(title, F.lit("")), r"\s+"), token_key)
+    return F.array_distinct(F.concat(F.filter(words, is_code), code_tokens(title)))
+
+
+def name_tokens(name: Column) -> Column:
+    """What a drug's name is looked for by: all of it if it is a code, and its only code name if it has two words at most."""
+    name = F.coalesce(name, F.lit(""))
+    whole, codes = token_key(name), code_tokens(name)
+    single = (F.size(codes) == 1) & (F.size(F.split(F.trim(name), r"\s+")) <= 2)
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(F.when(is_code(whole), F.array(whole)).otherwise(none), F.when(single, codes).otherwise(none)))
+
+
+def drug_links(programs: DataFrame, literature: DataFrame, key: str, name: str, title: str) -> DataFrame:
+    """J-10: (key, uid, by_trial): records that share a trial id with a program, or whose title has its code name; a pair is there once.
+
+    ``programs``: key, name, nct_ids; ``literature``: uid, title, nct_ids.  Both sides are made distinct before they meet.
+    """
+    trials = programs.select(key, F.explode("nct_ids").alias("t")).distinct().join(literature.select("uid", F.explode("nct_ids").alias("t")).distinct(), "t")
+    names = programs.select(key, name).distinct().select(key, F.explode(name_tokens(F.col(name))).alias("t")).distinct()
+    titles = names.join(literature.select("uid", F.explode(title_tokens(F.col(title))).alias("t")).distinct(), "t")
+    both = trials.select(key, "uid", F.lit(True).alias("by_trial")).union(titles.select(key, "uid", F.lit(False)))
+    return both.groupBy(key, "uid").agg(F.max("by_trial").alias("by_trial"))
+
+
+def linked_records(links: DataFrame, literature: DataFrame, key: str, k: int = 15) -> DataFrame:
+    """AGG-38: (key, rank, uid, axis, venue, year, why, n_pub, n_conf, total): a program's k first links, those by trial first, then the newest, ties by uid."""
+    rows = links.join(link_lite(literature), "uid").withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)))
+    sums = rows.groupBy(key).agg(F.count_if(F.col("axis") == "publication").alias("n_pub"), F.count_if(F.col("axis") == "conference").alias("n_conf"), F.count("*").alias("total"))
+    best = cut_to(rows, key, [F.desc("by_trial"), F.desc("year"), F.asc("uid")], k)
+    why = F.when(F.col("by_trial"), "nct").otherwise("title").alias("why")
+    return best.join(sums, key).select(key, "rank", "uid", "axis", "venue", "year", why, "n_pub", "n_conf", "total")
+
+
+def link_lite(literature: DataFrame) -> DataFrame:
+    """PRJ-07: (uid, axis, venue, year): where a record stands, the journal of a publication or the conference."""
+    return literature.select("uid", F.when(F.col("is_pub"), "publication").otherwise("conference").alias("axis"), F.when(F.col("is_pub"), F.col("journal")).otherwise(F.col("conference")).alias("venue"), "year")
+
+
+def evidence_links(programs: DataFrame, literature: DataFrame, key: str, name: str, title: str) -> DataFrame:
+    """J-11: (drug_id, uid, by_trial) as in ``drug_links``, but by the whole name (five characters or more) as a word of the title."""
+    trials = programs.select(key, F.explode("nct_ids").alias("t")).distinct().join(literature.select("uid", F.explode("nct_ids").alias("t")).distinct(), "t")
+    whole = programs.select(key, token_key(F.col(name)).alias("t")).where(F.length("t") >= SHORTEST_CODE).distinct()
+    words = literature.select("uid", F.explode(F.transform(F.split(F.coalesce(title, F.lit("")), r"\s+"), token_key)).alias("t")).where(F.length("t") >= SHORTEST_CODE).distinct()
+    both = trials.select(F.col(key).alias("drug_id"), "uid", F.lit(True).alias("by_trial")).union(whole.join(words, "t").select(key, "uid", F.lit(False)))
+    return both.groupBy("drug_id", "uid").agg(F.max("by_trial").alias("by_trial"))
+
+
+def cross_check_candidates(programs: DataFrame, found: DataFrame, sure: float = 0.85) -> DataFrame:
+    """FLT-48: programs (drug_id, is_oncology, modality, target) whose evidence can fill an Unknown or contradicts a value.
+
+    ``found``: (drug_id, confidence, modality_list, target_list); only evidence from ``sure`` on names values.
+    """
+    firm = F.col("confidence") >= sure
+    seen = lambda c: F.array_distinct(F.flatten(F.collect_list(F.when(firm, F.col(c)))))
+    e = found.groupBy("drug_id").agg(seen("modality_list").alias("mods"), F.array_remove(seen("target_list"), "Unknown").alias("tgts"))
+    mod, tgt = F.col("modality") != "Unknown", F.col("target") != "Unknown"
+    other_mod = mod & (F.size("mods") > 0) & ~F.array_contains("mods", F.col("modality"))
+    other_tgt = tgt & (F.size("tgts") > 0) & ~F.array_contains(F.transform("tgts", token_key), token_key(F.col("target")))
+    fill = (~mod | ~tgt) & ((F.size("mods") > 0) | (F.size("tgts") > 0))
+    return programs.where("is_oncology").join(e, "drug_id").where(fill | other_mod | other_tgt).drop("mods", "tgts")
+
+
+def first_known_trial(programs: DataFrame, literature: DataFrame, key: str) -> DataFrame:
+    """J-12, PRJ-13: (key, nct_id, conferences, n_pub): a program's first trial id that the literature knows, and where it does."""
+    lit = literature.select(F.explode("nct_ids").alias("nct_id"), "conference", "is_pub").groupBy("nct_id")
+    known = lit.agg(F.array_join(F.array_sort(F.collect_set(F.when(~F.col("is_pub"), F.col("conference")))), "/").alias("conferences"), F.count_if("is_pub").alias("n_pub"))
+    ids = programs.select(key, F.posexplode("nct_ids").alias("pos", "nct_id")).groupBy(key, "nct_id").agg(F.min("pos").alias("pos"))
+    found = ids.join(known, "nct_id")
+    best = found.groupBy(key).agg(F.min_by(F.struct("nct_id", "conferences", "n_pub"), F.struct("pos", "nct_id")).alias("b"))
+    return best.select(key, "b.*")
+
+
+def restored_papers(programs: DataFrame, known: DataFrame, key: str, k: int = 3) -> DataFrame:
+    """J-16: (key, papers): up to k distinct papers of a program's trials, of the smallest numbers; ``known``: (nct_id, pmid)."""
+    pairs = programs.select(key, F.explode("nct_ids").alias("nct_id")).distinct().join(known.distinct(), "nct_id").select(key, "pmid").distinct()
+    best = cut_to(pairs.withColumn("salt", F.pmod(F.xxhash64("pmid"), F.lit(SALTS))), key, [F.asc("pmid")], k)
+    return best.groupBy(key).agg(F.array_sort(F.collect_list("pmid")).alias("papers"))
+
+
+def trials_of_papers(literature: DataFrame, found: DataFrame) -> DataFrame:
+    """J-17: (uid, nct_ids): a paper's own trial ids, then those by which it was found (uid, nct_id), sorted."""
+    more = found.groupBy("uid").agg(F.array_sort(F.collect_set("nct_id")).alias("more"))
+    return literature.select("uid", "nct_ids").join(more, "uid").select("uid", F.array_distinct(F.concat("nct_ids", "more")).alias("nct_ids"))
+
+
+def with_default(rows: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
+    """J-08, J-21: ``key`` replaced by the table's (old, new), itself where that knows none."""
+    return rows.join(table.select(F.col("old").alias(key), F.col("new").alias("__new")), key, "left").withColumn(value, F.coalesce("__new", key)).drop("__new")
+
+
+def prefix_fixes(programs: DataFrame, fixes: list[tuple[str, dict[str, str]]], name: str = "drug_name") -> DataFrame:
+    """J-22: the target of programs whose first drug begins with a prefix, by that prefix's table; the first prefix that fits decides.
+
+    The old target stays in ``target_pre_manualfix``; ``fixes`` is a short list, unrolled to one expression.
+    """
+    first = F.lower(F.coalesce(F.get(F.filter(F.split(F.coalesce(name, F.lit("")), V.DRUG_BREAK), lambda p: F.trim(p) != ""), F.lit(0)), F.lit("")))
+    new = F.lit(None).cast("string")
+    for prefix, table in reversed(fixes):
+        new = F.when(first.startswith(prefix), lookup(F.col("target"), table)).otherwise(new)
+    out = programs.withColumn("__t", new)
+    moa = F.when(F.col("__t").isNotNull() & (F.coalesce("modality", F.lit("Unknown")) != "Unknown"), F.concat_ws(" ", F.col("modality"), F.lit("targeting"), F.col("__t")))
+    had = F.col("moa") if "moa" in programs.columns else F.lit(None).cast("string")
+    return out.withColumns({"moa": F.coalesce(moa, had), "target_pre_manualfix": F.when(F.col("__t").isNotNull(), F.col("target")), "target": F.coalesce("__t", "target")}).drop("__t")
+
+
+#: Beginnings and words of titles that are none.
+BAD_TITLE = r"^[0-9]{0,2}[a-z]{2,}[0-9]{6,}|CLINICAL SCIENCE|SYMPOSI|^[A-Z ]{25,}"
+
+
+def bad_title(title: Column) -> Column:
+    """FLT-47: a grant number, a session's heading in capitals, or a length outside 8 to 300."""
+    t = F.trim(F.coalesce(title, F.lit("")))
+    return t.rlike(BAD_TITLE) | (F.length(t) > 300) | (F.length(t) < 8)
+
+
+def fixed_titles(literature: DataFrame, better: DataFrame, title: str = "title") -> DataFrame:
+    """J-25: titles replaced by the table's (uid, new_title) where the present one is bad and the new one is not."""
+    out = literature.join(better, "uid", "left")
+    take = bad_title(F.col(title)) & F.col("new_title").isNotNull() & ~bad_title(F.col("new_title"))
+    return out.withColumn(title, F.when(take, F.trim("new_title")).otherwise(F.col(title))).drop("new_title")
+
+
+def variants(named: DataFrame, canon: DataFrame) -> DataFrame:
+    """J-26: (canonical, raw): all spellings of each canonical name, sorted; ``canon``: (name, canonical)."""
+    both = named.select("name").distinct().join(canon, "name", "left").select(F.coalesce("canonical", "name").alias("canonical"), "name")
+    return both.groupBy("canonical").agg(F.array_sort(F.collect_set("name")).alias("raw"))
+
+
+def author_badges(literature: DataFrame, least: int = 2) -> DataFrame:
+    """J-20: (uid, n_author): how many records have the same author and affiliation, where these are two or more; else null."""
+    counted = literature.groupBy("author", "affiliation").agg(F.count("*").alias("n_author")).where(F.col("n_author") >= least)
+    same = F.col("l.author").eqNullSafe(F.col("c.author")) & F.col("l.affiliation").eqNullSafe(F.col("c.affiliation"))
+    return literature.alias("l").join(counted.alias("c"), same, "left").select("l.uid", "c.n_author")
 
 
 def missing_from(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
@@ -36,11 +211,14 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return missing_from(old, new, key).unionByName(new)
 
 
-def gated_merge(rule: Column, model: Column, confidence: Column, fill: float = 0.6, adopt: float = 0.85, flag: float = 0.8) -> tuple[Column, Column]:
-    """(value, action): a model's value fills an Unknown from ``fill`` on, replaces a conflict from ``adopt`` on, is flagged from ``flag`` on."""
+def gated_merge(rule: Column, model: Column, confidence: Column, fill: float = 0.6, adopt: float = 0.85, flag: float = 0.8, same=None) -> tuple[Column, Column]:
+    """(value, action): a model's value fills an Unknown from ``fill`` on, replaces a conflict from ``adopt`` on, is flagged from ``flag`` on.
+
+    ``same`` tells whether two values agree (default: equality; targets use ``merges.same_target``).
+    """
     c = F.coalesce(confidence, F.lit(0.0))
     unknown, usable = F.coalesce(rule, F.lit("Unknown")) == "Unknown", F.coalesce(model, F.lit("Unknown")) != "Unknown"
-    filled, conflict = unknown & usable & (c >= fill), ~unknown & usable & (rule != model)
+    filled, conflict = unknown & usable & (c >= fill), ~unknown & usable & ~(same(rule, model) if same else rule == model)
     value = F.when(filled | (conflict & (c >= adopt)), model).otherwise(F.coalesce(rule, F.lit("Unknown")))
     action = F.when(filled, "filled").when(conflict & (c >= adopt), "adopted").when(conflict & (c >= flag), "flagged").otherwise("kept")
     return value, action

@@ -13,6 +13,7 @@ from therascape.functions import dictionaries as D
 from therascape.functions import normalize as N
 from therascape.functions import vocabulary as V
 from therascape.functions.text import has_any, java_quote, token_key
+from therascape.operators.links import gated_merge
 
 
 def latest(answers: DataFrame, key: str, by: str) -> DataFrame:
@@ -56,6 +57,52 @@ def merge_literature(records: DataFrame, answers: DataFrame, least: float = 0.6)
     return merged
 
 
+def merge_models(programs: DataFrame, answers: DataFrame) -> DataFrame:
+    """J-01, MRG-01: answers (name_key, modality, target, biomarkers, confidence) fill and contest a program's modality and target and add biomarkers.
+
+    A program's answer is that of its lower-cased, trimmed name.  The rules' values stay in ``*_rule``, from which a second merge
+    starts; ``*_src`` says where a value is from, ``data_flags`` which conflicts were found and which resolved.
+    """
+    had = lambda c: F.col(f"{c}_rule") if f"{c}_rule" in programs.columns else F.col(c)
+    known = lambda c: F.coalesce(c, F.lit("Unknown"))
+    rule_mod, rule_tgt, rule_bio = known(had("modality")), known(had("target")), F.coalesce(had("biomarker_list"), F.array().cast("array<string>"))
+    a = answers.select("name_key", F.struct(*[c for c in answers.columns if c != "name_key"]).alias("__a"))
+    new_mod, new_tgt, conf = known(F.col("__a.modality")), known(F.col("__a.target")), F.coalesce(F.col("__a.confidence"), F.lit(0.0))
+    mod, mod_did = gated_merge(rule_mod, new_mod, conf)
+    tgt, tgt_did = gated_merge(rule_tgt, new_tgt, conf, same=same_target)
+    more = F.filter(F.transform(F.coalesce(F.col("__a.biomarkers"), F.array().cast("array<string>")), lambda b: F.trim(b)), lambda b: b.isNotNull() & (b != ""))
+    add = (F.size(more) > 0) & (conf >= 0.6)
+    source = lambda did: F.when(did.isin("filled", "adopted"), "llm").otherwise("rule")
+    flag = lambda did, c: F.when(did == "adopted", f"{c}_conflict_resolved").when(did == "flagged", f"{c}_conflict")
+    bio = F.when(add, F.array_distinct(F.concat(rule_bio, more))).otherwise(rule_bio)
+    out = {
+        "modality_rule": rule_mod,
+        "target_rule": rule_tgt,
+        "biomarker_list_rule": rule_bio,
+        "modality": mod,
+        "target": tgt,
+        "biomarker_list": bio,
+        "modality_src": source(mod_did),
+        "target_src": source(tgt_did),
+        "biomarker_src": F.when(add, F.when(F.size(rule_bio) > 0, "llm+rule").otherwise("llm")).otherwise("rule"),
+        "biomarker_mentioned": F.size(bio) > 0,
+        "llm_confidence": F.col("__a.confidence"),
+        "data_flags": F.array_compact(F.array(flag(mod_did, "modality"), flag(tgt_did, "target"))),
+        "moa": moa(mod, tgt),
+    }
+    keyed = programs.withColumn("name_key", F.lower(F.trim("drug_name")))
+    return keyed.join(a, "name_key", "left").withColumns(out).drop("__a", "name_key")
+
+
+def merge_statistics(merged: DataFrame) -> DataFrame:
+    """AGG-46: one row of counters over merged programs: rows, values filled and contested, Unknown before and after."""
+    has = lambda c, x: F.count_if(F.array_contains("data_flags", f"{c}_{x}")).alias(f"{c}_{x}")
+    filled = lambda c: F.count_if((F.col(f"{c}_rule") == "Unknown") & (F.col(c) != "Unknown")).alias(f"{c}_filled")
+    unknown = lambda c, name: F.count_if(F.col(c) == "Unknown").alias(name)
+    each = [x for c in ("modality", "target") for x in (filled(c), has(c, "conflict"), has(c, "conflict_resolved"), unknown(f"{c}_rule", f"{c}_unknown_before"), unknown(c, f"{c}_unknown_after"))]
+    return merged.agg(F.count("*").alias("rows"), F.count("llm_confidence").alias("have_llm"), *each, F.count_if(F.col("biomarker_src") != "rule").alias("biomarkers_added"))
+
+
 def merge_summaries(programs: DataFrame, answers: DataFrame) -> DataFrame:
     """MRG-04: summary and confidence of the answers that have a summary; others leave what a program has."""
     a = answers.where("summary <> ''").select("drug_id", F.struct("summary", "confidence").alias("__a"))

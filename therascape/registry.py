@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from therascape.functions import dictionaries as D
 from therascape.functions import drugs
@@ -58,7 +57,7 @@ query("agg_18_modality_counts", 'SELECT modality AS name, count(*) AS "count" FR
 query("agg_17_status_counts", 'SELECT overall_status AS name, count(*) AS "count" FROM p GROUP BY 1')(lambda spark, d: A.counts(programs(spark, d), F.col("overall_status")))
 query("agg_19_biomarker_counts", 'SELECT name, count(*) AS "count" FROM (SELECT unnest(biomarkers) AS name FROM p) GROUP BY 1')(lambda spark, d: A.element_counts(programs(spark, d), F.col("biomarkers")))
 query("agg_22_distinct_by_frequency", 'SELECT drug_name AS name, count(*) AS "count", row_number() OVER (ORDER BY count(*) DESC, drug_name) AS rank FROM p GROUP BY 1')(
-    lambda spark, d: A.counts(programs(spark, d), F.col("drug_name")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("count"), "name")).cast("long"))
+    lambda spark, d: A.all_ranked(A.counts(programs(spark, d), F.col("drug_name")))
 )
 
 STATUSES = ["RECRUITING", "COMPLETED", "TERMINATED", "UNKNOWN"]
@@ -72,7 +71,7 @@ query("agg_20_program_summary", "SELECT count(*) AS total, count(DISTINCT compan
 SOURCES = ["src0", "src1", "src2"]
 query("agg_06_year_by_conference", 'SELECT "year", ' + ", ".join(f"count(*) FILTER (conference = '{s}') AS {s}" for s in SOURCES) + ', count(*) AS total FROM l GROUP BY 1')(lambda spark, d: A.year_by_key(literature(spark, d), "conference", SOURCES))
 query("agg_11_by_year", 'SELECT "year", count(*) AS n FROM l GROUP BY 1')(lambda spark, d: literature(spark, d).groupBy("year").agg(F.count("*").alias("n")))
-query("agg_33_manifest", 'SELECT conference, "year", count(*) AS n FROM l GROUP BY 1, 2')(lambda spark, d: literature(spark, d).groupBy("conference", "year").agg(F.count("*").alias("n")))
+query("agg_33_manifest", 'SELECT conference, "year", count(*) AS n FROM l GROUP BY 1, 2')(lambda spark, d: S.manifest(literature(spark, d), ["conference", "year"]).withColumnRenamed("count", "n"))
 query("agg_09_modality_elements", top_n_sql('SELECT name, count(*) AS "count" FROM (SELECT unnest(modality_list) AS name FROM l) GROUP BY 1', 3))(lambda spark, d: A.top_n_other(A.element_counts(literature(spark, d), F.col("modality_list")), 3))
 query("agg_13_country_elements", top_n_sql('SELECT name, count(*) AS "count" FROM (SELECT unnest(countries) AS name FROM l) GROUP BY 1', 8))(lambda spark, d: A.top_n_other(A.element_counts(literature(spark, d), F.col("countries")), 8))
 query(
@@ -224,16 +223,16 @@ query(
 
 
 def _merge(spark: SparkSession, d: str) -> DataFrame:
-    value, action = K.gated_merge(F.col("target"), F.concat(F.lit("Brand#"), (F.length("drug_name") % 9).cast("string")), (F.length("company") + F.length("drug_name")) % 40 / 39.0)
+    value, action = K.gated_merge(F.col("target"), F.concat(F.lit("Brand#"), (F.length("drug_name") % 9).cast("string")), (F.length("company") + F.length("drug_name")) % 40 / 39.0, same=M.same_target)
     return programs(spark, d).select(value.alias("merged"), action.alias("action")).groupBy("merged", "action").agg(F.count("*").alias("n"))
 
 
 query(
     "mrg_01_gated_merge",
-    """, m AS (SELECT target, 'Brand#' || (length(drug_name) % 9) AS model, ((length(company) + length(drug_name)) % 40) / 39e0 AS c FROM p)
-SELECT CASE WHEN (target = 'Unknown' AND c >= 0.6) OR (target <> 'Unknown' AND target <> model AND c >= 0.85) THEN model ELSE target END AS merged,
-CASE WHEN target = 'Unknown' AND c >= 0.6 THEN 'filled' WHEN target <> 'Unknown' AND target <> model AND c >= 0.85 THEN 'adopted' WHEN target <> 'Unknown' AND target <> model AND c >= 0.8 THEN 'flagged' ELSE 'kept' END AS action,
-count(*) AS n FROM m GROUP BY 1, 2""",
+    """, m AS (SELECT target, 'Brand#' || (length(drug_name) % 9) AS model, ((length(company) + length(drug_name)) % 40) / 39e0 AS c FROM p), o AS (SELECT *, target <> 'Unknown' AND NOT (contains(target, model) OR contains(model, target)) AS other FROM m)
+SELECT CASE WHEN (target = 'Unknown' AND c >= 0.6) OR (other AND c >= 0.85) THEN model ELSE target END AS merged,
+CASE WHEN target = 'Unknown' AND c >= 0.6 THEN 'filled' WHEN other AND c >= 0.85 THEN 'adopted' WHEN other AND c >= 0.8 THEN 'flagged' ELSE 'kept' END AS action,
+count(*) AS n FROM o GROUP BY 1, 2""",
 )(_merge)
 query(
     "scl_s18_strip_markup",
@@ -442,3 +441,5 @@ query(
 c AS (SELECT target, count(*) AS corpus_total FROM (SELECT target FROM p UNION ALL SELECT unnest(target_list) FROM l) GROUP BY 1)
 SELECT target, this_week, coalesce(corpus_total, 0) AS corpus_total FROM w LEFT JOIN c USING (target) ORDER BY corpus_total, this_week DESC, target LIMIT 10""",
 )(lambda spark, d: K.emerging_targets(programs(spark, d).where("start_date >= '2001-06-01'").select("target"), programs(spark, d).select("target").union(literature(spark, d).select(F.explode("target_list"))), 10))
+
+from therascape import registry_pages  # noqa: E402, F401  (registers the queries of the wide views)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from therascape.functions import normalize as N
+from therascape.functions import text as X
 
 #: Rows of one written file at most, so that a large conference year becomes many files.
 FILE_ROWS = 1_000_000
@@ -78,3 +79,16 @@ def cached_answers(raw: DataFrame, answer: str, value: str = "value") -> DataFra
     """SRC-13: (key, ...answer fields) of a cache whose rows hold a JSON object from keys to answers; ``answer`` is the answers' DDL."""
     one = raw.select(F.explode(F.from_json(value, f"map<string,struct<{answer}>>")).alias("key", "a"))
     return one.select("key", "a.*")
+
+
+def lite_programs(programs: DataFrame, keep: list[str]) -> DataFrame:
+    """SNK-06: the columns that pages need, with targets and biomarkers in their usual forms."""
+    forms = {"target": X.known(N.target(F.col("target"))), "biomarkers": N.biomarkers(F.col("biomarkers"))}
+    return programs.select(*[forms[c].alias(c) if c in forms else F.col(c) for c in keep])
+
+
+def write_snapshot(df: DataFrame, folder: str, day: str, prefix: str = "full_") -> str:
+    """SRC-02, SNK-01: a dated JSON snapshot, as ``studies.latest_snapshot`` finds it; returns its path."""
+    path = f"{folder}/{prefix}{day}.json"
+    df.write.mode("overwrite").json(path)
+    return path
