@@ -14,8 +14,6 @@ from therascape.functions import dictionaries as D
 from therascape.functions import vocabulary as V
 from therascape.functions.text import has_word, java_quote, token_key
 
-#: Rounds of tail stripping. Each round takes at least one word off, so this many are enough for a name of as many state words.
-ROUNDS = 8
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -23,6 +21,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def until_stable(text: Column, step: Callable[[Column], Column]) -> Column:
+    """``step`` again and again until the text stays as it is; a step may only take away, so the text's length bounds the rounds."""
+    again = lambda acc: let(step(acc["x"]), lambda n: F.struct(n.alias("x"), (n == acc["x"]).alias("done")))
+    start = F.struct(text.alias("x"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(0), F.length(text)), start, lambda acc, _: F.when(acc["done"], acc).otherwise(again(acc)), lambda acc: acc["x"])
+
+
 def lookup(key: Column, table: dict[str, str]) -> Column:
     """The table's value of a key, null if it has none."""
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
@@ -100,13 +105,19 @@ def _tidy(raw: Column) -> Column:
     return F.btrim(strip(F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?U)\s+", " ")), F.lit(" ,;"))
 
 
-def without_state(name: Column, rounds: int = ROUNDS) -> Column:
-    """The name without endings such as "mutation", "exon 14" or "G12C"; each round only takes away, so more rounds never harm."""
+def _without_endings(name: Column) -> Column:
+    for tail in V.BIOMARKER_TAILS:
+        name = F.btrim(F.regexp_replace(name, tail, ""), F.lit(" ,/_-+"))
+    name = F.regexp_replace(name, V.BIOMARKER_JOINED, "$1")
+    return F.regexp_replace(name, V.BIOMARKER_SMALL_TAIL, "")
+
+
+def without_state(name: Column, rounds: int | None = None) -> Column:
+    """The name without endings such as "mutation", "exon 14" or "G12C", however many; or ``rounds`` times at most."""
+    if rounds is None:
+        return until_stable(name, _without_endings)
     for _ in range(rounds):
-        for tail in V.BIOMARKER_TAILS:
-            name = F.btrim(F.regexp_replace(name, tail, ""), F.lit(" ,/_-+"))
-        name = F.regexp_replace(name, V.BIOMARKER_JOINED, "$1")
-        name = F.regexp_replace(name, V.BIOMARKER_SMALL_TAIL, "")
+        name = _without_endings(name)
     return name
 
 
@@ -204,9 +215,7 @@ def company(segment: Column) -> Column:
     """The company that one segment of a sponsor text names: a known one, else the segment without its legal form if it looks like a company."""
 
     def other(s: Column) -> Column:
-        name = F.btrim(s, F.lit(", "))
-        for _ in range(ROUNDS):
-            name = F.btrim(F.regexp_replace(name, V.LEGAL_TAIL, ""), F.lit(", "))
+        name = until_stable(F.btrim(s, F.lit(", ")), lambda n: F.btrim(F.regexp_replace(n, V.LEGAL_TAIL, ""), F.lit(", ")))
         return let(name, lambda n: F.when(~s.rlike(V.NOT_A_COMPANY) & s.rlike(V.COMPANY_HINT) & (F.length(n) >= 2), n))
 
     known = lambda low: F.coalesce(*[F.when(_company_test(low, n, p), F.lit(n)) for n, p in V.COMPANIES])

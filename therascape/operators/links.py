@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from therascape.functions import vocabulary as V
+from therascape.functions.normalize import companies as companies_of
 from therascape.functions.normalize import lookup
 from therascape.functions.text import token_key
 
@@ -235,3 +236,40 @@ def emerging_targets(news: DataFrame, corpus: DataFrame, k: int = 40) -> DataFra
     total = corpus.where(known).groupBy("target").agg(F.count("*").alias("corpus_total"))
     both = week.join(total, "target", "left").withColumn("corpus_total", F.coalesce("corpus_total", F.lit(0).cast("long")))
     return both.orderBy("corpus_total", F.desc("this_week"), "target").limit(k)
+
+
+def with_authorships(literature: DataFrame, found: DataFrame) -> DataFrame:
+    """J-05: a record's lead author, affiliation, country and companies by its DOI, whatever its case.
+
+    ``found``: (doi, lead, lead_affiliation, lead_country, institutions).  A record that is not found keeps its own affiliation and
+    country, and its companies are read anew from that affiliation.
+    """
+    by = found.select(F.lower("doi").alias("__doi"), F.struct("lead", "lead_affiliation", "lead_country", "institutions").alias("__a"))
+    out = literature.withColumn("__doi", F.lower("doi")).join(by, "__doi", "left")
+    hit = F.col("__a").isNotNull()
+    return out.withColumns(
+        {
+            "lead": F.col("__a.lead"),
+            "affiliation": F.when(hit, F.col("__a.lead_affiliation")).otherwise(F.col("affiliation")),
+            "country_raw": F.when(hit, F.col("__a.lead_country")).otherwise(F.col("country_raw")),
+            "companies_normalized": companies_of(F.when(hit, F.array_join("__a.institutions", "; ")).otherwise(F.col("affiliation"))),
+        }
+    ).drop("__a", "__doi")
+
+
+def with_affiliations(literature: DataFrame, found: DataFrame) -> DataFrame:
+    """J-06: affiliations by DOI for the records that are found with one; all others stay as they are."""
+    by = found.where(F.coalesce("lead_affiliation", F.lit("")) != "").select(F.lower("doi").alias("__doi"), F.col("lead_affiliation").alias("__f"))
+    out = literature.withColumn("__doi", F.lower("doi")).join(by, "__doi", "left")
+    return out.withColumn("affiliation", F.coalesce("__f", "affiliation")).drop("__f", "__doi")
+
+
+def papers_of_trials(programs: DataFrame, papers: DataFrame, k: int = 5, shortest: int = 4) -> DataFrame:
+    """SRC-09, FLT-49: (nct_id, drug_name, rank, pmid): a trial's k most cited papers, reviews aside, whose title names the drug.
+
+    ``programs``: nct_id, drug_name; ``papers``: nct_id, pmid, title, kind, cited.  They meet by trial id; names under ``shortest``
+    characters find nothing.
+    """
+    pairs = programs.select("nct_id", "drug_name").where(F.length("drug_name") >= shortest).distinct().join(papers.where("kind <> 'Review'"), "nct_id")
+    named = pairs.where(F.contains(F.lower("title"), F.lower("drug_name"))).withColumn("key", F.struct("nct_id", "drug_name")).withColumn("salt", F.pmod(F.xxhash64("pmid"), F.lit(SALTS)))
+    return cut_to(named, "key", [F.desc("cited"), F.asc("pmid")], k).select("nct_id", "drug_name", "rank", "pmid")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -257,25 +258,6 @@ _TEXTS = [
     "Until we met, all was well",
     "",
 ]
-_TAGS = [
-    (0, "ADC", "HER2", "HER2", "Breast", "NCT01234567"),
-    (1, "Monoclonal Antibody", "PD-1", "", "Liver", "NCT00000001"),
-    (2, "CAR-T", "CD19", "tumor mutational burden,biomarker,TMB", "Hematologic", ""),
-    (3, "Cell Therapy", "MET", "MET", "Hematologic", ""),
-    (4, "Unknown", "Unknown", "", "Other", ""),
-]
-
-
-def _tags(spark: SparkSession, d: str) -> DataFrame:
-    """Tagging of fixed texts with known answers."""
-    df = spark.createDataFrame(list(enumerate(_TEXTS)), "id int, t string")
-    t = F.col("t")
-    return df.select("id", X.modality(t).alias("modality"), X.target(t).alias("target"), F.array_join(X.biomarkers(t), ",").alias("biomarkers"), X.cancer_category(t).alias("cancer"), F.array_join(X.trial_ids(t), ",").alias("trials"))
-
-
-query("scl_s03_text_tags", "SELECT * FROM (VALUES " + ", ".join(map(str, _TAGS)) + ") t(id, modality, target, biomarkers, cancer, trials)", raw=True)(_tags)
-
-
 def _answers(name: str, f, cases: dict[str, str | None]) -> None:
     """A query of fixed names with known answers."""
     quote = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
@@ -283,20 +265,16 @@ def _answers(name: str, f, cases: dict[str, str | None]) -> None:
     query(name, f"SELECT * FROM (VALUES {values}) t(raw, name)", raw=True)(lambda spark, d: spark.createDataFrame([(k,) for k in cases], "raw string").select("raw", f(F.col("raw")).alias("name")))
 
 
-_answers("nrm_01_target", N.target, {"ErbB-2": "HER2", "WTErbB-2": "HER2", "K-RAS G12D": "KRAS", "DNA": "Unknown", "": None, "NRAS": "NRAS", "K-RAS": "K-RAS", "pd1": "PD-1"})
 _answers("nrm_03_target_list", lambda c: F.array_join(N.targets(F.split(c, ";")), ";"), {"HER-2;EGFR;ERBB2;": "HER2;EGFR", "": "", "VEGFA;KDR;x": "VEGF/VEGFR;x"})
 _answers("nrm_04_model_target", N.model_target, {"bortezomib": "Proteasome", "TP53": "p53", "Vascular Endothelial Growth Factor Receptor (VEGFR)": "VEGF/VEGFR", "n/a": "Unknown"})
 _answers("nrm_05_plain_biomarker", N.plain_biomarker, {"MSI": "MSI-H", "genomic": None, "PD-L1": "PD-L1", "BRCA": "BRCA"})
 _answers("nrm_06_biomarker", N.biomarker, {"KRAS G12C": "KRAS", "Her2-low": "HER2", "VEGFR2": "VEGFR2", "KRASG12C": "KRAS", "EGFRm": "EGFR", "BRAF V600": "BRAF", "KRAS p.G12C": "KRAS"})
-_answers("nrm_07_biomarker_state", N.biomarker_state, {"HER2 Amplification": "amplification", "HER2": None, "KRAS G12C": "mutation", "HER2-low": "low"})
 _answers("nrm_09_institution", N.institution, {"Yonsei University Health System": "Yonsei University", "The University of Tokyo Hospital": "The University of Tokyo", "Acme Therapeutics, Inc., Boston": "Acme Therapeutics, Inc."})
 _answers("nrm_10_country", N.country, {"China.": "China", "CA.": "USA", "PR": "Puerto Rico", "Republic of Korea": "South Korea"})
 _answers("nrm_11_companies", lambda c: F.array_join(N.companies(c), "|"), {"AstraZeneca UK Limited": "AstraZeneca", "AstraZeneca; Merck": "AstraZeneca|Merck (MSD)", "Merck KGaA, Darmstadt": "Merck KGaA"})
 _answers("nrm_12_modality", N.known_modality, {"adc": "ADC", " Small molecule ": "Small Molecule", "x": "Unknown"})
-_answers("nrm_15_country_of_code", N.country_of_code, {"us": "USA", "ZZ": "ZZ"})
 _answers("scl_lead_drug", lambda c: F.array_join(drugs.lead_first(F.split(c, ";")), "|"), {"Placebo;Carboplatin;ABC-1;abc-1 10 mg": "ABC-1|Placebo|Carboplatin", "": "Unknown"})
 _answers("scl_phases", lambda c: F.array_join(R.phases(c), "|"), {"A phase II and Phase 3 trial, phase 2": "PHASE2|PHASE3", "none": ""})
-_answers("mrg_09_cdx_strategy", M.cdx_strategy, {"HER2 must have been documented": "confirmed", "exploratory analysis of KRAS": "exploratory", "adults": "none"})
 _answers("mrg_07_gap_fix", lambda c: M.fixed_modality(c, F.lit("Unknown")), {"BCG vaccine + drug": "Vaccine", "COVID vaccine": None, "interferon alfa": "Recombinant Protein", "anti-IL-6 mAb": None, "x": None})
 
 
@@ -315,6 +293,19 @@ NAMES_SQL = r"""WITH t AS (SELECT unnest(list_concat([text], string_split(text,
 v AS (SELECT raw, count(*) AS n FROM t GROUP BY 1) """
 
 
+def _by_rule(name: str, f, sql: str, more: list[str]) -> None:
+    """A query of a function over all names of the tables and some that the rule is made for; its SQL is an expression of ``raw``."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = NAMES_SQL.replace("v AS (SELECT raw, count(*) AS n FROM t GROUP BY 1)", f"v AS (SELECT raw, count(*) AS n FROM (SELECT raw FROM t UNION ALL SELECT unnest([{', '.join(map(quote, more))}])) GROUP BY 1)")
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        known = spark.createDataFrame([(x,) for x in more], "raw string").groupBy("raw").agg(F.count("*").alias("n"))
+        both = _names(spark, d).union(known).groupBy("raw").agg(F.sum("n").alias("n"))
+        return both.select(F.md5("raw").alias("digest"), f(F.col("raw")).alias("name"), "n")
+
+    query(name, f"{rows} SELECT md5(raw) AS digest, {sql} AS name, n FROM v", raw=True)(run)
+
+
 def _over_names(name: str, f, sql: str | None = None) -> None:
     """A query of a function over all names of the tables; its SQL, where it has one, is an expression of ``raw``."""
     query(f"{name}_tables", sql and f"{NAMES_SQL}SELECT md5(raw) AS digest, {sql} AS name, n FROM v", raw=True)(lambda spark, d: _names(spark, d).select(F.md5("raw").alias("digest"), f(F.col("raw")).alias("name"), "n"))
@@ -362,6 +353,59 @@ def _text_tags(spark: SparkSession, d: str) -> DataFrame:
 
 query("scl_s03_text_tags_tables")(_text_tags)
 
+
+def _target_sql(x: str) -> str:
+    """NRM-01 in SQL."""
+    upper = {k.upper(): v for k, v in V.TARGET_SYNONYMS.items()}
+    erbb = f"CASE regexp_extract({x}, '(?i)^(?:wt)?erbb[\\s\\-]?([123])[a-z]?$', 1) WHEN '1' THEN 'EGFR' WHEN '2' THEN 'HER2' WHEN '3' THEN 'HER3' END"
+    kras = f"CASE WHEN regexp_matches({x}, '{V.KRAS_MUTATION}') THEN 'KRAS' END"
+    junk = ", ".join(f"'{j}'" for j in V.TARGET_JUNK)
+    return f"CASE WHEN upper({x}) IN ({junk}) THEN 'Unknown' ELSE coalesce({_case_sql(x, V.TARGET_SYNONYMS)}, {kras}, {erbb}, {_case_sql(f'upper({x})', upper)}, {x}) END"
+
+
+_ODD = ["ErbB-2", "WTErbB-2", "erbb 3b", "K-RAS G12D", "kras-q61h", "DNA", "n/a", "", "  ", "NRAS", "K-RAS", "pd1", " HER-2 ", *V.TARGET_SYNONYMS, *[k.lower() for k in V.TARGET_SYNONYMS]]
+_by_rule("nrm_01_target", N.target, f"CASE WHEN {_STRIPPED} <> '' THEN {_target_sql(_STRIPPED)} END", _ODD)
+_EDGE = re.compile(r"\\b(\w+)\\b")
+_STATE = "CASE " + " ".join(f"WHEN regexp_matches(raw, '(?i){_EDGE.sub(lambda m: f"(?:^|[^{chr(92)}p{{L}}{chr(92)}p{{N}}_]){m[1]}(?:$|[^{chr(92)}p{{L}}{chr(92)}p{{N}}_])", p)}') THEN '{k}'" for k, p in V.BIOMARKER_STATES.items()) + " END"
+_by_rule("nrm_07_biomarker_state", N.biomarker_state, _STATE, ["HER2 Amplification", "HER2", "KRAS G12C", "HER2-low", "EGFR exon 20", "PD-L1 IHC 3+", "ALK fusion", "MSH2 loss", "wild type RAS", "TMB-high", "ER negative", "pos"])
+_UPPER = "upper(replace(raw, 'ß', 'SS'))"
+_by_rule("nrm_15_country_of_code", N.country_of_code, f"coalesce({_case_sql(_UPPER, V.COUNTRY_CODES)}, {_UPPER})", ["us", "ZZ", *V.COUNTRY_CODES])
+
+
+def _has_sql(text: str, words: list[str], whole: bool = False) -> str:
+    """Any of the words in a lower-cased text; whole ones do not touch other letters or digits."""
+    quote = lambda w: w.lower().replace("'", "''")
+    if whole:
+        return f"regexp_matches({text}, '(^|[^a-z0-9])(?:{'|'.join(quote(re.escape(w)) for w in words)})([^a-z0-9]|$)')"
+    return "(" + " OR ".join(f"contains({text}, '{quote(w)}')" for w in words) + ")"
+
+
+_CDX_NAMED = f"{_has_sql('lower(raw)', D.BIOMARKER + D.BIOMARKER_WORDS)}"
+_by_rule("mrg_09_cdx_strategy", M.cdx_strategy, f"CASE WHEN NOT {_CDX_NAMED} THEN 'none' WHEN {_has_sql('lower(raw)', V.CDX_CONFIRMED)} THEN 'confirmed' ELSE 'exploratory' END", ["HER2 must have been documented", "exploratory analysis of KRAS", "adults"])
+
+
+def _tag_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every document, and behind it one of some sentences that the dictionaries are made for."""
+    tail = F.get(F.array(*map(F.lit, _TEXTS)), (F.col("doc_id") % len(_TEXTS)).cast("int"))
+    t = F.col("t")
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.concat_ws(" ", F.coalesce("text", F.lit("")), tail).alias("t"))
+    return docs.select("doc_id", X.modality(t).alias("modality"), X.target(t).alias("target"), F.array_join(X.biomarkers(t), ",").alias("biomarkers"), X.cancer_category(t).alias("cancer"))
+
+
+def _first_sql(tests: list[tuple[str, str]], default: str) -> str:
+    return "CASE " + " ".join(f"WHEN {t} THEN '{k}'" for k, t in tests) + f" ELSE '{default}' END"
+
+
+_TAG_TARGETS = [(k, _has_sql("u", v)) for k, v in D.TARGET.items()] + [(k, _has_sql("u", v, True)) for k, v in D.TARGET_WORDS.items()]
+_TAG_MARKERS = [(k, _has_sql("u", [k])) for k in D.BIOMARKER] + [(k, _has_sql("u", [k], True)) for k in D.BIOMARKER_WORDS]
+query(
+    "scl_s03_text_tags",
+    f"""WITH d AS (SELECT doc_id, lower(concat_ws(' ', coalesce(text, ''), [{', '.join("'" + x + "'" for x in _TEXTS)}][doc_id % {len(_TEXTS)} + 1])) AS u FROM documents)
+SELECT doc_id, {_first_sql([(k, _has_sql("u", v)) for k, v in D.MODALITY.items()], "Unknown")} AS modality, {_first_sql(_TAG_TARGETS, "Unknown")} AS target,
+array_to_string(list_filter([{', '.join(f"CASE WHEN {t} THEN '{k}' END" for k, t in _TAG_MARKERS)}], lambda x: x IS NOT NULL), ',') AS biomarkers, {_first_sql([(k, _has_sql("u", v, True)) for k, v in D.CANCER.items()], "Other")} AS cancer FROM d""",
+    raw=True,
+)(_tag_texts)
+
 query("snk_03_metadata", "SELECT count(*) AS total, count(DISTINCT company) AS companies FROM p")(lambda spark, d: S.metadata(programs(spark, d)))
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from therascape.functions import dictionaries as D
 from therascape.functions import labels as L
+from therascape.functions import mentions as T
 from therascape.functions import normalize as N
 from therascape.functions import text as X
 from therascape.operators import aggregates as A
@@ -500,3 +502,87 @@ _wide("str_05_new_items", "SELECT count(*) AS n FROM (SELECT DISTINCT nct_id FRO
     lambda spark, d: K.missing_from(_p(spark, d).select("nct_id").distinct(), _l(spark, d), "nct_id").agg(F.count("*").alias("n"))
 )
 _wide("nrm_01_target_counts", "SELECT target AS name, count(*) AS n FROM pw GROUP BY 1")(lambda spark, d: _p(spark, d).groupBy(X.known(N.target(F.col("target"))).alias("name")).agg(F.count("*").alias("n")))
+
+# Texts: drugs, cancers, sponsors and author keys over whole texts.
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    """Every document, with a sentence behind it that names drugs by its id, so that the rules have something to find."""
+    docs, k = spark.read.parquet(f"{d}/documents.parquet"), F.col("doc_id")
+    said = F.concat_ws(" ", F.lit(" In"), F.upper("lang"), F.lit("Osimertinib"), F.concat(F.lit("ABC-"), (k % 40 + 10).cast("string")), F.lit("PFS-12 osimertinib and"), F.get(F.array(*map(F.lit, ["ALL of", "all of", "NSCLC", "breast"])), (k % 4).cast("int")))
+    return docs.withColumn("said", F.concat(F.coalesce("text", F.lit("")), said))
+
+
+_DOCS = "WITH d AS (SELECT doc_id, source, coalesce(text, '') || concat_ws(' ', ' In', upper(lang), 'Osimertinib', 'ABC-' || (doc_id % 40 + 10), 'PFS-12 osimertinib and', ['ALL of', 'all of', 'NSCLC', 'breast'][doc_id % 4 + 1]) AS said FROM documents)"
+_ENDINGS = "|".join(sorted(T.DRUG_ENDINGS, key=len, reverse=True))
+query(
+    "scl_s12_drugs",
+    rf"""{_DOCS}, f AS (SELECT doc_id, list_concat(regexp_extract_all(said, '\b([A-Za-z]{{5,}}(?:{_ENDINGS}))\b', 1), list_filter(regexp_extract_all(said, '\b([A-Z]{{2,5}}-[0-9]{{2,6}}[A-Z]{{0,2}}[0-9]{{0,2}})\b', 1), lambda c: split_part(c, '-', 1) NOT IN ({", ".join(repr(x) for x in T.NO_DRUG)}))) AS xs FROM d)
+SELECT doc_id, array_to_string(list_filter(xs, lambda x, i: list_position(list_transform(xs, lambda y: lower(y)), lower(x)) = i)[1:10], ',') AS drugs FROM f""",
+    raw=True,
+)(lambda spark, d: _documents(spark, d).select("doc_id", F.array_join(T.drugs(F.col("said")), ",").alias("drugs")))
+
+
+def _cancer_sql(name: str, words: list[str]) -> str:
+    quote = lambda w: w.replace("'", "''")
+    tests = [f"contains(lower(said), '{quote(w.lower())}')" for w in words if not w.isupper()]
+    tests += [f"regexp_matches(said, '(^|[^A-Za-z]){quote(w)}([^A-Za-z]|$)')" for w in words if w.isupper()]
+    return f"CASE WHEN {' OR '.join(tests)} THEN '{quote(name)}' END"
+
+
+query("scl_s09_cancers", f"{_DOCS} SELECT doc_id, array_to_string(list_filter([{', '.join(_cancer_sql(*kv) for kv in D.CANCER.items())}], lambda x: x IS NOT NULL), ',') AS cancers FROM d", raw=True)(
+    lambda spark, d: _documents(spark, d).select("doc_id", F.array_join(T.cancers(F.lit(None).cast("string"), F.col("said")), ",").alias("cancers"))
+)
+query(
+    "scl_s16_sponsor",
+    r"SELECT s_suppkey, CASE WHEN lower(trim(regexp_replace(trim(raw), '\.+$', ''))) NOT IN ('none', '') THEN trim(regexp_replace(trim(raw), '\.+$', '')) END AS sponsor FROM (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN ' ' || s_name || ' Inc. .' WHEN 1 THEN 'None.' ELSE s_name || '..' END AS raw FROM supplier)",
+    raw=True,
+)(
+    lambda spark, d: spark.read.parquet(f"{d}/supplier.parquet").select(
+        "s_suppkey", T.sponsor(F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit(" "), "s_name", F.lit(" Inc. ."))).when(F.col("s_suppkey") % 3 == 1, "None.").otherwise(F.concat("s_name", F.lit("..")))).alias("sponsor")
+    )
+)
+query(
+    "scl_s14_author_key",
+    """SELECT doc_id, trim(regexp_replace(strip_accents(lower(n)), '[^a-z0-9]+', '_', 'g'), '_') || '|' || regexp_replace(left(trim(lower(split_part(source || ' Université, Paris', ',', 1))), 20), '[^a-z0-9]+', '_', 'g') AS key
+FROM (SELECT doc_id, source, 'José Ångström-' || coalesce(left(text, 60), '') AS n FROM documents WHERE regexp_matches(coalesce(left(text, 60), ''), '^[\x00-\x7FÀ-ÿ]*$'))""",
+    raw=True,
+)(
+    lambda spark, d: spark.read.parquet(f"{d}/documents.parquet")
+    .withColumn("n", F.coalesce(F.left("text", F.lit(60)), F.lit("")))
+    .where(F.col("n").rlike(r"^[\x00-\x7FÀ-ÿ]*$"))
+    .select("doc_id", T.author_key(F.concat(F.lit("José Ångström-"), "n"), F.concat("source", F.lit(" Université, Paris"))).alias("key"))
+)
+_FOUND = "SELECT 'x' || (p_partkey * 3) AS doi, p_name AS lead, CASE WHEN p_size % 4 = 0 THEN '' ELSE p_brand END AS lead_affiliation, 'US' AS lead_country FROM part"
+
+
+def _found(spark: SparkSession, d: str) -> DataFrame:
+    part = spark.read.parquet(f"{d}/part.parquet")
+    affiliation = F.when(F.col("p_size") % 4 == 0, "").otherwise(F.col("p_brand"))
+    return part.select(F.concat(F.lit("X"), (F.col("p_partkey") * 3).cast("string")).alias("doi"), F.col("p_name").alias("lead"), affiliation.alias("lead_affiliation"), F.lit("US").alias("lead_country"), F.array(F.lit("Pfizer Inc"), F.lit("x")).alias("institutions"))
+
+
+def _with_doi(spark: SparkSession, d: str) -> DataFrame:
+    return _l(spark, d).withColumn("doi", F.concat(F.lit("x"), F.substring("uid", 5, 18)))
+
+
+_wide("j_05_authorships", f", f AS ({_FOUND}) SELECT uid, lead, CASE WHEN f.doi IS NOT NULL THEN lead_affiliation ELSE affiliation END AS affiliation, CASE WHEN f.doi IS NOT NULL THEN lead_country ELSE country_raw END AS country_raw, CASE WHEN f.doi IS NOT NULL THEN 'Pfizer' ELSE '' END AS companies FROM lw LEFT JOIN f ON 'x' || substr(uid, 5) = f.doi")(
+    lambda spark, d: K.with_authorships(_with_doi(spark, d), _found(spark, d)).select("uid", "lead", "affiliation", "country_raw", F.array_join("companies_normalized", ",").alias("companies"))
+)
+_wide("j_06_affiliations", f", f AS ({_FOUND}) SELECT uid, coalesce(nullif(lead_affiliation, ''), affiliation) AS affiliation FROM lw LEFT JOIN f ON 'x' || substr(uid, 5) = f.doi")(
+    lambda spark, d: K.with_affiliations(_with_doi(spark, d), _found(spark, d)).select("uid", "affiliation")
+)
+
+
+def _papers(spark: SparkSession, d: str) -> DataFrame:
+    lit = _l(spark, d)
+    title = F.concat(F.lit("Trial of"), F.lower(F.coalesce(F.get("drugs_mentioned", F.lit(0)), F.lit(" none"))), F.lit(" against others"))
+    return lit.select(F.explode("nct_ids").alias("nct_id"), F.col("uid").alias("pmid"), title.alias("title"), F.when(F.col("year") == 2019, "Review").otherwise("Article").alias("kind"), F.length("abstract_id").alias("cited"))
+
+
+_wide(
+    "src_09_papers_of_trials",
+    """, pa AS (SELECT unnest(nct_ids) AS nct_id, uid AS pmid, 'Trial of' || lower(coalesce(drugs_mentioned[1], ' none')) || ' against others' AS title, length(abstract_id) AS cited FROM lw WHERE "year" <> 2019),
+q AS (SELECT DISTINCT a.nct_id, drug_name, pmid, cited FROM (SELECT DISTINCT nct_id, drug_name FROM pw) a JOIN pa USING (nct_id) WHERE contains(title, lower(drug_name))),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY nct_id, drug_name ORDER BY cited DESC, pmid) AS INTEGER) AS rank FROM q) SELECT nct_id, drug_name, rank, pmid FROM r WHERE rank <= 5""",
+)(lambda spark, d: K.papers_of_trials(_p(spark, d), _papers(spark, d)))
