@@ -80,4 +80,4 @@ def test_lists_keep_order_and_drop_repeats(spark):
 
 def test_more_rounds_change_nothing(spark):
     names = ["KRAS G12C mutation positive high", "EGFR exon 20 ins mutant status", "HER2 ihc 3+ overexpression positive", "a", ""]
-    assert apply(spark, N.without_state, names) == apply(spark, lambda c: N.without_state(c, N.ROUNDS + 1), names)
+    assert apply(spark, N.without_state, names) == apply(spark, lambda c: N.without_state(c, 9), names)
