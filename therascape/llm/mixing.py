@@ -12,7 +12,8 @@ that digest apart and put together by a sum over counts, so a source with a thir
 
 No row is dropped or repeated.  A source that runs out leaves its slots empty, from then on shares are of what is left:
 ``full_mix`` says whether a block's slot lies before the first empty one.  Defined results: null is a source of
-its own; null ids come last in their source, in any order; repeated rows take places of their own; sources without a given
+its own; null ids come last in their source, in any order,
+and are placed by one task a source; repeated rows take places of their own; sources without a given
 weight get weight 1; an empty table gives an empty table; other columns come back inside ``row``.
 """
 
@@ -106,9 +107,7 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, id_col: str = "d
     src = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), F.coalesce(F.concat(F.lit("s:"), docs[source_col].cast("string")), F.lit("null")).alias("key"))
     # digests are cut to ranges: 256 of them on a small cluster, 16 times the shuffle partitions or more on a large one
     digits = max(2, len(f"{shuffle_width(docs.sparkSession):x}") + 1)
-    # rows without an id are dealt by their place, since they have no digest to spread them
-    no_id = F.concat(F.lit("~"), F.lpad(F.hex(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(16 ** (digits - 1)))), digits - 1, "0"))
-    src = src.withColumn("digest", F.coalesce(F.md5(F.col("id").cast("string")), no_id)).withColumn("part", F.left("digest", F.lit(digits)))
+    src = src.withColumn("digest", F.coalesce(F.md5(F.col("id").cast("string")), F.lit("~"))).withColumn("part", F.left("digest", F.lit(digits)))
     parts = src.groupBy("key", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.select("key", "part", F.coalesce(before, F.lit(0)).alias("before"))
