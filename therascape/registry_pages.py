@@ -301,7 +301,7 @@ def _titles(spark: SparkSession, d: str) -> DataFrame:
 
 _wide(
     "j_25_fixed_titles",
-    r""", t AS (SELECT uid, conference, CASE WHEN "year" = 2019 THEN upper(title) ELSE title END AS t FROM lw), b AS (SELECT uid, t, max(conference) OVER (PARTITION BY uid) AS c FROM t)
+    r""", t AS (SELECT uid, conference, CASE WHEN "year" = 2019 THEN upper(replace(title, 'ß', 'SS')) ELSE title END AS t FROM lw), b AS (SELECT uid, t, max(conference) OVER (PARTITION BY uid) AS c FROM t)
 SELECT uid, CASE WHEN (regexp_matches(trim(coalesce(t, ''), ' '), '^[0-9]{0,2}[a-z]{2,}[0-9]{6,}|CLINICAL SCIENCE|SYMPOSI|^[A-Z ]{25,}') OR length(trim(coalesce(t, ''), ' ')) > 300 OR length(trim(coalesce(t, ''), ' ')) < 8) AND c IS NOT NULL THEN 'A better title of ' || c ELSE t END AS title FROM b""",
 )(_titles)
 _wide("j_26_variants", "SELECT upper(company) AS canonical, string_agg(DISTINCT company, ',' ORDER BY company) AS raw FROM pw GROUP BY 1")(
