@@ -319,8 +319,7 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
 
 def _merged(spark: SparkSession, d: str) -> DataFrame:
     rows = _p(spark, d).withColumnRenamed("biomarkers", "biomarker_list").withColumn("modality", F.when(F.col("modality") == "ECONOMY", "Unknown").otherwise(F.col("modality")))
-    once = M.merge_models(rows, _answers(spark, d))
-    return M.merge_models(once, _answers(spark, d))  # a second merge changes nothing
+    return M.merge_models(rows, _answers(spark, d))
 
 
 _FLAG = "CASE WHEN {0}_rule <> 'Unknown' AND {1} <> 'Unknown' AND NOT {2} AND c >= 0.8 THEN CASE WHEN c >= 0.85 THEN '{0}_conflict_resolved' ELSE '{0}_conflict' END END"
