@@ -444,3 +444,13 @@ def test_benchmark_in_parts_finds_the_same(spark, folder):
     row = decontaminate.hits(docs, bench).schema["row"]
     one, many = (sorted(decontaminate.search(shards, bench, row, b).collect(), key=str) for b in (1 << 20, 20))
     assert one == many and sum(len(r.spans) for r in one) > 0
+
+
+def test_hits_are_cut_from_the_text_and_nothing_else(spark):
+    passage = "one two three four five six seven eight nine ten"
+    texts = [f"Ab, {passage.upper()}! end", f"{passage}, {passage} eleven", None, "", "one two", f"é{passage}", f"ñ {passage}-é"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    odd = docs.limit(1).selectExpr("99L AS doc_id", f"CAST(concat(X'FF20', CAST('{passage}' AS BINARY), X'20FE') AS STRING) AS text")
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    got = {r.doc_id: bytes(r.b) if r.b is not None else None for r in decontaminate.remove_hits(docs.union(odd), bench).selectExpr("doc_id", "CAST(text AS BINARY) AS b").collect()}
+    assert got == {0: b"Ab, ! end", 1: b" eleven", 2: None, 3: b"", 4: b"one two", 5: f"é{passage}".encode(), 6: "ñ -é".encode(), 99: b"\xff  \xfe"}

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import io
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -302,11 +302,8 @@ def _found(shards: DataFrame, sent) -> DataFrame:
     return shards.select("block", "index").mapInArrow(run, _FOUND)
 
 
-def search(shards: DataFrame, benchmark: DataFrame, row: T.StructField, part_bytes: int = PART_BYTES) -> DataFrame:
-    """(row, n_words, spans, items) for every document of indexed shards: spans of hit words, items sorted as strings.
-
-    ``row`` is the field that the documents' rows have, as in ``hits``.
-    """
+def _each_shard(shards: DataFrame, benchmark: DataFrame, schema: T.StructType, put: Callable[..., dict[str, pa.Array]], part_bytes: int) -> DataFrame:
+    """``put(rows, n_words, spans, items)`` of every shard, once all parts of the benchmark are searched."""
     spark = shards.sparkSession
     bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("binary").alias("text"))
     parts = max(1, -(-(bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part_bytes))
@@ -325,58 +322,69 @@ def search(shards: DataFrame, benchmark: DataFrame, row: T.StructField, part_byt
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in records(batches):
-            docs = unpacked(x["data"])
             sizes, spans, items = find(x["index"], sent.value)
             for other in x.get("parts") or []:
                 spans = [_merged(a + [(s["first"], s["end"]) for s in b]) for a, b in zip(spans, other["spans"], strict=True)]
                 items = [a | set(b) for a, b in zip(items, other["items"], strict=True)]
-            yield pa.record_batch(
-                {
-                    "row": docs,
-                    "n_words": pa.array(sizes, pa.int64()),
-                    "spans": pa.array([[{"first": a, "end": b} for a, b in s] for s in spans], _FOUND_SPANS.value_type),
-                    "items": pa.array([sorted(s) for s in items], pa.list_(pa.string())),
-                }
-            )
+            yield pa.record_batch(put(unpacked(x["data"]), sizes, spans, items))
+
+    return wanted.mapInArrow(run, schema)
+
+
+def search(shards: DataFrame, benchmark: DataFrame, row: T.StructField, part_bytes: int = PART_BYTES) -> DataFrame:
+    """(row, n_words, spans, items) for every document of indexed shards: spans of hit words, items sorted as strings.
+
+    ``row`` is the field that the documents' rows have, as in ``hits``.
+    """
+
+    def put(rows: pa.StructArray, sizes: np.ndarray, spans: list[list[tuple[int, int]]], items: list[set[str]]) -> dict[str, pa.Array]:
+        pairs = pa.array([[{"first": a, "end": b} for a, b in s] for s in spans], _FOUND_SPANS.value_type)
+        return {"row": rows, "n_words": pa.array(sizes, pa.int64()), "spans": pairs, "items": pa.array([sorted(s) for s in items], pa.list_(pa.string()))}
 
     span = T.ArrayType(T.StructType().add("first", "long").add("end", "long"))
     out = T.StructType([row]).add("n_words", "long").add("spans", span).add("items", T.ArrayType(T.StringType()))
-    return wanted.mapInArrow(run, out)
+    return _each_shard(shards, benchmark, out, put, part_bytes)
+
+
+def _row_field(docs: DataFrame) -> T.StructField:
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).schema["row"]
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """(row, n_words, spans, items) for every input row; spans of hit words, items sorted as strings."""
-    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).schema["row"]
-    return search(indexed(docs, text_col), benchmark, row, part_bytes)
+    return search(indexed(docs, text_col), benchmark, _row_field(docs), part_bytes)
 
 
-def _without(text: bytes, spans: list[dict]) -> str:
+def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     """The text without hit words and what stands between them."""
     folded, at, kept, n, k = text.translate(_FOLD), 0, [], 0, 0
     pos = 0
     for word in folded.split():
         pos = folded.index(word, pos)
-        if k < len(spans) and n == spans[k]["first"]:
+        if k < len(spans) and n == spans[k][0]:
             kept.append(text[at:pos])
         pos += len(word)
         n += 1
-        if k < len(spans) and n == spans[k]["end"]:
+        if k < len(spans) and n == spans[k][1]:
             at, k = pos, k + 1
-    return b"".join([*kept, text[at:]]).decode("utf-8", "replace")
+    return b"".join([*kept, text[at:]])
 
 
-def remove_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The input's rows and columns, with every hit span cut out of the text.  Every row stays."""
-    out = hits(docs, benchmark, text_col)
-    schema = T.StructType([out.schema["row"], T.StructField("clean", T.StringType())])
+def remove_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
+    """The input's rows and columns, with every hit span cut out of the text.  Every row stays.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            clean = [_without(x.as_py(), s.as_py()) if len(s) else None for x, s in zip(batch.column("text"), batch.column("spans"), strict=True)]
-            yield pa.record_batch({"row": batch.column("row"), "clean": pa.array(clean, pa.string())})
+    Spans are cut in the task that finds them, so texts pass to Python and back once.
+    """
+
+    def put(rows: pa.StructArray, sizes: np.ndarray, spans: list[list[tuple[int, int]]], items: list[set[str]]) -> dict[str, pa.Array]:
+        fields, at = rows.flatten(), rows.type.get_field_index(text_col)
+        if any(spans):
+            texts, kind = fields[at].cast(pa.binary()), fields[at].type
+            fields[at] = pa.array([_without(t.as_py(), s) if s else t.as_py() for t, s in zip(texts, spans, strict=True)], pa.binary()).cast(kind, safe=False)  # bytes that are no text stay
+        return {"row": pa.StructArray.from_arrays(fields, fields=list(rows.type))}
 
-    out = out.select("row", F.col(f"row.`{text_col}`").cast("binary").alias("text"), "spans").mapInArrow(run, schema)
-    return out.select(*[F.coalesce("clean", F.col(f"row.`{c}`")).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    out = _each_shard(indexed(docs, text_col), benchmark, T.StructType([_row_field(docs)]), put, part_bytes)
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op6_decontaminate(spark, sf_dir):
