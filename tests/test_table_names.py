@@ -15,6 +15,9 @@ LITERAL = sorted(k.removesuffix("_tables") for k in registry.QUERIES if k.endswi
 CASES = {
     "nrm_01_target": {"ErbB-2": "HER2", "WTErbB-2": "HER2", "K-RAS G12D": "KRAS", "DNA": "Unknown", "": None, "NRAS": "NRAS", "K-RAS": "K-RAS", "pd1": "PD-1"},
     "nrm_07_biomarker_state": {"HER2 Amplification": "amplification", "HER2": None, "KRAS G12C": "mutation", "HER2-low": "low"},
+    "nrm_05_plain_biomarker": {"MSI": "MSI-H", "genomic": None, "PD-L1": "PD-L1", "BRCA": "BRCA"},
+    "nrm_10_country": {"China.": "China", "CA.": "USA", "PR": "Puerto Rico", "Republic of Korea": "South Korea"},
+    "nrm_12_modality": {"adc": "ADC", " Small molecule ": "Small Molecule", "x": "Unknown"},
     "nrm_15_country_of_code": {"us": "USA", "ZZ": "ZZ"},
     "mrg_09_cdx_strategy": {"HER2 must have been documented": "confirmed", "exploratory analysis of KRAS": "exploratory", "adults": "none"},
 }

@@ -267,12 +267,9 @@ def _answers(name: str, f, cases: dict[str, str | None]) -> None:
 
 _answers("nrm_03_target_list", lambda c: F.array_join(N.targets(F.split(c, ";")), ";"), {"HER-2;EGFR;ERBB2;": "HER2;EGFR", "": "", "VEGFA;KDR;x": "VEGF/VEGFR;x"})
 _answers("nrm_04_model_target", N.model_target, {"bortezomib": "Proteasome", "TP53": "p53", "Vascular Endothelial Growth Factor Receptor (VEGFR)": "VEGF/VEGFR", "n/a": "Unknown"})
-_answers("nrm_05_plain_biomarker", N.plain_biomarker, {"MSI": "MSI-H", "genomic": None, "PD-L1": "PD-L1", "BRCA": "BRCA"})
 _answers("nrm_06_biomarker", N.biomarker, {"KRAS G12C": "KRAS", "Her2-low": "HER2", "VEGFR2": "VEGFR2", "KRASG12C": "KRAS", "EGFRm": "EGFR", "BRAF V600": "BRAF", "KRAS p.G12C": "KRAS"})
 _answers("nrm_09_institution", N.institution, {"Yonsei University Health System": "Yonsei University", "The University of Tokyo Hospital": "The University of Tokyo", "Acme Therapeutics, Inc., Boston": "Acme Therapeutics, Inc."})
-_answers("nrm_10_country", N.country, {"China.": "China", "CA.": "USA", "PR": "Puerto Rico", "Republic of Korea": "South Korea"})
 _answers("nrm_11_companies", lambda c: F.array_join(N.companies(c), "|"), {"AstraZeneca UK Limited": "AstraZeneca", "AstraZeneca; Merck": "AstraZeneca|Merck (MSD)", "Merck KGaA, Darmstadt": "Merck KGaA"})
-_answers("nrm_12_modality", N.known_modality, {"adc": "ADC", " Small molecule ": "Small Molecule", "x": "Unknown"})
 _answers("scl_lead_drug", lambda c: F.array_join(drugs.lead_first(F.split(c, ";")), "|"), {"Placebo;Carboplatin;ABC-1;abc-1 10 mg": "ABC-1|Placebo|Carboplatin", "": "Unknown"})
 _answers("scl_phases", lambda c: F.array_join(R.phases(c), "|"), {"A phase II and Phase 3 trial, phase 2": "PHASE2|PHASE3", "none": ""})
 _answers("mrg_07_gap_fix", lambda c: M.fixed_modality(c, F.lit("Unknown")), {"BCG vaccine + drug": "Vaccine", "COVID vaccine": None, "interferon alfa": "Recombinant Protein", "anti-IL-6 mAb": None, "x": None})
@@ -322,21 +319,19 @@ _DOTLESS = f"regexp_replace(regexp_replace(raw, '[.\\s\\x{{0B}}\\x{{85}}\\p{{Z}}
 _over_names("nrm_01_target", N.target)
 _over_names("nrm_03_target_list", lambda c: F.array_join(N.targets(F.split(c, ";")), ";"))
 _over_names("nrm_04_model_target", N.model_target)
-_over_names(
-    "nrm_05_plain_biomarker",
-    N.plain_biomarker,
-    f"CASE WHEN {_STRIPPED} <> '' AND lower({_STRIPPED}) NOT IN ({', '.join(repr(x) for x in V.BIOMARKER_JUNK)}) THEN coalesce({_case_sql(f"regexp_replace(lower({_STRIPPED}), '[^a-z0-9]', '', 'g')", V.BIOMARKER_CANON)}, {_STRIPPED}) END",
-)
+_PLAIN = f"CASE WHEN {_STRIPPED} <> '' AND lower({_STRIPPED}) NOT IN ({', '.join(repr(x) for x in V.BIOMARKER_JUNK)}) THEN coalesce({_case_sql(f"regexp_replace(lower({_STRIPPED}), '[^a-z0-9]', '', 'g')", V.BIOMARKER_CANON)}, {_STRIPPED}) END"
+_over_names("nrm_05_plain_biomarker", N.plain_biomarker, _PLAIN)
+_by_rule("nrm_05_plain_biomarker", N.plain_biomarker, _PLAIN, ["MSI", "genomic", "PD-L1", "BRCA", "", *V.BIOMARKER_CANON, *V.BIOMARKER_JUNK])
 _over_names("nrm_06_biomarker", N.biomarker)
 _over_names("nrm_07_biomarker_state", N.biomarker_state)
 _over_names("nrm_09_institution", N.institution)
-_over_names(
-    "nrm_10_country",
-    N.country,
-    f"CASE WHEN {_DOTLESS} = '' THEN raw WHEN upper({_DOTLESS}) IN ({', '.join(repr(x) for x in V.US_STATES)}) THEN 'USA' ELSE coalesce({_case_sql(f'upper({_DOTLESS})', V.US_TERRITORIES)}, {_case_sql(_DOTLESS, V.COUNTRIES)}, {_DOTLESS}) END",
-)
+_COUNTRY = f"CASE WHEN {_DOTLESS} = '' THEN raw WHEN upper({_DOTLESS}) IN ({', '.join(repr(x) for x in V.US_STATES)}) THEN 'USA' ELSE coalesce({_case_sql(f'upper({_DOTLESS})', V.US_TERRITORIES)}, {_case_sql(_DOTLESS, V.COUNTRIES)}, {_DOTLESS}) END"
+_over_names("nrm_10_country", N.country, _COUNTRY)
+_by_rule("nrm_10_country", N.country, _COUNTRY, ["China.", "CA.", "", ".", *V.US_STATES, *V.US_TERRITORIES, *V.COUNTRIES])
 _over_names("nrm_11_companies", lambda c: F.array_join(N.companies(c), "|"))
-_over_names("nrm_12_modality", N.known_modality, f"coalesce({_case_sql(f'lower({_STRIPPED})', {k.lower(): k for k in D.MODALITY})}, 'Unknown')")
+_KIND = f"coalesce({_case_sql(f'lower({_STRIPPED})', {k.lower(): k for k in D.MODALITY})}, 'Unknown')"
+_over_names("nrm_12_modality", N.known_modality, _KIND)
+_by_rule("nrm_12_modality", N.known_modality, _KIND, ["adc", " Small molecule ", "x", *D.MODALITY])
 _over_names("nrm_15_country_of_code", N.country_of_code)
 _over_names("scl_lead_drug", lambda c: F.array_join(drugs.lead_first(F.split(c, ";")), "|"))
 _over_names("scl_phases", lambda c: F.array_join(R.phases(c), "|"))
