@@ -19,6 +19,7 @@ CASES = {
     "nrm_10_country": {"China.": "China", "CA.": "USA", "PR": "Puerto Rico", "Republic of Korea": "South Korea"},
     "nrm_12_modality": {"adc": "ADC", " Small molecule ": "Small Molecule", "x": "Unknown"},
     "nrm_15_country_of_code": {"us": "USA", "ZZ": "ZZ"},
+    "scl_phases": {"A phase II and Phase 3 trial, phase 2": "PHASE2|PHASE3", "none": ""},
     "mrg_09_cdx_strategy": {"HER2 must have been documented": "confirmed", "exploratory analysis of KRAS": "exploratory", "adults": "none"},
 }
 TAGS = [

@@ -271,7 +271,6 @@ _answers("nrm_06_biomarker", N.biomarker, {"KRAS G12C": "KRAS", "Her2-low": "HER
 _answers("nrm_09_institution", N.institution, {"Yonsei University Health System": "Yonsei University", "The University of Tokyo Hospital": "The University of Tokyo", "Acme Therapeutics, Inc., Boston": "Acme Therapeutics, Inc."})
 _answers("nrm_11_companies", lambda c: F.array_join(N.companies(c), "|"), {"AstraZeneca UK Limited": "AstraZeneca", "AstraZeneca; Merck": "AstraZeneca|Merck (MSD)", "Merck KGaA, Darmstadt": "Merck KGaA"})
 _answers("scl_lead_drug", lambda c: F.array_join(drugs.lead_first(F.split(c, ";")), "|"), {"Placebo;Carboplatin;ABC-1;abc-1 10 mg": "ABC-1|Placebo|Carboplatin", "": "Unknown"})
-_answers("scl_phases", lambda c: F.array_join(R.phases(c), "|"), {"A phase II and Phase 3 trial, phase 2": "PHASE2|PHASE3", "none": ""})
 _answers("mrg_07_gap_fix", lambda c: M.fixed_modality(c, F.lit("Unknown")), {"BCG vaccine + drug": "Vaccine", "COVID vaccine": None, "interferon alfa": "Recombinant Protein", "anti-IL-6 mAb": None, "x": None})
 
 
@@ -334,7 +333,10 @@ _over_names("nrm_12_modality", N.known_modality, _KIND)
 _by_rule("nrm_12_modality", N.known_modality, _KIND, ["adc", " Small molecule ", "x", *D.MODALITY])
 _over_names("nrm_15_country_of_code", N.country_of_code)
 _over_names("scl_lead_drug", lambda c: F.array_join(drugs.lead_first(F.split(c, ";")), "|"))
-_over_names("scl_phases", lambda c: F.array_join(R.phases(c), "|"))
+_SAID_PHASES = f"list_transform(regexp_extract_all(raw, '{R.PHASE_WORD.replace(chr(92) + 's', '[' + chr(92) + 's' + chr(92) + 'x{0B}]')}', 1), lambda w: {_case_sql('upper(w)', R.PHASES)})"
+_PHASES = f"array_to_string(list_transform([{_SAID_PHASES}], lambda xs: array_to_string(list_filter(xs, lambda x, i: list_position(xs, x) = i), '|')), '')"
+_over_names("scl_phases", lambda c: F.array_join(R.phases(c), "|"), _PHASES)
+_by_rule("scl_phases", lambda c: F.array_join(R.phases(c), "|"), _PHASES, ["A phase II and Phase 3 trial, phase 2", "phase 1/phase iv", "PHASE III, phase IIV", "phase2 phases 3 phase\n4", "none"])
 _over_names("mrg_09_cdx_strategy", M.cdx_strategy)
 _over_names("mrg_07_gap_fix", lambda c: M.fixed_modality(c, F.lit("Unknown")))
 
