@@ -107,3 +107,14 @@ def records(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for k in range(batch.num_rows):
             yield {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+
+
+#: DuckDB: the 256 steps of CRC-32 as a list, made from its polynomial; for a CTE ``crc_steps(t)``.
+CRC_STEPS_SQL = """SELECT list(list_reduce(range(8), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, i) ORDER BY i) AS t
+          FROM range(256) r(i)"""
+
+
+def crc_sql(text: str) -> str:
+    """DuckDB: the unsigned CRC-32 of a text's UTF-8 bytes, where ``crc_steps`` is joined."""
+    data = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda s: CAST('0x' || s AS INT))"
+    return f"xor(list_reduce({data}, lambda a, x: xor(a // 256, t[CAST(xor(a % 256, x) AS INT) + 1]), CAST(4294967295 AS BIGINT)), 4294967295)"
