@@ -8,7 +8,8 @@ most ``TRAIN_ROWS`` labelled rows outside the held-out fold; every document is s
 
 The result is the expected severity, the sum over k of P(grade > k); a document is toxic if P(grade > 0) >= 0.5.
 Defined results: null and empty texts have no features and get the thresholds' own severity; repeated rows get equal
-scores; without labels of both kinds nothing is toxic and severity is 0.
+scores; without labels of both kinds nothing is toxic and severity is 0; texts of any length are read whole; an empty table gives an
+empty result; the input's columns come back inside ``row``, so none can clash.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from therascape.llm.features import SIZE, held_out, training_rows, word_counts
 
 TRAIN_ROWS = 8000
 FEATURES = 1024
-#: A feature is at least so many times as common in toxic documents as in others.
+#: A feature is at least so many times as common in toxic documents as in others, and in so many of them.
 TELLING = 12
+LEAST = 3
 GRADES = 4
 
 
@@ -57,7 +59,7 @@ class Model:
         a, b = with_word
         c, d = toxic - a, n - toxic - b
         chi = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * toxic * (n - toxic), 1)
-        chi[(a * (n - toxic) <= TELLING * (b + 1) * toxic) | (a < 3)] = 0  # only words that tell of toxicity
+        chi[(a * (n - toxic) <= TELLING * (b + 1) * toxic) | (a < LEAST)] = 0  # only words that tell of toxicity
         best = np.argsort(-chi, kind="stable")[:FEATURES]
         best = best[chi[best] > 10.8]  # 0.001 level, one degree of freedom
         self.column = np.full(SIZE, -1, np.int32)
@@ -74,22 +76,40 @@ class Model:
         val = np.concatenate([1 + np.log(k[c >= 0]) for k, c in zip(counts, cols, strict=True)]) if cols else np.zeros(0)
         return row, col, val
 
-    def _descend(self, row, col, val, grade, n_features: int, steps: int = 1500, ridge: float = 1e-5) -> None:
-        """Gradient steps (Adam) on the sum over thresholds of logistic losses; gaps are exponentials, so thresholds stay ordered."""
-        n, over = len(grade), (grade[:, None] > np.arange(GRADES - 1)).astype(float)
-        x = np.concatenate([np.zeros(n_features), [2.0], np.zeros(GRADES - 2)])
-        m, v = np.zeros_like(x), np.zeros_like(x)
-        for t in range(1, steps + 1):
-            w, first, gaps = x[:n_features], x[n_features], np.exp(x[n_features + 1 :])
-            theta = first + np.concatenate(([0], np.cumsum(gaps)))
-            z = np.bincount(row, w[col] * val, n)
-            e = (_sigmoid(z[:, None] - theta) - over) / n
-            by_theta = -e.sum(0)
-            g = np.concatenate([np.bincount(col, e.sum(1)[row] * val, n_features) + ridge * w, [by_theta.sum()], [gaps[k] * by_theta[k + 1 :].sum() for k in range(GRADES - 2)]])
-            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-            x = x - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-        self.w = x[:n_features]
-        self.theta = x[n_features] + np.concatenate(([0], np.cumsum(np.exp(x[n_features + 1 :]))))
+    def _descend(self, row, col, val, grade, n_features: int, steps: int = 100, ridge: float = 1e-5, tolerance: float = 1e-9) -> None:
+        """Newton steps on the sum over thresholds of logistic losses until no part of the gradient is above the tolerance.
+
+        The loss is convex in weights and thresholds; grades are nested, so its thresholds come out in order.  The thresholds' own tiny
+        ridge only keeps them finite where a grade has no row.  ``row`` ascends.
+        """
+        n, m, k = len(grade), n_features, GRADES - 1
+        over = (grade[:, None] > np.arange(k)).astype(float)
+        keep = np.concatenate([np.full(m, ridge), np.full(k, 1e-9)])
+        x = np.concatenate([np.zeros(m), 1.0 + np.arange(k)])
+        margins = lambda x: np.bincount(row, x[col] * val, n)[:, None] - x[m:]
+        loss = lambda x: (lambda z: np.logaddexp(0, np.where(over > 0, -z, z)).sum() / n + keep @ (x * x) / 2)(margins(x))
+        blocks = range(0, n, 1024)
+        cuts = np.searchsorted(row, [*blocks, n])
+        for _ in range(steps):
+            p = _sigmoid(margins(x))
+            e = (p - over) / n
+            g = np.concatenate([np.bincount(col, e.sum(1)[row] * val, m), -e.sum(0)]) + keep * x
+            if np.abs(g).max() <= tolerance:
+                break
+            bend, curve = p * (1 - p) / n, np.diag(keep)
+            for first, i, j in zip(blocks, cuts, cuts[1:]):
+                d = bend[first : first + 1024]
+                part = np.zeros((len(d), m))
+                np.add.at(part, (row[i:j] - first, col[i:j]), val[i:j])
+                curve[:m, :m] += part.T @ (d.sum(1)[:, None] * part)
+                curve[:m, m:] -= part.T @ d
+            curve[m:, :m] = curve[:m, m:].T
+            curve[m:, m:] += np.diag(bend.sum(0))
+            move, here, t = np.linalg.solve(curve, g), loss(x), 1.0
+            while t > 1e-10 and loss(x - t * move) > here - 1e-4 * t * (g @ move) + 1e-15:
+                t /= 2
+            x = x - t * move
+        self.w, self.theta = x[:m], x[m:]
 
     def over(self, slots: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """P(grade > k) for each threshold k."""
