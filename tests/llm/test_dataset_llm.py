@@ -206,3 +206,31 @@ def test_ordinal_fit_has_no_gradient_left_and_stays_with_more_steps():
         assert (few.w == more.w).all() and (few.theta == more.theta).all() and (np.diff(few.theta) >= -1e-6).all()
         e = (1 / (1 + np.exp(few.theta - np.bincount(row, few.w[col] * val, n)[:, None])) - (grade[:, None] > np.arange(3))) / n
         assert np.abs(np.bincount(col, e.sum(1)[row] * val, m) + 1e-5 * few.w).max() < 1e-8 and np.abs(e.sum(0)).max() < 1e-6
+
+
+def test_mixing_of_thousands_of_sources_is_earliest_deadline_first(spark):
+    import heapq
+
+    from therascape.llm import mixing
+
+    rng = random.Random(2)
+    weights = {f"s{k}": rng.choice([1, 1, 1, 2, 3, 5, 40]) for k in range(3000)} | {"big": 9000}
+    got = {(r.key, r.k): r.slot for r in mixing.one_period(spark.createDataFrame(list(weights.items()), "key string, q long")).collect()}
+    total = sum(weights.values())
+    ready, later = [], sorted((((k - 1) * total // q, -(-k * total // q), key, k) for key, q in weights.items() for k in range(1, q + 1)), reverse=True)
+    for slot in range(total):
+        while later and later[-1][0] <= slot:
+            heapq.heappush(ready, later.pop()[1:])
+        deadline, key, k = heapq.heappop(ready)
+        assert got[key, k] == slot < deadline
+    assert len(got) == total
+
+
+def test_mixing_spreads_rows_without_an_id(spark):
+    from therascape.llm import mixing
+
+    docs = spark.range(2000).selectExpr("CAST(NULL AS LONG) AS doc_id", "'a' AS source", "concat('text ', id % 1900) AS text")
+    out = mixing.mix(docs).selectExpr("row.text", "position")
+    first, second = ({r.position: r.text for r in out.collect()} for _ in range(2))
+    assert first == second and sorted(first) == list(range(2000))
+    assert mixing.mix(docs.repartition(7)).selectExpr("row.text", "position").exceptAll(out).count() == 0

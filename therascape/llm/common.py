@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one only where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir; only on a local master, where that may be unset (tests), a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that all of them share")
         base = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -47,6 +50,19 @@ def join_spread(rows: DataFrame, found: DataFrame, key: str, total: int) -> Data
     return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
 
 
+def numbered(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """``rows`` (written once, since ranges are drawn from samples) with ``idx``, their place from 0 within ``key``, and ``n``, the key's rows.
+
+    No window spans a key: rows are numbered inside ranges of (key, order), and moved by the rows of the ranges before.
+    """
+    ranged = materialize(rows.repartitionByRange(key, *order).withColumn("range", F.spark_partition_id()), "ranged")
+    parts = ranged.groupBy(key, "range").agg(F.count("*").alias("here"))
+    before = Window.partitionBy(key).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(key, "range", F.coalesce(F.sum("here").over(before), F.lit(0)).alias("before"), F.sum("here").over(Window.partitionBy(key)).alias("n"))
+    place = F.row_number().over(Window.partitionBy(key, "range").orderBy(*order))
+    return ranged.withColumn("place", place).join(parts, [key, "range"]).withColumn("idx", F.col("before") + F.col("place") - 1).drop("range", "place", "before")
+
+
 def as_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(row, text): the input row as one struct, so that no column an operator adds can clash with an input column."""
     return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))

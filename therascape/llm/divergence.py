@@ -25,13 +25,14 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from therascape.llm.common import materialize, table
 
-STRETCH_BYTES = 4 << 20
+STRETCH_BYTES = 16 << 20
 #: A term is kept if at least so many documents of its language have it.
 LEAST_DOCS = 10
 #: Terms of a group that are reported.
@@ -55,6 +56,7 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out() -> Iterator[pa.RecordBatch]:
         for (lang, source), terms in seen.items():
+            terms.pop(b"", None)
             k = len(terms)
             yield pa.record_batch(
                 {
@@ -71,12 +73,10 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, sources, texts = (batch.column(c) for c in ("lang", "source", "text"))
         for k in range(batch.num_rows):
             text = texts[k].as_py()
-            terms = Counter(text.translate(_FOLD).split(b" "))
-            del terms[b""]
+            words = text.translate(_FOLD).split(b" ")
             group = langs[k].as_py(), sources[k].as_py()
-            if terms:
-                seen[group].update(terms)
-                docs[group].update(terms.keys())
+            seen[group].update(words)
+            docs[group].update(set(words))
             size += len(text)
             if size >= STRETCH_BYTES:
                 yield from out()
@@ -90,6 +90,17 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*(c.to_pylist() for c in batch.columns))
 
 
+def _collapsed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Sorted (lang, term, source, docs, n), each run of equal names within a batch as one tuple."""
+    for batch in batches:
+        names, opens = batch.columns[:3], np.ones(batch.num_rows, bool)
+        if batch.num_rows > 1:
+            opens[1:] = np.any([pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False) for c in names], axis=0)
+        at = np.flatnonzero(opens)
+        if len(at):
+            yield from zip(*(c.take(pa.array(at)).to_pylist() for c in names), *(np.add.reduceat(c.to_numpy(), at).tolist() for c in batch.columns[3:]))
+
+
 def _emit(rows: Iterator[tuple], schema: pa.Schema, most: int = 20_000) -> Iterator[pa.RecordBatch]:
     held = []
     for r in rows:
@@ -109,7 +120,7 @@ def _run_lengths(least: int):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def kept() -> Iterator[tuple]:
-            for (lang, term), run in groupby(_rows(batches), lambda r: (r[0], r[1])):
+            for (lang, term), run in groupby(_collapsed(batches), lambda r: (r[0], r[1])):
                 frequency, counts = 0, []
                 for source, part in groupby(run, lambda r: r[2]):
                     n = 0

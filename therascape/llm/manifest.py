@@ -21,9 +21,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from therascape.llm.common import CRC_STEPS_SQL, crc_sql, materialize, table
+from therascape.llm.common import CRC_STEPS_SQL, crc_sql, materialize, numbered, table
 
 FANOUT = 3
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -35,16 +34,6 @@ def leaf_of(*fields: Column) -> Column:
     return F.sha2(F.concat(*map(part, fields)), 256)
 
 
-def numbered(rows: DataFrame, key: str, *order: str) -> DataFrame:
-    """``rows`` (written once, since ranges are drawn from samples) with ``idx``, their place from 0 within ``key``, and ``n``, the key's rows."""
-    ranged = materialize(rows.repartitionByRange(key, *order).withColumn("range", F.spark_partition_id()), "ranged")
-    parts = ranged.groupBy(key, "range").agg(F.count("*").alias("here"))
-    before = Window.partitionBy(key).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(key, "range", F.coalesce(F.sum("here").over(before), F.lit(0)).alias("before"), F.sum("here").over(Window.partitionBy(key)).alias("n"))
-    place = F.row_number().over(Window.partitionBy(key, "range").orderBy(*order))
-    return ranged.withColumn("place", place).join(parts, [key, "range"]).withColumn("idx", F.col("before") + F.col("place") - 1).drop("range", "place", "before")
-
-
 def _levels(most: int, fanout: int) -> int:
     """How often ``most`` nodes are put together until one is left."""
     k = 0
