@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from therascape.functions import drugs
 from therascape.sources import literature as L
 from therascape.sources import store, studies
+from therascape.sources.keyed import KeyedStore
 from therascape.streaming import increments
 
 STUDY = {
@@ -119,19 +120,20 @@ def test_lite_records(spark):
 def test_increments(spark, tmp_path):
     inbox, table, check = tmp_path / "in", str(tmp_path / "table"), str(tmp_path / "check")
     inbox.mkdir()
+    keyed = KeyedStore(spark, table, ["nct"], "nct string, last_update_date string", ["last_update_date"])
 
     def study(nct, day):
         return json.dumps({"protocolSection": {"identificationModule": {"nctId": nct}, "statusModule": {"lastUpdatePostDateStruct": {"date": day}}}})
 
     def run():
         stream = increments.arriving_studies(spark, str(inbox)).select(F.col("protocolSection.identificationModule.nctId").alias("nct"), F.col("protocolSection.statusModule.lastUpdatePostDateStruct.date").alias("last_update_date"))
-        increments.run_available(stream, check, increments.replace_version(spark, table, "nct", "nct string, last_update_date string")).awaitTermination()
+        increments.run_available(stream, check, lambda new, _: keyed.upsert(new)).awaitTermination()
 
     write(inbox / "1.json", study("a", "1") + "\n" + study("b", "1"))
     run()
     write(inbox / "2.json", study("b", "2") + "\n" + study("c", "2") + "\n" + study("c", "1"))
     run()
-    assert sorted(tuple(r) for r in spark.read.parquet(f"{table}/version=1").collect()) == [("a", "1"), ("b", "2"), ("c", "2")]
+    assert sorted(tuple(r) for r in keyed.read().collect()) == [("a", "1"), ("b", "2"), ("c", "2")]
     cur, old = spark.createDataFrame([("a",), ("b",), (None,)], "pmid string"), spark.createDataFrame([("a",)], "pmid string")
     assert [r[0] for r in increments.new_since(cur, old, "pmid").collect()] == ["b"]
     assert increments.new_since(cur, old.limit(0), "pmid").count() == 0

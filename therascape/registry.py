@@ -484,3 +484,4 @@ SELECT target, this_week, coalesce(corpus_total, 0) AS corpus_total FROM w LEFT
 )(lambda spark, d: K.emerging_targets(programs(spark, d).where("start_date >= '2001-06-01'").select("target"), programs(spark, d).select("target").union(literature(spark, d).select(F.explode("target_list"))), 10))
 
 from therascape import registry_pages  # noqa: E402, F401  (registers the queries of the wide views)
+from therascape import registry_stores  # noqa: E402, F401  (registers the queries of sources, stores and streams)

@@ -52,7 +52,7 @@ PHASES = {"I": "PHASE1", "II": "PHASE2", "III": "PHASE3", "IV": "PHASE4", "1": "
 COMPANY_SIGNS = ["Inc.", "Ltd.", "LLC", "Corp.", "GmbH", "S.A.", "Therapeutics", "Pharma", "Bioscience", "Genomic", "LifeSciences", "Biotech", "Sciences"]
 
 
-def _text(x: Column) -> Column:
+def joined(x: Column) -> Column:
     """Broken words joined, blanks single; null reads empty."""
     return N.strip(F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"-\n\s*", ""), r"(?U)\s+", " "))
 
@@ -84,7 +84,7 @@ def author(raw: Column) -> Column:
             ),
         )
 
-    return N.let(F.filter(F.transform(F.split(_text(raw), ","), N.strip), lambda p: p != ""), read)
+    return N.let(F.filter(F.transform(F.split(joined(raw), ","), N.strip), lambda p: p != ""), read)
 
 
 def _tagged(df: DataFrame) -> DataFrame:
@@ -116,12 +116,12 @@ def publications(articles: DataFrame, year: int) -> DataFrame:
     """PRJ-04: one record an article that has a pmid; repeated pmids leave one record."""
     m, a = F.col("MedlineCitation"), F.col("MedlineCitation.Article")
     first = F.get(a["AuthorList"]["Author"], F.lit(0))
-    name = _text(F.concat_ws(" ", F.coalesce(F.nullif(first["ForeName"], F.lit("")), first["Initials"]), first["LastName"]))
-    affiliation = _text(F.get(first["AffiliationInfo"], F.lit(0))["Affiliation"])
-    sections = F.filter(F.transform(a["Abstract"]["AbstractText"], lambda s: F.struct(_text(s["_VALUE"]).alias("t"), s["_Label"].alias("label"))), lambda s: s["t"] != "")
+    name = joined(F.concat_ws(" ", F.coalesce(F.nullif(first["ForeName"], F.lit("")), first["Initials"]), first["LastName"]))
+    affiliation = joined(F.get(first["AffiliationInfo"], F.lit(0))["Affiliation"])
+    sections = F.filter(F.transform(a["Abstract"]["AbstractText"], lambda s: F.struct(joined(s["_VALUE"]).alias("t"), s["_Label"].alias("label"))), lambda s: s["t"] != "")
     body = F.array_join(F.transform(sections, lambda s: F.concat_ws(": ", F.nullif(s["label"], F.lit("")), s["t"])), " ")
     journal = a["Journal"]
-    short = F.coalesce(N.some(_text(journal["ISOAbbreviation"])), N.some(_text(journal["Title"])), F.lit("Journal"))
+    short = F.coalesce(N.some(joined(journal["ISOAbbreviation"])), N.some(joined(journal["Title"])), F.lit("Journal"))
     kinds = F.coalesce(a["PublicationTypeList"]["PublicationType"], F.array().cast("array<string>"))
     last = lambda items, kind: F.try_element_at(F.filter(items, lambda x: x[kind] == "doi"), F.lit(-1))["_VALUE"]
     doi = F.lower(N.strip(F.coalesce(last(F.col("PubmedData.ArticleIdList.ArticleId"), "_IdType"), last(a["ELocationID"], "_EIdType"))))
@@ -132,9 +132,9 @@ def publications(articles: DataFrame, year: int) -> DataFrame:
         F.concat(F.lit(f"pub-{year}-"), N.strip(m["PMID"])).alias("uid"),
         short.alias("conference"),
         F.lit(year).alias("year"),
-        _text(a["ArticleTitle"]).alias("title"),
+        joined(a["ArticleTitle"]).alias("title"),
         N.some(body).alias("abstract_text"),
-        F.coalesce(N.some(_text(journal["Title"])), short).alias("journal"),
+        F.coalesce(N.some(joined(journal["Title"])), short).alias("journal"),
         F.coalesce(*[F.when(F.array_contains(kinds, k), F.lit(v)) for k, v in KINDS.items()], F.lit("Journal Article")).alias("publication_type"),
         N.some(doi).alias("doi"),
         F.concat_ws(", ", name, N.some(affiliation)).alias("author_raw"),
@@ -158,13 +158,13 @@ def abstracts(works: DataFrame, conference: str, year: int) -> DataFrame:
         of_year = of_year.where(title.rlike(TITLE_ID))
         ident, late = F.concat(number, kind), number.startswith("LB")
         shown = F.when(late, "Late-Breaking").otherwise(N.lookup(kind, PRESENTATIONS))
-        heading = _text(F.regexp_replace(title, TITLE_ID, ""))
+        heading = joined(F.regexp_replace(title, TITLE_ID, ""))
     else:
         raw = F.regexp_extract(doi, pattern, 3)
         ident = F.when(F.upper(F.left(raw, F.lit(2))).isin("LB", "TP"), F.upper(raw)).otherwise(raw)
         late = F.upper(raw).startswith("LB") | (F.lower(F.regexp_extract(doi, pattern, 2)) == LATE_SUPPLEMENT)
         shown = F.when(F.lower(ident).startswith("e"), "e-abstract")
-        heading = _text(F.regexp_replace(title, r"^Abstract\s+[A-Za-z0-9]+:\s*", ""))
+        heading = joined(F.regexp_replace(title, r"^Abstract\s+[A-Za-z0-9]+:\s*", ""))
     first = F.get("author", F.lit(0))
     name = N.strip(F.concat_ws(" ", first["given"], first["family"]))
     place = F.rtrim(N.strip(F.regexp_replace(F.get(first["affiliation"], F.lit(0))["name"], r"^\s*\d+\s*", "")), F.lit(";"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,22 @@ from therascape.functions import text as X
 FILE_ROWS = 1_000_000
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir; only on a local master, where that may be unset, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that all of them share")
+        base = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """A folder of one's own in the shared one."""
+    return f"{shared_dir(spark)}/therascape/{tag}-{uuid.uuid4().hex}"
+
+
 def lite(literature: DataFrame, keep: list[str]) -> DataFrame:
     """PRJ-05: the kept columns with normalised lists, the first author alone, and whether there is a body."""
     out = literature.withColumn("has_body", F.coalesce(F.col("abstract_text"), F.lit("")) != "") if "abstract_text" in literature.columns else literature.withColumn("has_body", F.lit(False))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from therascape.sources.keyed import KeyedStore
 from therascape.sources.studies import STUDY
 
 
@@ -16,31 +17,12 @@ def arriving_studies(spark: SparkSession, path: str, files_each: int = 1000) ->
     return spark.readStream.schema(STUDY).option("maxFilesPerTrigger", files_each).json(path)
 
 
-def run_available(stream: DataFrame, checkpoint: str, batch: Callable[[DataFrame, int], None]) -> StreamingQuery:
+def run_available(stream: DataFrame, checkpoint: str, batch: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
     """Hands all that has arrived to ``batch`` and stops; the checkpoint remembers what was done (STR-01, STR-04).
 
-    A batch may come again after a failure with the same number: ``batch`` must be repeatable, as ``replace_version`` is.
+    A batch may come again after a failure, or with a new checkpoint: ``batch`` must be repeatable, as an upsert to a ``KeyedStore`` is.
     """
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def replace_version(spark: SparkSession, folder: str, key: str, empty: str) -> Callable[[DataFrame, int], None]:
-    """A batch function that writes version n+1 of a table: version n without the keys that come anew, and the new rows.
-
-    Each version is a folder of its own, so a repeated batch writes the same folder again and readers never see half a table.
-    Of several new rows with one key the one with the largest ``last_update_date``, where there is such a column, stays.
-    """
-    from therascape.sources.store import read_or_empty
-
-    def batch(new: DataFrame, n: int) -> None:
-        s = new.sparkSession
-        old = read_or_empty(s, f"{folder}/version={n - 1}", empty)
-        row = F.struct(*new.columns)
-        order = F.struct(*([F.col("last_update_date")] if "last_update_date" in new.columns else []), F.xxhash64(*new.columns))
-        one = new.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(row, order).alias("r")).select("r.*")
-        old.join(one.select(key), key, "left_anti").select(*old.columns).unionByName(one.select(*old.columns)).write.mode("overwrite").parquet(f"{folder}/version={n}")
-
-    return batch
+    return stream.writeStream.foreachBatch(batch).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def new_since(current: DataFrame, snapshot: DataFrame, key: str) -> DataFrame:
@@ -54,3 +36,20 @@ def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "2 hour
     """(start, event_type, n): events by tumbling window; on a stream, events later than ``late`` are left out."""
     marked = events.withWatermark("ts", late) if events.isStreaming else events
     return marked.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+def windows_to_store(events: DataFrame, store: KeyedStore, checkpoint: str, width: str = "1 day", late: str = "2 hours") -> StreamingQuery:
+    """STR-02: counts by window and type, kept up to date in a store with the columns (start, event_type, n), keyed by ``window_key``.
+
+    Each batch hands on the windows that it changed; a window's newest count is its largest, so a batch that comes again changes nothing.
+    """
+    return run_available(windowed_counts(events, width, late), checkpoint, lambda new, _: store.upsert(new), "update")
+
+
+def landed_in_order(events: DataFrame, folder: str, slices: int = 4) -> None:
+    """Events by ``ts`` in files that arrive one slice of time after the other, as a stream of files expects them."""
+    cuts = events.agg(F.percentile_approx(F.col("ts").cast("double"), [k / slices for k in range(1, slices)])).first()[0] or []
+    at = F.col("ts").cast("double")
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        some = events.where((F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high))
+        some.write.mode("append").parquet(folder)
