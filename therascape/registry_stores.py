@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from therascape.operators.filters import LiteratureFilter
 from therascape.plans.book import BOXES_SQL, boxes
+from therascape.plans.wide import wide_literature
 from therascape.registry import query
+from therascape.registry_pages import _wide
 from therascape.sources import books as B
+from therascape.sources import scan as C
+from therascape.sources import store as S
+from therascape.sources import work_pages as P
+from therascape.sources.keyed import KeyedStore
+from therascape.streaming import increments as I
 
 #: White space as in the Spark side's patterns.
 _WS = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -83,3 +91,121 @@ FROM last""",
 def _book_abstracts(spark: SparkSession, d: str) -> DataFrame:
     """PRJ-02, SCL-S17: identity, title, authors and body of each abstract of the books."""
     return B.abstract_fields(B.blocks(boxes(spark, d))).drop("conference", "year", "__all")
+
+
+#: Works of a page, and windows, of the landed pages made of the documents.
+_PAGE, _WINDOWS = 50, 12
+_WORKS_SQL = f"""SELECT doc_id % {_WINDOWS} AS win, doc_id // {_WINDOWS} // {_PAGE} AS page, doc_id // {_WINDOWS} % {_PAGE} AS j,
+  concat('10.1200/JCO.2025.43.16_suppl.', CAST(CASE WHEN doc_id % 30 = 0 THEN doc_id - {_WINDOWS} ELSE doc_id END AS VARCHAR(19))) AS doi, text
+  FROM documents WHERE NOT (doc_id % {_WINDOWS} = 3 AND doc_id % 997 = 5)"""
+
+
+def _landed(spark: SparkSession, d: str) -> str:
+    """Answers of the register, made of the documents: every third page came cut off at first, one window has a page that is short."""
+    spark.read.parquet(f"{d}/documents.parquet").createOrReplaceTempView("landed_documents")
+    works = spark.sql(_WORKS_SQL.replace("FROM documents", "FROM landed_documents").replace("//", "DIV"))
+    work = F.struct("j", F.struct(F.col("doi").alias("DOI"), F.array(F.substring_index("text", "\n", 1)).alias("title"), F.col("text").alias("abstract")).alias("w"))
+    pages = works.groupBy("win", "page").agg(F.transform(F.array_sort(F.collect_list(work)), lambda x: x["w"]).alias("items"))
+    body = F.to_json(F.struct(F.struct("items", F.concat(F.lit("c"), F.col("page") + 1).alias("next-cursor")).alias("message")))
+    cut = F.struct(F.lit(1).alias("attempt"), F.left(F.col("body"), F.lit(100)).alias("body"))
+    whole = F.struct(F.lit(2).alias("attempt"), F.col("body").alias("body"))
+    answers = pages.withColumn("body", body).withColumn("a", F.explode(F.when(F.col("page") % 3 == 1, F.array(cut, whole)).otherwise(F.array(whole))))
+    first = F.make_date(F.lit(2025), (F.col("win") + 1).cast("int"), F.lit(1))
+    path = S.new_folder(spark, "pages")
+    P.land_pages(answers.select(first.alias("window_from"), F.last_day(first).alias("window_until"), F.when(F.col("page") == 0, "*").otherwise(F.concat(F.lit("c"), "page")).alias("cursor"), "a.*"), path)
+    return path
+
+
+@query(
+    "src_06_work_pages",
+    f"""WITH RECURSIVE w AS ({_WORKS_SQL}),
+n AS (SELECT win, page, count(*) AS n FROM w GROUP BY ALL),
+reached AS (SELECT win, page, n FROM n WHERE page = 0 UNION ALL SELECT n.win, n.page, n.n FROM reached r JOIN n ON n.win = r.win AND n.page = r.page + 1 AND r.n >= {_PAGE}),
+placed AS (SELECT w.*, row_number() OVER (PARTITION BY w.win, w.page ORDER BY w.j) - 1 AS place FROM w JOIN reached USING (win, page))
+SELECT doi AS "DOI", make_date(2025, CAST(win + 1 AS INTEGER), 1) AS window_from, CAST(page AS INTEGER) AS page, CAST(place AS INTEGER) AS place, md5(text) AS text_md5
+FROM placed QUALIFY row_number() OVER (PARTITION BY doi ORDER BY win, page, place) = 1""",
+    raw=True,
+)
+def _work_pages(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-06, SRC-08: works of the landed pages, cursor by cursor; of a DOI the first one."""
+    works = P.works_of(P.read_work_pages(spark, _landed(spark, d), _PAGE), "DOI STRING, abstract STRING")
+    return P.first_seen(works, "DOI").select("DOI", "window_from", "page", "place", F.md5("abstract").alias("text_md5"))
+
+
+@query(
+    "str_04_keyed_store",
+    """SELECT o_custkey, o_orderdate, o_orderkey, o_totalprice FROM orders
+QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""",
+    raw=True,
+)
+def _keyed_store(spark: SparkSession, d: str) -> DataFrame:
+    """STR-04, SNK-02: each customer's last order, from batches of orders put into a store; one batch comes twice."""
+    orders = spark.read.parquet(f"{d}/orders.parquet").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
+    status = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderstatus")
+    store = KeyedStore(spark, S.new_folder(spark, "orders"), ["o_custkey"], ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in orders.schema), ["o_orderdate", "o_orderkey"])
+    done = F.col("o_orderstatus").isin("O", "P")
+    for batch in (done, ~F.coalesce(done, F.lit(False)), done):
+        store.upsert(orders.join(status.where(batch).select("o_orderkey"), "o_orderkey", "left_semi"))
+    return store.read()
+
+
+@query(
+    "str_02_stream_windows",
+    "SELECT CAST(ts AS DATE) AS day, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL",
+    raw=True,
+)
+def _stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    """STR-02: events by day and type, counted by a stream over arriving files and kept in a store."""
+    events = spark.read.parquet(f"{d}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    inbox, check = S.new_folder(spark, "events"), S.new_folder(spark, "check")
+    I.landed_in_order(events, inbox)
+    store = KeyedStore(spark, S.new_folder(spark, "windows"), ["start", "event_type"], "start timestamp, event_type string, n long", ["n"])
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 64).parquet(inbox)
+    I.windows_to_store(stream, store, check).awaitTermination()
+    return store.read().select(F.to_date("start").alias("day"), "event_type", "n")
+
+
+_DICTIONARY = [("bm1", "BM one", False), ("bm3", None, True), ("bm0", "Zero", False), ("bm5", "ZERO", False)]
+
+
+def _cleaned_sql(rows: str) -> str:
+    return f"""{rows},
+i AS (SELECT uid, unnest(biomarker_list) AS b, generate_subscripts(biomarker_list, 1) AS pos FROM chosen),
+m AS (SELECT uid, pos, CASE b WHEN 'BM1' THEN 'BM one' WHEN 'BM0' THEN 'Zero' WHEN 'BM5' THEN 'ZERO' ELSE b END AS b FROM i WHERE b <> 'BM3'),
+o AS (SELECT uid, b, pos FROM m QUALIFY row_number() OVER (PARTITION BY uid, lower(b) ORDER BY pos) = 1)
+SELECT c.uid, c.conference, c."year", coalesce((SELECT string_agg(b, '|' ORDER BY pos) FROM o WHERE o.uid = c.uid), '') AS biomarkers FROM chosen c"""
+
+
+def _scanned(name: str, where: str, f: LiteratureFilter) -> None:
+    @_wide(name, _cleaned_sql(f", chosen AS (SELECT * FROM lw WHERE coalesce(status, '') <> 'embargoed' AND {where})"))
+    def _(spark: SparkSession, d: str) -> DataFrame:
+        path = S.new_folder(spark, "literature")
+        C.write_literature(wide_literature(spark, d).select("uid", "conference", "year", "status", "cancer_category", "cancer_list", "biomarker_list"), path)
+        known = spark.createDataFrame(_DICTIONARY, "name string, canon string, blocked boolean")
+        return C.read_literature(spark, path, f, known).select("uid", "conference", "year", F.array_join("biomarker_list", "|").alias("biomarkers"))
+
+
+_scanned("src_12_newest_year", '"year" = (SELECT max("year") FROM lw)', LiteratureFilter())
+_scanned("src_12_chosen_partitions", "\"year\" IN (2019, 2022) AND conference IN ('src1', 'src2', 'src7')", LiteratureFilter(conferences=["src1", "src2", "src7"], years=[2019, 2022]))
+_scanned("flt_37_searched_years", "list_contains(cancer_list, 'en') AND conference = 'src3'", LiteratureFilter(conferences=["src3"], cancers=["en"]))
+
+
+@query(
+    "nrm_08_clean_lists",
+    f"""WITH bw AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS name FROM benchmark),
+dict AS (SELECT name, CASE WHEN length(name) > 5 THEN upper(left(name, 4)) END AS canon, length(name) <= 2 AS blocked FROM bw WHERE name <> ''),
+i AS (SELECT doc_id, unnest(string_split(text, ' ')) AS raw, generate_subscripts(string_split(text, ' '), 1) AS pos FROM documents),
+s AS (SELECT doc_id, pos, {_strip('raw')} AS raw FROM i),
+m AS (SELECT doc_id, pos, coalesce(canon, raw) AS shown FROM s LEFT JOIN dict ON lower(raw) = name WHERE raw <> '' AND blocked IS NOT TRUE),
+o AS (SELECT doc_id, pos, shown FROM m QUALIFY row_number() OVER (PARTITION BY doc_id, lower(shown) ORDER BY pos) = 1),
+l AS (SELECT doc_id, count(*) AS n, md5(string_agg(shown, '|' ORDER BY pos)) AS names_md5 FROM o GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n, 0) AS INTEGER) AS n, coalesce(names_md5, md5('')) AS names_md5 FROM documents LEFT JOIN l USING (doc_id)""",
+    raw=True,
+)
+def _clean_lists(spark: SparkSession, d: str) -> DataFrame:
+    """NRM-08: the words of every document as a list of names, cleaned by a dictionary of the benchmark's words."""
+    words = spark.read.parquet(f"{d}/benchmark.parquet").select(F.explode(F.split(F.lower("text"), " ")).alias("name")).where("name <> ''").distinct()
+    dictionary = words.select("name", F.when(F.char_length("name") > 5, F.upper(F.left("name", F.lit(4)))).alias("canon"), (F.char_length("name") <= 2).alias("blocked"))
+    lists = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.split("text", " ").alias("names"))
+    out = C.clean_lists(lists, ["doc_id"], "names", dictionary)
+    return out.select("doc_id", F.size("names").alias("n"), F.md5(F.array_join("names", "|")).alias("names_md5"))
