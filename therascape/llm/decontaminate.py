@@ -36,6 +36,8 @@ from therascape.llm.common import BLOCK_SCHEMA, materialize, pack, records, tabl
 WINDOW = 10
 SAMPLE = 8
 SHARD_BYTES = 2 << 20
+#: Windows that are searched at a time.
+SEARCHED = 1 << 16
 #: Bytes of benchmark text broadcast at once; its windows take about 20 times as many in the driver and in each worker.
 PART_BYTES = 4 << 20
 _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -227,19 +229,25 @@ def find(index: bytes, bench: Windows) -> tuple[np.ndarray, list[list[tuple[int,
     """Of a shard's documents: their words, the merged hit spans, as [first word, last word + 1), and the items found."""
     with np.load(io.BytesIO(index)) as f:
         kept = dict(f)
+    del index
     sizes, shard = kept["sizes"], FMIndex.restored(kept)
     n, starts = len(sizes), np.cumsum(sizes + 1) - sizes - 1
     spans: list[list[tuple[int, int]]] = [[] for _ in range(n)]
     items: list[set[str]] = [set() for _ in range(n)]
     known = np.fromiter(map(bench.number.get, kept["words"].tobytes().split(), repeat(0)), np.int64)
-    symbol = np.zeros(len(bench.number) + 2, np.int64)  # of each benchmark word in this shard
+    symbol = np.zeros(len(bench.number) + 2, np.int32)  # of each benchmark word in this shard
     symbol[known[known > 0]] = np.flatnonzero(known) + 2
     cover = np.zeros(shard.n + WINDOW + 1, np.int32)
     for size, (windows, first, holders) in bench.by_length.items():
-        here = symbol[windows]
-        may = np.flatnonzero((here > 0).all(1))
-        lo, hi = shard.search(here[may])
-        count = hi - lo
+        may, lo, count = [], [], []
+        for k in range(0, len(windows), SEARCHED):
+            here = symbol[windows[k : k + SEARCHED]]
+            some = np.flatnonzero((here > 0).all(1))
+            a, b = shard.search(here[some])
+            may.append((some + k)[b > a])
+            lo.append(a[b > a])
+            count.append((b - a)[b > a])
+        may, lo, count = np.concatenate(may), np.concatenate(lo), np.concatenate(count)
         which = np.repeat(may, count)
         if not len(which):
             continue
@@ -290,7 +298,7 @@ def _found(shards: DataFrame, sent) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in records(batches):
-            _, spans, items = find(row["index"], sent.value)
+            _, spans, items = find(row.pop("index"), sent.value)
             yield pa.record_batch(
                 {
                     "block": pa.array([row["block"]], pa.int64()),
@@ -322,11 +330,11 @@ def _each_shard(shards: DataFrame, benchmark: DataFrame, schema: T.StructType, p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in records(batches):
-            sizes, spans, items = find(x["index"], sent.value)
+            sizes, spans, items = find(x.pop("index"), sent.value)  # the index is let go of before the rows are unpacked
             for other in x.get("parts") or []:
                 spans = [_merged(a + [(s["first"], s["end"]) for s in b]) for a, b in zip(spans, other["spans"], strict=True)]
                 items = [a | set(b) for a, b in zip(items, other["items"], strict=True)]
-            yield pa.record_batch(put(unpacked(x["data"]), sizes, spans, items))
+            yield pa.record_batch(put(unpacked(x.pop("data")), sizes, spans, items))
 
     return wanted.mapInArrow(run, schema)
 
