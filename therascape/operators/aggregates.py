@@ -113,21 +113,45 @@ NO_TARGET = ["Unknown", "DNA", "RNA", "N/A", "NONE", "-"]
 EMERGING = {"min_recent": 4, "min_growth": 1.3, "max_maturity": 5.0}
 
 
+#: The columns of the board; ``opportunity_table`` has more.
+BOARD = ["target", "size_total", "clinical_total", "recent", "early", "growth_ratio", "years_stale", "clin_maturity", "max_phase", "recency", "emerging"]
+
+
 def opportunity_rows(programs: DataFrame, abstracts: DataFrame, half_life: float = 2.0, smoothing: int = 5, entity: str = "target", lists: str = "target_list") -> DataFrame:
-    """Activity, growth, clinical maturity and smoothed recency for each target, or for another ``entity`` (AGG-30).
+    """Activity, growth, clinical maturity and smoothed recency for each target, or for another ``entity`` (AGG-30)."""
+    return opportunity_table(programs, abstracts, half_life, smoothing, entity, lists).select(*BOARD)
+
 
-    ``programs``: the entity, phase, overall_status, start_date; ``abstracts``: its list, year.  Both feeds become one table of
-    events that is aggregated by (target, year) first, so a hot target moves a few rows a task; the latest year is a scalar.
+def opportunity_accumulators(programs: DataFrame, abstracts: DataFrame, entity: str = "target", lists: str = "target_list") -> DataFrame:
+    """(target, y, n, clin, pub, ongoing, completed, stopped, w, wn, idx, kinds): all that is known of a target in a year, over all sources (AGG-29).
+
+    ``programs``: the entity, phase, overall_status, start_date; ``abstracts``: its list, year, and where they are there modality_list and
+    is_pub.  Rows of one target and year add up (kinds: unite), so accumulators of parts of the data can be put together in the same way.
     """
-    drop = [*NO_TARGET, ""]
     pb, sb = X.phase_bucket(F.col("phase")), X.status_bucket(F.col("overall_status"))
     weight = X.phase_weight(pb) * F.create_map(*[F.lit(x) for kv in STATUS_WEIGHT.items() for x in kv])[sb]
     weight = F.round(weight * 1000).cast("long")  # whole thousandths, so that sums do not depend on their order
     idx = F.array_position(F.array(*map(F.lit, CLINICAL)), pb)
-    clin = programs.select(F.col(entity).alias("target"), X.year_of(F.col("start_date")).alias("y"), F.lit(1).alias("clin"), F.when(pb != "NA", weight).alias("w"), idx.alias("idx"))
-    lit = abstracts.select(F.explode(F.array_distinct(lists)).alias("target"), F.col("year").alias("y"), F.lit(0).alias("clin"), F.lit(None).cast("long").alias("w"), F.lit(0).cast("long").alias("idx"))
-    events = clin.unionByName(lit).where(F.col("target").isNotNull() & ~F.col("target").isin(drop))
-    yearly = events.groupBy("target", "y").agg(F.count("*").alias("n"), F.sum("clin").alias("clin"), F.sum("w").alias("w"), F.count("w").alias("wn"), F.max("idx").alias("idx"))
+    none = F.lit(None).cast("array<string>")
+    status = {s: (sb == s).cast("int") for s in ("ongoing", "completed", "stopped")}
+    clin = programs.select(F.col(entity).alias("target"), X.year_of(F.col("start_date")).alias("y"), F.lit(1).alias("clin"), F.lit(0).alias("pub"), *[c.alias(k) for k, c in status.items()], F.when(pb != "NA", weight).alias("w"), idx.alias("idx"), none.alias("kinds"))
+    pub = F.coalesce(F.col("is_pub"), F.lit(False)).cast("int") if "is_pub" in abstracts.columns else F.lit(0)
+    kinds = F.array_sort(F.filter("modality_list", lambda m: m != "")) if "modality_list" in abstracts.columns else none
+    lit = abstracts.select(
+        F.explode(F.array_distinct(lists)).alias("target"), F.col("year").alias("y"), F.lit(0).alias("clin"), pub.alias("pub"), *[F.lit(0).alias(k) for k in status], F.lit(None).cast("long").alias("w"), F.lit(0).cast("long").alias("idx"), kinds.alias("kinds")
+    )
+    events = clin.unionByName(lit).where(F.col("target").isNotNull() & ~F.col("target").isin([*NO_TARGET, ""]))
+    sums = [F.sum(c).alias(c) for c in ("clin", "pub", *status, "w")]
+    return events.groupBy("target", "y").agg(F.count("*").alias("n"), *sums, F.count("w").alias("wn"), F.max("idx").alias("idx"), F.array_distinct(F.flatten(F.collect_set("kinds"))).alias("kinds"))
+
+
+def opportunity_table(programs: DataFrame, abstracts: DataFrame, half_life: float = 2.0, smoothing: int = 5, entity: str = "target", lists: str = "target_list") -> DataFrame:
+    """The whole opportunity row of each target (AGG-29, AGG-31): the board's columns, programs by status, abstracts, papers, modalities, years.
+
+    Both feeds become one table of events that is aggregated by (target, year) first, so a hot target moves a few rows a task; windows,
+    growth, recency and the map of years are then read from a row a year, and the latest year of all is a scalar.
+    """
+    yearly = opportunity_accumulators(programs, abstracts, entity, lists)
     top = yearly.agg(F.max("y").alias("max_year"))
     y, m = F.col("y"), F.col("max_year")
     spread = yearly.crossJoin(F.broadcast(top))
@@ -144,6 +168,10 @@ def opportunity_rows(programs: DataFrame, abstracts: DataFrame, half_life: float
         F.max("idx").alias("idx"),
         F.sum(F.when(y.isNotNull(), F.col("n") * F.pow(F.lit(0.5), (m - y) / F.lit(half_life)))).alias("decayed"),
         F.sum(F.when(y.isNotNull(), F.col("n"))).alias("dated"),
+        *[F.sum(c).alias(f"clin_{c}") for c in ("ongoing", "completed", "stopped")],
+        F.sum("pub").alias("pub_count"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("modalities"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(y > 0, F.struct(y.alias("y"), F.col("n").alias("n")))))).alias("year_counts"),
     )
     research = F.col("size_total") > F.col("clinical_total")
     maturity = F.when(F.col("wn") > 0, F.floor(F.col("w") / 100.0 + 0.5) / 10.0).when(research, F.lit(D.PRECLINICAL_WEIGHT)).otherwise(F.lit(0.0))
@@ -158,6 +186,14 @@ def opportunity_rows(programs: DataFrame, abstracts: DataFrame, half_life: float
         maturity.alias("clin_maturity"),
         F.when(F.col("idx") > 0, F.element_at(F.array(*map(F.lit, CLINICAL)), F.greatest(F.col("idx"), F.lit(1)).cast("int"))).when(research, "Preclinical").otherwise("NA").alias("max_phase"),
         F.coalesce(X.round_half_up(F.col("decayed") / (F.col("dated") + F.lit(float(smoothing))), 3), F.lit(0.0)).alias("recency"),
+        "clin_ongoing",
+        "clin_completed",
+        "clin_stopped",
+        (F.col("size_total") - F.col("clinical_total") - F.col("pub_count")).alias("abstract_count"),
+        "pub_count",
+        "modalities",
+        "year_counts",
+        "last_active",
     )
     rule = (F.col("recent") >= EMERGING["min_recent"]) & (F.col("growth_ratio") >= EMERGING["min_growth"]) & (F.col("clin_maturity") <= EMERGING["max_maturity"])
     return out.withColumn("emerging", rule)

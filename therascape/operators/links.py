@@ -17,6 +17,21 @@ def trial_index(literature: DataFrame) -> DataFrame:
     return literature.where("nct_id <> ''").groupBy("nct_id").agg(F.count("*").alias("n"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
 
 
+def trial_postings(literature: DataFrame, most: int = 1000) -> DataFrame:
+    """AGG-34: (nct_id, part, parts, n, uids): the records that name each trial, of n in all, in sorted lists of about ``most``.
+
+    A trial that more records name is cut into parts by a hash of the record, so no list gathers them all; lists are dealt by ranges of
+    (nct_id, part), as a table that is looked up by trial is best written.
+    """
+    named = literature.select(F.explode(F.array_distinct("nct_ids")).alias("nct_id"), "uid").where("nct_id <> ''").distinct()
+    counts = named.groupBy("nct_id").agg(F.count("*").alias("n"))
+    hot = counts.where(F.col("n") > most).withColumn("parts", F.ceil(F.col("n") / most).cast("int")).drop("n")
+    cut = named.join(hot, "nct_id", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"))
+    lists = cut.groupBy("nct_id", "part", "parts").agg(F.array_sort(F.collect_list("uid")).alias("uids"))
+    return lists.join(counts, "nct_id").select("nct_id", "part", "parts", "n", "uids").repartitionByRange("nct_id", "part")
+
+
 def shared_trials(programs: DataFrame, literature: DataFrame) -> DataFrame:
     """(drug_name, uid): distinct pairs that share a trial id; both sides are made distinct before they meet."""
     left = programs.select("drug_name", "nct_id").distinct()

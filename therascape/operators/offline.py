@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from therascape.functions import dictionaries as D
 from therascape.functions import normalize as N
 from therascape.functions import text as X
+from therascape.operators import aggregates as A
 from therascape.operators.aggregates import CLINICAL, NO_TARGET
 
 #: Phase weights in tenths, so that scores are sums of whole numbers.
@@ -159,3 +160,34 @@ def biomarker_map(counted: DataFrame, least: int = 3) -> DataFrame:
     best = keyed.groupBy("key").agg(F.max_by("name", order).alias("canonical"), F.sum("count").alias("n")).where(F.col("n") >= least)
     plain = lambda c: F.lower(F.trim(c))
     return keyed.join(best, "key").where(plain("name") != plain("canonical")).select("name", "canonical").distinct()
+
+
+def target_names(programs: DataFrame, answers: DataFrame, abstracts: DataFrame) -> DataFrame:
+    """(name, canonical) of all targets that three sources name: each program and each answer counts, each different name of the abstracts once.
+
+    ``programs`` and ``answers``: target; ``abstracts``: target_list.
+    """
+    told = abstracts.select(F.explode("target_list").alias("target")).where("target <> ''").distinct()
+    names = programs.select("target").unionByName(answers.select("target")).unionByName(told).select(N.target(F.col("target")).alias("name"))
+    return A.format_canon(names.where("name <> ''").groupBy("name").agg(F.count("*").alias("count")))
+
+
+def target_canon(programs: DataFrame, answers: DataFrame, abstracts: DataFrame) -> DataFrame:
+    """AGG-45, first half: (raw, canonical) of every target as programs and abstracts write it."""
+    told = abstracts.select(F.explode("target_list").alias("raw"))
+    raw = programs.select(F.col("target").alias("raw")).unionByName(told).where("raw <> ''").distinct()
+    known = target_names(programs, answers, abstracts)
+    return raw.withColumn("name", N.target(F.col("raw"))).where("name <> ''").join(known, "name").select("raw", "canonical")
+
+
+def drug_targets(programs: DataFrame, answers: DataFrame, abstracts: DataFrame) -> DataFrame:
+    """AGG-45, second half: (drug, target, shown, modality) of the answers by their drug's key; of several answers to one key the most frequent counts, then the first by name.
+
+    answers: drug (the key, in lower case), target, drug_name, modality; answers without a target are left out.
+    """
+    known = target_names(programs, answers, abstracts)
+    named = answers.withColumn("name", N.target(F.col("target"))).where("name <> '' AND drug <> ''").join(known, "name")
+    told = named.select("drug", F.col("canonical").alias("target"), F.coalesce(F.nullif("drug_name", F.lit("")), F.col("drug")).alias("shown"), F.coalesce(F.nullif("modality", F.lit("")), F.lit("Unknown")).alias("modality"))
+    often = told.groupBy("drug", "target", "shown", "modality").agg(F.count("*").alias("c"))
+    best = F.min_by(F.struct("target", "shown", "modality"), F.struct(-F.col("c"), F.col("target"), F.col("shown"), F.col("modality")))
+    return often.groupBy("drug").agg(best.alias("b")).select("drug", "b.*")

@@ -223,9 +223,9 @@ def newest_partitions(literature: DataFrame, manifest: DataFrame, conferences: l
 
 
 def longest_title(literature: DataFrame, key: Column) -> DataFrame:
-    """WIN-03: (name, title): of each name the longest title, the first by uid of equals."""
-    named = literature.select(key.alias("name"), "title", "uid").where("name <> ''")
-    return named.groupBy("name").agg(F.max_by("title", F.struct(F.length("title"), (-F.xxhash64("uid")).alias("h"))).alias("title"))
+    """WIN-03: (name, title): of each name the longest title, the first by uid of equals; null titles count as empty."""
+    named = literature.select(key.alias("name"), F.coalesce("title", F.lit("")).alias("title"), "uid").where("name <> ''")
+    return named.groupBy("name").agg(F.min_by("title", F.struct(-F.length("title"), F.col("uid"))).alias("title"))
 
 
 def sample_rows(df: DataFrame, n: int, key: list[str], seed: int = 42) -> DataFrame:

@@ -368,6 +368,20 @@ _wide("agg_30_biomarker_opportunity", f"{_BIO} SELECT * FROM q")(
     lambda spark, d: A.opportunity_rows(_p(spark, d).withColumn("bm", F.explode(F.array_distinct("biomarkers"))), _l(spark, d), entity="bm", lists="biomarker_list")
 )
 _TGT = _opportunity_sql("SELECT target, phase, overall_status, start_date FROM pw WHERE start_date >= '2000'", "SELECT unnest(target_list) AS target, \"year\" - 20 AS \"year\" FROM lw")
+_wide(
+    "agg_29_opportunity_table",
+    f"""{_TGT},
+pr AS (SELECT target, CAST(left(start_date, 4) AS INTEGER) AS y, overall_status AS st, NULL AS pub, CAST([] AS VARCHAR[]) AS mods FROM pw WHERE start_date >= '2000'
+  UNION ALL SELECT unnest(list_distinct(target_list)), "year" - 20, NULL, is_pub, modality_list FROM lw),
+more AS (SELECT target, count(*) FILTER (st = 'RECRUITING') AS clin_ongoing, count(*) FILTER (st = 'COMPLETED') AS clin_completed, count(*) FILTER (st = 'TERMINATED') AS clin_stopped,
+  count(*) FILTER (NOT pub) AS abstract_count, count(*) FILTER (pub) AS pub_count, CAST(len(list_distinct(flatten(list(mods)))) AS INTEGER) AS modalities, max(y) AS last_active FROM pr GROUP BY 1),
+yc AS (SELECT target, string_agg(y || ':' || n, ',' ORDER BY y) AS year_counts FROM (SELECT target, y, count(*) AS n FROM pr WHERE y > 0 GROUP BY 1, 2) GROUP BY 1)
+SELECT q.*, more.* EXCLUDE (target), coalesce(year_counts, '') AS year_counts FROM q JOIN more USING (target) LEFT JOIN yc USING (target)""",
+)(
+    lambda spark, d: A.opportunity_table(_p(spark, d).where("start_date >= '2000'"), _l(spark, d).withColumn("year", F.col("year") - 20)).withColumn(
+        "year_counts", F.array_join(F.transform(F.map_entries("year_counts"), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string"))), ",")
+    )
+)
 _BOARD = """SELECT target, recent, size_total, growth_ratio, CAST(row_number() OVER (ORDER BY recent DESC, size_total DESC, target) AS INTEGER) AS place, emerging OR row_number() OVER (ORDER BY size_total DESC, target) <= 6 AS labelled,
 CAST(CASE WHEN emerging THEN row_number() OVER (PARTITION BY emerging ORDER BY recent * growth_ratio DESC, target) END AS INTEGER) AS emerging_place FROM q WHERE years_stale <= 5"""
 _COLUMNS = ["target", "recent", "size_total", "growth_ratio", "place", "labelled", "emerging_place"]
@@ -465,8 +479,8 @@ _wide("prj_07_link_lite", "SELECT uid, CASE WHEN is_pub THEN 'publication' ELSE
 _wide("prj_12_table_columns", "SELECT uid, kind, affiliation, country, is_pub FROM lc")(
     lambda spark, d: _l(spark, d).select("uid", L.presentation_kind(F.col("presentation_type"), F.col("abstract_id"), F.col("conference")).alias("kind"), N.institution(F.col("affiliation")).alias("affiliation"), N.country(F.col("country_raw")).alias("country"), "is_pub")
 )
-_wide("win_03_longest_title", "SELECT name, max(length(title)) AS n FROM (SELECT unnest(drugs_mentioned) AS name, title FROM lw) GROUP BY 1")(
-    lambda spark, d: P.longest_title(_l(spark, d).withColumn("m", F.explode("drugs_mentioned")), F.col("m")).select("name", F.length("title").alias("n").cast("long"))
+_wide("win_03_longest_title", "SELECT name, title FROM (SELECT unnest(drugs_mentioned) AS name, title, uid FROM lw) QUALIFY row_number() OVER (PARTITION BY name ORDER BY length(title) DESC, uid) = 1")(
+    lambda spark, d: P.longest_title(_l(spark, d).withColumn("m", F.explode("drugs_mentioned")), F.col("m"))
 )
 
 

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from therascape.functions import answers as W
+from therascape.operators import links as K
+from therascape.operators import offline as O
 from therascape.operators.filters import LiteratureFilter
 from therascape.plans.book import BOXES_SQL, boxes
-from therascape.plans.wide import wide_literature
+from therascape.plans.wide import wide_literature, wide_programs
 from therascape.registry import query
 from therascape.registry_pages import _wide
 from therascape.sources import books as B
@@ -209,3 +212,47 @@ def _clean_lists(spark: SparkSession, d: str) -> DataFrame:
     lists = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.split("text", " ").alias("names"))
     out = C.clean_lists(lists, ["doc_id"], "names", dictionary)
     return out.select("doc_id", F.size("names").alias("n"), F.md5(F.array_join("names", "|")).alias("names_md5"))
+
+
+@_wide(
+    "agg_34_trial_postings",
+    """, e AS (SELECT DISTINCT unnest(nct_ids) AS nct_id, uid FROM lw) SELECT nct_id, uid, count(*) OVER (PARTITION BY nct_id) AS n, count(*) OVER (PARTITION BY nct_id) <= 5 AS whole FROM e WHERE nct_id <> ''""",
+)
+def _postings(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-34: the index of trials, read back from its postings; lists of more than five are cut."""
+    index = K.trial_postings(wide_literature(spark, d), most=5)
+    return index.select("nct_id", F.explode("uids").alias("uid"), "n", (F.col("parts") == 1).alias("whole"))
+
+
+def _told(spark: SparkSession, d: str) -> DataFrame:
+    """Answers on drugs, made of the parts: of each drug some, with targets in several spellings."""
+    part = spark.read.parquet(f"{d}/part.parquet")
+    return part.select(
+        F.lower("p_name").alias("drug"),
+        F.expr("CASE p_size % 3 WHEN 0 THEN upper(p_brand) WHEN 1 THEN replace(p_brand, '#', ' #') ELSE p_brand END").alias("target"),
+        F.expr("CASE WHEN p_size % 4 > 0 THEN p_name END").alias("drug_name"),
+        F.expr("CASE WHEN p_size % 5 > 0 THEN p_type END").alias("modality"),
+    )
+
+
+_NAMES_SQL = """, told AS (SELECT lower(p_name) AS drug, CASE p_size % 3 WHEN 0 THEN upper(p_brand) WHEN 1 THEN replace(p_brand, '#', ' #') ELSE p_brand END AS target,
+  CASE WHEN p_size % 4 > 0 THEN p_name END AS drug_name, CASE WHEN p_size % 5 > 0 THEN p_type END AS modality FROM part),
+lt AS (SELECT DISTINCT unnest(target_list) AS target FROM lw), nm AS (SELECT target AS name, count(*) AS c FROM (SELECT target FROM pw UNION ALL SELECT target FROM told UNION ALL SELECT target FROM lt) GROUP BY 1),
+cn AS (SELECT name, first_value(name) OVER (PARTITION BY regexp_replace(lower(name), '[\\s\\-_/:.*·]+', '', 'g') ORDER BY c DESC, contains(name, '-') DESC, length(name), name DESC) AS canonical FROM nm)"""
+
+
+@_wide("agg_45_target_canon", _NAMES_SQL + " SELECT raw, canonical FROM (SELECT DISTINCT target AS raw FROM pw UNION SELECT target FROM lt) JOIN cn ON raw = name")
+def _target_canon(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-45: the canonical name of every spelling of a target."""
+    return O.target_canon(wide_programs(spark, d), _told(spark, d), wide_literature(spark, d))
+
+
+@_wide(
+    "agg_45_drug_targets",
+    _NAMES_SQL
+    + """, t AS (SELECT drug, canonical AS target, coalesce(drug_name, drug) AS shown, coalesce(modality, 'Unknown') AS modality FROM told JOIN cn ON told.target = cn.name)
+SELECT drug, target, shown, modality FROM (SELECT *, count(*) AS c FROM t GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY drug ORDER BY c DESC, target, shown, modality) = 1""",
+)
+def _drug_targets(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-45: the target, name and modality of every drug that was asked about."""
+    return O.drug_targets(wide_programs(spark, d), _told(spark, d), wide_literature(spark, d))
