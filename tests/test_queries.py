@@ -4,7 +4,7 @@ import pytest
 from therascape import registry
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents pages labels".split()
+TABLES = "region nation customer supplier part orders lineitem events documents pages labels benchmark".split()
 
 
 @pytest.fixture(scope="module")

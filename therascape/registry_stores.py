@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from therascape.functions import answers as W
+from therascape.functions import vocabulary as V
 from therascape.operators import links as K
+from therascape.operators import merges as M
 from therascape.operators import offline as O
 from therascape.operators.filters import LiteratureFilter
+from therascape.plans.bridge import programs
 from therascape.plans.book import BOXES_SQL, boxes
 from therascape.plans.wide import wide_literature, wide_programs
-from therascape.registry import query
+from therascape.registry import _CDX_NAMED, _has_sql, query
 from therascape.registry_pages import _wide
 from therascape.sources import books as B
 from therascape.sources import scan as C
@@ -256,3 +258,26 @@ SELECT drug, target, shown, modality FROM (SELECT *, count(*) AS c FROM t GROUP
 def _drug_targets(spark: SparkSession, d: str) -> DataFrame:
     """AGG-45: the target, name and modality of every drug that was asked about."""
     return O.drug_targets(wide_programs(spark, d), _told(spark, d), wide_literature(spark, d))
+
+
+_SAID = "CASE length(drug_name) % 3 WHEN 0 THEN 'HER2 must have been documented' WHEN 1 THEN 'exploratory analysis of KRAS in ' || cancer_category ELSE 'adults' END"
+_CDX_FLAGS = """CASE WHEN soon THEN 'phase2_entry_imminent' END, CASE WHEN len(biomarkers) > 0 THEN 'biomarker_relevant' END, CASE WHEN strategy = 'exploratory' THEN 'cdx_strategy_open' END,
+CASE WHEN strategy = 'none' THEN 'cdx_strategy_undefined' END, CASE WHEN priority THEN 'priority_indication' END, CASE WHEN NOT is_combination THEN 'no_partner' END, CASE WHEN target = 'Unknown' THEN 'needs_review' END"""
+
+
+@query(
+    "mrg_08_cdx_score_with_strategy",
+    f""", r AS (SELECT *, {_SAID} AS raw FROM p),
+s AS (SELECT *, CASE WHEN NOT {_CDX_NAMED} THEN 'none' WHEN {_has_sql('lower(raw)', V.CDX_CONFIRMED)} THEN 'confirmed' ELSE 'exploratory' END AS strategy,
+  {_has_sql("lower(cancer_category || ' ' || raw)", V.CDX_CONDITIONS)} AS priority, coalesce(date_diff('day', DATE '1996-01-01', CAST(completion_date AS DATE)) BETWEEN 0 AND 180, false) AS soon FROM r),
+t AS (SELECT *, CAST(CASE WHEN soon THEN 3 ELSE 0 END + CASE WHEN len(biomarkers) > 0 THEN 2 ELSE 0 END + CASE strategy WHEN 'exploratory' THEN 2 WHEN 'none' THEN 1 ELSE 0 END
+  + CASE WHEN priority THEN 2 ELSE 0 END + CASE WHEN is_combination THEN 0 ELSE 1 END AS INTEGER) AS score, array_to_string(list_filter([{_CDX_FLAGS}], lambda x: x IS NOT NULL), ',') AS flags FROM s)
+SELECT drug_name, phase, score, CASE WHEN score >= 7 THEN 'high' WHEN score >= 4 THEN 'medium' ELSE 'low' END AS level, flags, count(*) AS n FROM t GROUP BY ALL""",
+)
+def _cdx_with_strategy(spark: SparkSession, d: str) -> DataFrame:
+    """MRG-08 with MRG-09: each program's score and flags, its strategy told by its eligibility text."""
+    df = programs(spark, d).withColumn("raw", F.expr(_SAID))
+    partners = F.when(F.col("is_combination"), F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    s = M.cdx_score(F.lit("1996-01-01").cast("date"), F.col("completion_date"), F.size("biomarkers") > 0, M.cdx_strategy(F.col("raw")), F.concat_ws(" ", "cancer_category", "raw"), partners, F.col("target"))
+    rows = df.select("drug_name", "phase", s.alias("s")).select("drug_name", "phase", "s.score", "s.level", F.array_join("s.flags", ",").alias("flags"))
+    return rows.groupBy("drug_name", "phase", "score", "level", "flags").agg(F.count("*").alias("n"))
