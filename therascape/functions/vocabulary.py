@@ -130,7 +130,11 @@ UNIVERSITY_TAIL = (
 UNIVERSITY_SCHOOL = r"(?iU)^(.*\bUniversity)\s+(?:School|College|Faculty)\s+of\s+.+$"
 
 # fixed values: states, territories and names of countries
-US_STATES = "AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY DC".split()
+US_STATES = [
+    "AL", "AK", "AZ", "AR", "CA", "CO", "CT", "DE", "FL", "GA", "HI", "ID", "IL", "IN", "IA", "KS", "KY",
+    "LA", "ME", "MD", "MA", "MI", "MN", "MS", "MO", "MT", "NE", "NV", "NH", "NJ", "NM", "NY", "NC", "ND",
+    "OH", "OK", "OR", "PA", "RI", "SC", "SD", "TN", "TX", "UT", "VT", "VA", "WA", "WV", "WI", "WY", "DC",
+]
 US_TERRITORIES = {"GU": "Guam", "PR": "Puerto Rico", "VI": "U.S. Virgin Islands", "AS": "American Samoa", "MP": "Northern Mariana Islands"}
 COUNTRIES = {"Republic of Korea": "South Korea", "Korea, Republic of": "South Korea", "United States": "USA", "United States of America": "USA", "U.S.A": "USA", "US": "USA"}
 COUNTRY_CODES = {

@@ -300,6 +300,8 @@ def _by_rule(name: str, f, sql: str, more: list[str]) -> None:
         return both.select(F.md5("raw").alias("digest"), f(F.col("raw")).alias("name"), "n")
 
     query(name, f"{rows} SELECT md5(raw) AS digest, {sql} AS name, n FROM v", raw=True)(run)
+    if f"{name}_tables" in QUERIES:  # the same rule over the tables' names alone
+        ORACLE_SQL[f"{name}_tables"] = f"{NAMES_SQL}SELECT md5(raw) AS digest, {sql} AS name, n FROM v"
 
 
 def _over_names(name: str, f, sql: str | None = None) -> None:
@@ -362,6 +364,11 @@ def _target_sql(x: str) -> str:
 
 _ODD = ["ErbB-2", "WTErbB-2", "erbb 3b", "K-RAS G12D", "kras-q61h", "DNA", "n/a", "", "  ", "NRAS", "K-RAS", "pd1", " HER-2 ", *V.TARGET_SYNONYMS, *[k.lower() for k in V.TARGET_SYNONYMS]]
 _by_rule("nrm_01_target", N.target, f"CASE WHEN {_STRIPPED} <> '' THEN {_target_sql(_STRIPPED)} END", _ODD)
+_EACH = _STRIPPED.replace("raw", "e")
+_LIST = f"list_filter(list_transform(string_split(raw, ';'), lambda e: CASE WHEN {_EACH} <> '' THEN {_target_sql(_EACH)} END), lambda x: x IS NOT NULL)"
+_LISTED = f"array_to_string(list_transform([{_LIST}], lambda xs: array_to_string(list_filter(xs, lambda x, i: list_position(xs, x) = i), ';')), '')"
+_by_rule("nrm_03_target_lists", lambda c: F.array_join(N.targets(F.split(c, ";")), ";"), _LISTED, ["HER-2;EGFR;ERBB2;", ";", "VEGFA;KDR;x", "a;A;a; a ;n/a;DNA"])
+ORACLE_SQL["nrm_03_target_list_tables"] = f"{NAMES_SQL}SELECT md5(raw) AS digest, {_LISTED} AS name, n FROM v"
 _EDGE = re.compile(r"\\b(\w+)\\b")
 _STATE = "CASE " + " ".join(f"WHEN regexp_matches(raw, '(?i){_EDGE.sub(lambda m: f"(?:^|[^{chr(92)}p{{L}}{chr(92)}p{{N}}_]){m[1]}(?:$|[^{chr(92)}p{{L}}{chr(92)}p{{N}}_])", p)}') THEN '{k}'" for k, p in V.BIOMARKER_STATES.items()) + " END"
 _by_rule("nrm_07_biomarker_state", N.biomarker_state, _STATE, ["HER2 Amplification", "HER2", "KRAS G12C", "HER2-low", "EGFR exon 20", "PD-L1 IHC 3+", "ALK fusion", "MSH2 loss", "wild type RAS", "TMB-high", "ER negative", "pos"])
@@ -381,6 +388,15 @@ _CDX_NAMED = f"{_has_sql('lower(raw)', D.BIOMARKER + D.BIOMARKER_WORDS)}"
 _by_rule("mrg_09_cdx_strategy", M.cdx_strategy, f"CASE WHEN NOT {_CDX_NAMED} THEN 'none' WHEN {_has_sql('lower(raw)', V.CDX_CONFIRMED)} THEN 'confirmed' ELSE 'exploratory' END", ["HER2 must have been documented", "exploratory analysis of KRAS", "adults"])
 
 
+_RE2 = lambda pattern: pattern.replace("(?iU)", "(?i)").replace(r"\s", r"[\s\x{0B}\x{85}\p{Z}]")
+_FIRST_DRUG = f"coalesce(list_filter(regexp_split_to_array(raw, '{_RE2(V.DRUG_BREAK)}'), lambda e: {_EACH} <> '')[1], raw)"
+_GAP = f"""list_transform([{_FIRST_DRUG}], lambda d: CASE WHEN regexp_matches(d, '{_RE2(V.PREVENTIVE)}') THEN NULL WHEN {_has_sql('lower(d)', V.VACCINE_CODES + D.MODALITY['Vaccine'])} THEN 'Vaccine'
+ WHEN regexp_matches(d, '{_RE2(V.ANTI_CYTOKINE)}') THEN NULL {' '.join(f"WHEN {_has_sql('lower(d)', D.MODALITY[m])} THEN '{m}'" for m in ('Fusion Protein', 'Recombinant Protein'))} END)[1]"""
+_GAP_CASES = ["BCG vaccine + drug", "COVID vaccine", "interferon alfa", "anti-IL-6 mAb", "x", "anti-interferon fusion protein", "etanercept plus flu vaccine", " , and neo-PV-01", "VB10.NEO/x"]
+_by_rule("mrg_07_gap_fixes", lambda c: M.fixed_modality(c, F.lit("Unknown")), _GAP, _GAP_CASES)
+ORACLE_SQL["mrg_07_gap_fix_tables"] = f"{NAMES_SQL}SELECT md5(raw) AS digest, {_GAP} AS name, n FROM v"
+
+
 def _tag_texts(spark: SparkSession, d: str) -> DataFrame:
     """Every document, and behind it one of some sentences that the dictionaries are made for."""
     tail = F.get(F.array(*map(F.lit, _TEXTS)), (F.col("doc_id") % len(_TEXTS)).cast("int"))
@@ -395,13 +411,16 @@ def _first_sql(tests: list[tuple[str, str]], default: str) -> str:
 
 _TAG_TARGETS = [(k, _has_sql("u", v)) for k, v in D.TARGET.items()] + [(k, _has_sql("u", v, True)) for k, v in D.TARGET_WORDS.items()]
 _TAG_MARKERS = [(k, _has_sql("u", [k])) for k in D.BIOMARKER] + [(k, _has_sql("u", [k], True)) for k in D.BIOMARKER_WORDS]
+_TAGS = f"""SELECT doc_id, {_first_sql([(k, _has_sql("u", v)) for k, v in D.MODALITY.items()], "Unknown")} AS modality, {_first_sql(_TAG_TARGETS, "Unknown")} AS target,
+array_to_string(list_filter([{', '.join(f"CASE WHEN {t} THEN '{k}' END" for k, t in _TAG_MARKERS)}], lambda x: x IS NOT NULL), ',') AS biomarkers, {_first_sql([(k, _has_sql("u", v, True)) for k, v in D.CANCER.items()], "Other")} AS cancer"""
 query(
     "scl_s03_text_tags",
-    f"""WITH d AS (SELECT doc_id, lower(concat_ws(' ', coalesce(text, ''), [{', '.join("'" + x + "'" for x in _TEXTS)}][doc_id % {len(_TEXTS)} + 1])) AS u FROM documents)
-SELECT doc_id, {_first_sql([(k, _has_sql("u", v)) for k, v in D.MODALITY.items()], "Unknown")} AS modality, {_first_sql(_TAG_TARGETS, "Unknown")} AS target,
-array_to_string(list_filter([{', '.join(f"CASE WHEN {t} THEN '{k}' END" for k, t in _TAG_MARKERS)}], lambda x: x IS NOT NULL), ',') AS biomarkers, {_first_sql([(k, _has_sql("u", v, True)) for k, v in D.CANCER.items()], "Other")} AS cancer FROM d""",
+    f"""WITH d AS (SELECT doc_id, lower(concat_ws(' ', coalesce(text, ''), [{', '.join("'" + x + "'" for x in _TEXTS)}][doc_id % {len(_TEXTS)} + 1])) AS u FROM documents) {_TAGS} FROM d""",
     raw=True,
 )(_tag_texts)
+_TRIALS = r"regexp_extract_all(text, '\bNCT\d{8}\b')"
+ORACLE_SQL["scl_s03_text_tags_tables"] = f"""WITH d AS (SELECT doc_id, text, lower(text) AS u FROM documents)
+{_TAGS}, array_to_string(list_filter({_TRIALS}, lambda x, i: list_position({_TRIALS}, x) = i), ',') AS trials FROM d"""
 
 query("snk_03_metadata", "SELECT count(*) AS total, count(DISTINCT company) AS companies FROM p")(lambda spark, d: S.metadata(programs(spark, d)))
 
