@@ -78,3 +78,19 @@ def test_drug_targets_and_canonical_names(spark):
     assert canon["PD1"] == canon["PD-1"] == canon["PD 1"] and set(canon) == {"PD1", "PD-1", "PD 1", "EGFR"}
     got = {r.drug: tuple(r)[1:] for r in O.drug_targets(programs, answers, abstracts).collect()}
     assert got["a"] == (canon["PD1"], "A", "mAb") and got["b"][1:] == ("b", "Unknown") and set(got) == {"a", "b"}
+
+
+def test_caches_get_new_keys_or_stay_as_they_are(spark):
+    import pytest
+
+    from therascape.operators import links as K
+
+    rows = spark.createDataFrame([("u1", "a"), ("u2", "b"), (None, "c"), ("n4", "d")], "id string, name string")
+    keys = K.new_keys(rows, "id", F.concat(F.lit("n"), F.ascii("name").cast("string")))
+    cache = spark.createDataFrame([("u1", 1), ("n98", 2), ("u2", 3), ("other", 4)], "id string, v int")
+    once = K.rekeyed(cache, "id", keys)
+    want = [("n97", 1), ("n98", 2), ("other", 4)]  # u2's entry gives way to the one that has the key
+    assert sorted(map(tuple, once.collect())) == want and sorted(map(tuple, K.rekeyed(once, "id", keys).collect())) == want
+    assert tuple(K.key_coverage(once, "id", keys).first()) == (3, 2, 3)
+    with pytest.raises(ValueError, match="share"):
+        K.new_keys(rows, "id", F.lit("same"))

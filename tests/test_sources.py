@@ -71,6 +71,16 @@ def test_articles(spark, tmp_path):
     assert r["author"].asDict() == {"name": "Jo Doe", "affiliation": "Acme Therapeutics", "city": "Boston", "region": "MA", "country": "USA", "is_company": True}
 
 
+def test_years_of_articles(spark, tmp_path):
+    def one(pmid, issue, own=""):
+        return f"<PubmedArticle><MedlineCitation><PMID>{pmid}</PMID><Article><Journal><Title>J</Title><JournalIssue><PubDate>{issue}</PubDate></JournalIssue></Journal><ArticleTitle>t</ArticleTitle>{own}</Article></MedlineCitation></PubmedArticle>"
+
+    date = "<ArticleDate><Year>2021</Year></ArticleDate>"
+    rows = [one(1, "<Year>2024</Year>", date), one(2, "<MedlineDate>Winter 1998-2000</MedlineDate>", date), one(3, "<MedlineDate>Spring</MedlineDate>", date), one(4, "<Month>May</Month>")]
+    got = {r.pmid: (r.uid, r.year) for r in L.publications(L.read_articles(spark, write(tmp_path / "y.xml", f"<PubmedArticleSet>{''.join(rows)}</PubmedArticleSet>"))).collect()}
+    assert got == {"1": ("pub-2024-1", 2024), "2": ("pub-1998-2", 1998), "3": ("pub-2021-3", 2021), "4": ("pub-unknown-4", None)}
+
+
 def test_works(spark, tmp_path):
     works = [
         {"DOI": "10.1200/jco.2026.44.17_suppl.lba1", "title": ["Abstract 5: KRAS trial"], "author": [{"given": "A", "family": "B", "affiliation": [{"name": "1 Acme Inc., Paris, France;"}]}], "abstract": "<jats:title>x</jats:title><jats:p>Text &lt; 5</jats:p>"},

@@ -172,6 +172,32 @@ def with_default(rows: DataFrame, table: DataFrame, key: str, value: str) -> Dat
     return rows.join(table.select(F.col("old").alias(key), F.col("new").alias("__new")), key, "left").withColumn(value, F.coalesce("__new", key)).drop("__new")
 
 
+def new_keys(rows: DataFrame, old: str, new: Column) -> DataFrame:
+    """(old, new): the rows' new keys by their old ones; an error if two rows would get the same new key, so that nothing is lost."""
+    keyed = rows.select(F.col(old).alias("old"), new.alias("new"))
+    clashes = keyed.groupBy("new").agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*"), F.sum("n")).first()
+    if clashes[0]:
+        raise ValueError(f"{clashes[1]} rows share {clashes[0]} new keys: nothing is re-keyed")
+    return keyed.where("old IS NOT NULL").groupBy("old").agg(F.min("new").alias("new"))
+
+
+def rekeyed(cache: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """J-21: a cache under new keys; entries that have theirs already, or none, stay, so a second run changes nothing.
+
+    Where an old and a new entry meet in one key, the one that had the key before stays, else the one of the smallest old key.
+    """
+    found = cache.join(keys.select(F.col("old").alias(key), "new"), key, "left").withColumn("__key", F.coalesce("new", key))
+    order = F.struct((F.col(key) != F.col("__key")).alias("moved"), F.col(key).alias("old"))
+    one = found.groupBy("__key").agg(F.min_by(F.struct(*[c for c in cache.columns if c != key]), order).alias("r"))
+    return one.select(F.col("__key").alias(key), "r.*").select(*cache.columns)
+
+
+def key_coverage(cache: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """One row: the cache's entries, and how many of the new keys it has."""
+    has = keys.select("new").join(cache.select(F.col(key).alias("new")).distinct(), "new", "left_semi")
+    return cache.agg(F.count("*").alias("entries")).crossJoin(F.broadcast(has.agg(F.count("*").alias("covered")))).crossJoin(F.broadcast(keys.agg(F.count("*").alias("keys"))))
+
+
 def prefix_fixes(programs: DataFrame, fixes: list[tuple[str, dict[str, str]]], name: str = "drug_name") -> DataFrame:
     """J-22: the target of programs whose first drug begins with a prefix, by that prefix's table; the first prefix that fits decides.
 

@@ -281,3 +281,17 @@ def _cdx_with_strategy(spark: SparkSession, d: str) -> DataFrame:
     s = M.cdx_score(F.lit("1996-01-01").cast("date"), F.col("completion_date"), F.size("biomarkers") > 0, M.cdx_strategy(F.col("raw")), F.concat_ws(" ", "cancer_category", "raw"), partners, F.col("target"))
     rows = df.select("drug_name", "phase", s.alias("s")).select("drug_name", "phase", "s.score", "s.level", F.array_join("s.flags", ",").alias("flags"))
     return rows.groupBy("drug_name", "phase", "score", "level", "flags").agg(F.count("*").alias("n"))
+
+
+@query(
+    "j_21_rekeyed_cache",
+    """SELECT left(sha1(p_name || '|' || p_partkey), 16) AS key, p_retailprice AS price FROM part WHERE p_size % 7 <> 0 UNION ALL SELECT 'lost-' || s_suppkey, s_acctbal FROM supplier""",
+    raw=True,
+)
+def _rekeyed(spark: SparkSession, d: str) -> DataFrame:
+    """J-21: a cache of prices under old and new keys of the parts, and of suppliers that no part knows, brought to the new keys."""
+    part = spark.read.parquet(f"{d}/part.parquet").withColumn("old", F.concat(F.lit("u"), F.col("p_partkey").cast("string")))
+    new = F.left(F.sha1(F.concat_ws("|", "p_name", F.col("p_partkey").cast("string")).cast("binary")), F.lit(16))
+    cache = part.where("p_size % 7 <> 0").select(F.when(F.col("p_size") % 3 == 0, new).otherwise(F.col("old")).alias("key"), F.col("p_retailprice").alias("price"))
+    lost = spark.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("lost-"), F.col("s_suppkey").cast("string")).alias("key"), F.col("s_acctbal").alias("price"))
+    return K.rekeyed(cache.unionByName(lost), "key", K.new_keys(part, "old", new))

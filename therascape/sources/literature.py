@@ -12,7 +12,7 @@ from therascape.functions import text as X
 #: The elements of an article that are read.
 ARTICLE = (
     "MedlineCitation STRUCT<PMID: STRING, Article: STRUCT<ArticleTitle: STRING, Abstract: STRUCT<AbstractText: ARRAY<STRUCT<_VALUE: STRING, _Label: STRING>>>, "
-    "Journal: STRUCT<ISOAbbreviation: STRING, Title: STRING>, PublicationTypeList: STRUCT<PublicationType: ARRAY<STRING>>, "
+    "Journal: STRUCT<ISOAbbreviation: STRING, Title: STRING, JournalIssue: STRUCT<PubDate: STRUCT<Year: STRING, MedlineDate: STRING>>>, ArticleDate: ARRAY<STRUCT<Year: STRING>>, PublicationTypeList: STRUCT<PublicationType: ARRAY<STRING>>, "
     "ELocationID: ARRAY<STRUCT<_VALUE: STRING, _EIdType: STRING>>, "
     "AuthorList: STRUCT<Author: ARRAY<STRUCT<LastName: STRING, ForeName: STRING, Initials: STRING, AffiliationInfo: ARRAY<STRUCT<Affiliation: STRING>>>>>, "
     "DataBankList: STRUCT<DataBank: ARRAY<STRUCT<DataBankName: STRING, AccessionNumberList: STRUCT<AccessionNumber: ARRAY<STRING>>>>>>>, "
@@ -112,9 +112,17 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "PubmedArticle").option("mode", "PERMISSIVE").schema(ARTICLE).load(path)
 
 
-def publications(articles: DataFrame, year: int) -> DataFrame:
-    """PRJ-04: one record an article that has a pmid; repeated pmids leave one record."""
+def article_year(article: Column) -> Column:
+    """SCL-S21: the year of an article's issue, else the first year in the issue's free date, else that of the article itself; "unknown" if there is none."""
+    issue = article["Journal"]["JournalIssue"]["PubDate"]
+    own = F.get(article["ArticleDate"], F.lit(0))["Year"]
+    return F.coalesce(N.some(N.strip(issue["Year"])), N.some(F.regexp_extract(issue["MedlineDate"], r"(?:19|20)\d\d", 0)), N.some(N.strip(own)), F.lit("unknown"))
+
+
+def publications(articles: DataFrame, year: int | None = None) -> DataFrame:
+    """PRJ-04: one record an article that has a pmid; repeated pmids leave one record.  Without a year each article has its own, null if it tells none."""
     m, a = F.col("MedlineCitation"), F.col("MedlineCitation.Article")
+    own = article_year(a)
     first = F.get(a["AuthorList"]["Author"], F.lit(0))
     name = joined(F.concat_ws(" ", F.coalesce(F.nullif(first["ForeName"], F.lit("")), first["Initials"]), first["LastName"]))
     affiliation = joined(F.get(first["AffiliationInfo"], F.lit(0))["Affiliation"])
@@ -129,9 +137,9 @@ def publications(articles: DataFrame, year: int) -> DataFrame:
     listed = F.flatten(F.transform(banks, lambda b: F.coalesce(b["AccessionNumberList"]["AccessionNumber"], F.array().cast("array<string>"))))
     out = articles.where(a.isNotNull() & (N.strip(m["PMID"]) != "")).select(
         N.strip(m["PMID"]).alias("pmid"),
-        F.concat(F.lit(f"pub-{year}-"), N.strip(m["PMID"])).alias("uid"),
+        F.concat(F.lit("pub-"), own if year is None else F.lit(str(year)), F.lit("-"), N.strip(m["PMID"])).alias("uid"),
         short.alias("conference"),
-        F.lit(year).alias("year"),
+        (own.try_cast("int") if year is None else F.lit(year)).alias("year"),
         joined(a["ArticleTitle"]).alias("title"),
         N.some(body).alias("abstract_text"),
         F.coalesce(N.some(joined(journal["Title"])), short).alias("journal"),
