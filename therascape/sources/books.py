@@ -49,24 +49,36 @@ def reading_order(boxes: DataFrame) -> DataFrame:
     return some.select("book", (F.col("page").cast("long") * 1_000_000 + F.row_number().over(order)).alias("place"), "text")
 
 
-def _stretches(boxes: DataFrame) -> DataFrame:
-    """(book, stretch, before, after): for each stretch the last boxes before it and the first one after it."""
-    inside = Window.partitionBy("book", "stretch").orderBy("place")
-    ends = boxes.select("book", "stretch", "place", "text", F.row_number().over(inside).alias("n"), F.count("*").over(Window.partitionBy("book", "stretch")).alias("of"))
-    ends = ends.where((F.col("n") == 1) | (F.col("of") - F.col("n") < BEFORE))
-    at = F.struct("place", "text")
-    one = ends.groupBy("book", "stretch").agg(F.min(at)["text"].alias("first"), F.array_sort(F.collect_list(F.when(F.col("of") - F.col("n") < BEFORE, at))).alias("last"))
+def _stretches(flags: DataFrame) -> DataFrame:
+    """(book, stretch, before, after): for each stretch the tracks of the last boxes before it, and the label of the first box after it."""
+    whole = Window.partitionBy("book", "stretch")
+    ends = flags.select("book", "stretch", "place", "label", "named", F.row_number().over(whole.orderBy("place")).alias("n"), F.count("*").over(whole).alias("of"))
+    late = F.col("of") - F.col("n") < BEFORE
+    last = F.array_sort(F.collect_list(F.when(late, F.struct("place", F.coalesce("named", F.lit("")).alias("named")))))
+    one = ends.where((F.col("n") == 1) | late).groupBy("book", "stretch").agg(F.min(F.struct("place", "label"))["label"].alias("first"), last.alias("last"))
     order = Window.partitionBy("book").orderBy("stretch")  # a row a stretch
-    before = F.flatten(F.collect_list(F.transform("last", lambda x: x["text"])).over(order.rowsBetween(-BEFORE, -1)))
+    before = F.flatten(F.collect_list(F.transform("last", lambda x: x["named"])).over(order.rowsBetween(-BEFORE, -1)))
     return one.select("book", "stretch", before.alias("before"), F.lead("first").over(order).alias("after"))
 
 
-def _carried(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Each of the columns filled with the last value so far in its book that is not null."""
+def _marked(flags: DataFrame) -> DataFrame:
+    """``flags`` with ``opened`` (start, number, session) and ``track`` at the boxes where a block begins."""
     order = Window.partitionBy("book", "stretch").orderBy("place")
-    here = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = flags.join(_stretches(flags), ["book", "stretch"])
+    label = F.coalesce(F.lead("label").over(order), F.when(F.lead("place").over(order).isNull(), F.col("after")))
+    near = F.concat(F.array_repeat(F.lit(""), BEFORE), F.coalesce("before", F.array().cast("array<string>")), F.collect_list(F.coalesce("named", F.lit(""))).over(order.rowsBetween(-BEFORE, -1)))
+    track = F.try_element_at(F.filter(F.slice(near, -BEFORE, BEFORE), lambda x: x != ""), F.lit(-1))
+    opened = F.struct(F.col("place").alias("start"), "number", F.col("session").alias("session"))
+    known = known.withColumns({"session": label, "track": track})
+    opens = F.col("number").isNotNull() & F.col("session").isNotNull()
+    return known.withColumns({"opened": F.when(opens, opened), "track": F.when(opens, F.col("track"))}).drop("before", "after", "session", "label", "named", "number")
+
+
+def _carried(df: DataFrame, ends: DataFrame, columns: list[str]) -> DataFrame:
+    """Each of the columns filled with the last value so far in its book that is not null; ``ends`` are the same rows without texts."""
+    here = Window.partitionBy("book", "stretch").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("place"))).alias(c)
-    ends = df.groupBy("book", "stretch").agg(*map(last, columns))
+    ends = ends.groupBy("book", "stretch").agg(*map(last, columns))
     earlier = Window.partitionBy("book").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select("book", "stretch", *[F.last(c, ignorenulls=True).over(earlier).alias(f"__{c}") for c in columns])
     filled = {c: F.coalesce(F.last(c, ignorenulls=True).over(here), F.col(f"__{c}")) for c in columns}
@@ -76,28 +88,26 @@ def _carried(df: DataFrame, columns: list[str]) -> DataFrame:
 def blocks(boxes: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """(book, start, abstract_id, session, track, block): WIN-05 to WIN-07; boxes: (book, place, text), block: its boxes in order.
 
-    Empty boxes count as none, and of equal numbers in a book the first block stays.
+    Empty boxes count as none, and of equal numbers in a book the first block stays.  Order is told from marks of the boxes, without their texts; these move
+    twice, to their stretch and to their block.
     """
     some = boxes.select("book", F.col("place").cast("long").alias("place"), N.strip(F.col("text")).alias("text")).where("text != ''")
-    some = some.withColumn("stretch", F.floor(F.col("place") / stretch))
-    order = Window.partitionBy("book", "stretch").orderBy("place")
-    known = some.join(_stretches(some), ["book", "stretch"])
-    following = F.coalesce(F.lead("text").over(order), F.col("after"))
-    four = F.concat(F.coalesce("before", F.array().cast("array<string>")), F.collect_list("text").over(order.rowsBetween(-BEFORE, -1)))
-    tracks = F.filter(F.slice(F.concat(F.array_repeat(F.lit(""), BEFORE), four), -BEFORE, BEFORE), lambda x: x.rlike(TRACK) & ~x.rlike(NUMBER))
-    marked = known.select("book", "stretch", "place", "text", following.alias("following"), tracks.alias("tracks"))
-    opens = F.col("text").rlike(NUMBER) & F.col("following").rlike(SESSION)
-    marked = marked.select(
-        *("book", "stretch", "place", "text"),
-        F.when(opens, F.struct(F.col("place").alias("start"), F.col("text").alias("number"), F.regexp_extract("following", SESSION, 1).alias("session"))).alias("opened"),
-        F.when(opens, F.try_element_at("tracks", F.lit(-1))).alias("track"),
+    box = F.col("text")
+    flags = some.select(
+        *("book", "place", "text"),
+        F.floor(F.col("place") / stretch).alias("stretch"),
+        F.when(box.rlike(NUMBER), box).alias("number"),
+        F.when(box.rlike(SESSION), F.regexp_extract(box, SESSION, 1)).alias("label"),
+        F.when(box.rlike(TRACK) & ~box.rlike(NUMBER), box).alias("named"),
     )
-    told = _carried(marked, ["opened", "track"]).where(F.col("opened").isNotNull() & (F.col("place") > F.col("opened.start")))
+    slim = _marked(flags.drop("text"))
+    opened = slim.where("opened IS NOT NULL").select("book", "opened.*")
+    first = opened.groupBy("book", "number").agg(F.min("start").alias("start")).select("book", "start")
+    marked = flags.drop("number", "label", "named").join(slim.where("opened IS NOT NULL").select("book", "stretch", "place", "opened", "track"), ["book", "stretch", "place"], "left")
+    told = _carried(marked, slim, ["opened", "track"]).where(F.col("opened").isNotNull() & (F.col("place") > F.col("opened.start")))
+    told = told.select("book", F.col("opened.start").alias("start"), F.col("opened.number").alias("abstract_id"), F.col("opened.session").alias("session"), "track", "place", "text")
     lines = F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"])
-    whole = told.groupBy("book", "opened").agg(F.first("track").alias("track"), lines.alias("block"))
-    rank = F.row_number().over(Window.partitionBy("book", "opened.number").orderBy("opened.start"))
-    whole = whole.withColumn("__n", rank).where("__n = 1")
-    return whole.select("book", F.col("opened.start").alias("start"), F.col("opened.number").alias("abstract_id"), F.col("opened.session").alias("session"), "track", "block")
+    return told.join(first, ["book", "start"]).groupBy("book", "start", "abstract_id", "session", "track").agg(lines.alias("block"))
 
 
 def title_of(block: Column) -> Column:
