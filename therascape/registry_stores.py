@@ -117,7 +117,7 @@ def _landed(spark: SparkSession, d: str) -> str:
     answers = pages.withColumn("body", body).withColumn("a", F.explode(F.when(F.col("page") % 3 == 1, F.array(cut, whole)).otherwise(F.array(whole))))
     first = F.make_date(F.lit(2025), (F.col("win") + 1).cast("int"), F.lit(1))
     path = S.new_folder(spark, "pages")
-    P.land_pages(answers.select(first.alias("window_from"), F.last_day(first).alias("window_until"), F.when(F.col("page") == 0, "*").otherwise(F.concat(F.lit("c"), "page")).alias("cursor"), "a.*"), path)
+    P.land_pages(answers.select(first.alias("window_from"), F.last_day(first).alias("window_until"), F.when(F.col("page") == 0, "*").otherwise(F.concat(F.lit("c"), "page")).alias("cursor"), "a.*", "win", "page").repartition("win").sortWithinPartitions("win", "page").drop("win", "page"), path)
     return path
 
 

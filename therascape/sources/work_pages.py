@@ -66,20 +66,14 @@ class WorkPagesReader(DataSourceReader):
         return sorted(out, key=lambda w: (w.first, w.last))
 
     def read(self, partition: Window) -> Iterator[pa.RecordBatch]:
-        import pyarrow.dataset as ds
-
         if partition is None:
             return
-        files, root = _files(f"{self.path}/{partition.folder}")
-        landed = ds.dataset(root, filesystem=files, format="parquet", exclude_invalid_files=True)
-        cursor, page, seen = "*", 0, set()
+        landed, cursor, page, seen = Landed(f"{self.path}/{partition.folder}"), "*", 0, set()
         while cursor and cursor not in seen:
             seen.add(cursor)
-            # one answer at a time, so a window of any number of pages takes the memory of one
-            tries = landed.to_table(columns=["attempt", "body"], filter=ds.field("cursor") == cursor).sort_by("attempt")
-            works, following = None, None
-            for body in tries.column("body"):
-                works, following = _answer(body.as_py())
+            works, following, tries = None, None, landed.where.get(cursor, [])
+            for body in landed.bodies(cursor):
+                works, following = _answer(body)
                 if works is not None:
                     break
             if works is None and (page == 0 or len(tries)) and self.on_broken == "fail":
@@ -101,6 +95,39 @@ class WorkPagesReader(DataSourceReader):
             cursor, page = following, page + 1
 
 
+class Landed:
+    """A window's answers: where each one is, and the bodies of one row group at a time.
+
+    Only cursors and attempts are read of all of them.  Answers that were landed in the order of their cursors are then read once.
+    """
+
+    def __init__(self, folder: str):
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        files, root = _files(folder)
+        found = sorted(i.path for i in files.get_file_info(fs.FileSelector(root)) if i.type == fs.FileType.File and i.base_name.endswith(".parquet") and not i.base_name.startswith(("_", ".")))
+        self.open = [pq.ParquetFile(files.open_input_file(path)) for path in found]
+        self.where: dict[str, list[tuple]] = {}
+        for k, f in enumerate(self.open):
+            for group in range(f.num_row_groups):
+                named = f.read_row_group(group, columns=["cursor", "attempt"])
+                for row, (cursor, attempt) in enumerate(zip(named["cursor"].to_pylist(), named["attempt"].to_pylist())):
+                    self.where.setdefault(cursor, []).append((attempt, k, group, row))
+        self.at, self.held = None, None
+
+    def bodies(self, cursor: str) -> Iterator[str | None]:
+        """The answers to a cursor, first attempts first."""
+        for _, k, group, row in sorted(self.where.get(cursor, [])):
+            if self.at != (k, group):
+                self.at, self.held = (k, group), self.open[k].read_row_group(group, columns=["body"])["body"]
+            yield self.held[row].as_py()
+
+
+#: Bytes of a row group of landed answers, as a task holds one.
+GROUP_BYTES = 8 << 20
+
+
 def _answer(body: str | None) -> tuple[list | None, str | None]:
     """The works and the next cursor of an answer; no list if it cannot be read."""
     try:
@@ -132,9 +159,9 @@ def read_work_pages(spark: SparkSession, path: str, page_rows: int = PAGE_ROWS,
 
 
 def land_pages(answers: DataFrame, path: str) -> None:
-    """Answers (window_from, window_until, cursor, attempt, body) added to the landing folder."""
+    """Answers (window_from, window_until, cursor, attempt, body) added to the landing folder, best in the order of their pages."""
     name = F.concat_ws("_", F.col("window_from").cast("string"), F.col("window_until").cast("string"))
-    answers.select(name.alias("window"), "cursor", F.col("attempt").cast("int").alias("attempt"), "body").write.mode("append").partitionBy("window").parquet(path)
+    answers.select(name.alias("window"), "cursor", F.col("attempt").cast("int").alias("attempt"), "body").write.mode("append").option("parquet.block.size", GROUP_BYTES).partitionBy("window").parquet(path)
 
 
 def works_of(pages: DataFrame, fields: str, ids: DataFrame | None = None) -> DataFrame:
