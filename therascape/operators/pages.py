@@ -61,7 +61,8 @@ def _options(df: DataFrame, axes: dict[str, Column]) -> DataFrame:
     """All axes in one pass over the rows: each row gives its (axis, value) pairs, counted before the shuffle."""
 
     def pairs_of(axis: str, values: Column) -> Column:
-        return F.transform(values, lambda x: F.struct(F.lit(axis).alias("axis"), x.cast("string").alias("name")))
+        some = F.coalesce(values.cast("array<string>"), F.array().cast("array<string>"))
+        return F.transform(some, lambda x: F.struct(F.lit(axis).alias("axis"), x.cast("string").alias("name")))
 
     pairs = F.flatten(F.array(*[pairs_of(*kv) for kv in axes.items()]))
     return df.select(F.explode(pairs).alias("p")).select("p.*").where("name <> ''").groupBy("axis", "name").agg(F.count("*").alias("n"))

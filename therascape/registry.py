@@ -504,3 +504,4 @@ SELECT target, this_week, coalesce(corpus_total, 0) AS corpus_total FROM w LEFT
 
 from therascape import registry_pages  # noqa: E402, F401  (registers the queries of the wide views)
 from therascape import registry_stores  # noqa: E402, F401  (registers the queries of sources, stores and streams)
+from therascape import registry_dashboards  # noqa: E402, F401  (registers the queries of whole pages)
