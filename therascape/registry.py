@@ -258,21 +258,6 @@ _TEXTS = [
     "Until we met, all was well",
     "",
 ]
-def _answers(name: str, f, cases: dict[str, str | None]) -> None:
-    """A query of fixed names with known answers."""
-    quote = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
-    values = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in cases.items())
-    query(name, f"SELECT * FROM (VALUES {values}) t(raw, name)", raw=True)(lambda spark, d: spark.createDataFrame([(k,) for k in cases], "raw string").select("raw", f(F.col("raw")).alias("name")))
-
-
-_answers("nrm_03_target_list", lambda c: F.array_join(N.targets(F.split(c, ";")), ";"), {"HER-2;EGFR;ERBB2;": "HER2;EGFR", "": "", "VEGFA;KDR;x": "VEGF/VEGFR;x"})
-_answers("nrm_04_model_target", N.model_target, {"bortezomib": "Proteasome", "TP53": "p53", "Vascular Endothelial Growth Factor Receptor (VEGFR)": "VEGF/VEGFR", "n/a": "Unknown"})
-_answers("nrm_06_biomarker", N.biomarker, {"KRAS G12C": "KRAS", "Her2-low": "HER2", "VEGFR2": "VEGFR2", "KRASG12C": "KRAS", "EGFRm": "EGFR", "BRAF V600": "BRAF", "KRAS p.G12C": "KRAS"})
-_answers("nrm_09_institution", N.institution, {"Yonsei University Health System": "Yonsei University", "The University of Tokyo Hospital": "The University of Tokyo", "Acme Therapeutics, Inc., Boston": "Acme Therapeutics, Inc."})
-_answers("nrm_11_companies", lambda c: F.array_join(N.companies(c), "|"), {"AstraZeneca UK Limited": "AstraZeneca", "AstraZeneca; Merck": "AstraZeneca|Merck (MSD)", "Merck KGaA, Darmstadt": "Merck KGaA"})
-_answers("scl_lead_drug", lambda c: F.array_join(drugs.lead_first(F.split(c, ";")), "|"), {"Placebo;Carboplatin;ABC-1;abc-1 10 mg": "ABC-1|Placebo|Carboplatin", "": "Unknown"})
-_answers("mrg_07_gap_fix", lambda c: M.fixed_modality(c, F.lit("Unknown")), {"BCG vaccine + drug": "Vaccine", "COVID vaccine": None, "interferon alfa": "Recombinant Protein", "anti-IL-6 mAb": None, "x": None})
-
 
 
 def _names(spark: SparkSession, d: str) -> DataFrame:
@@ -289,8 +274,8 @@ NAMES_SQL = r"""WITH t AS (SELECT unnest(list_concat([text], string_split(text,
 v AS (SELECT raw, count(*) AS n FROM t GROUP BY 1) """
 
 
-def _by_rule(name: str, f, sql: str, more: list[str]) -> None:
-    """A query of a function over all names of the tables and some that the rule is made for; its SQL is an expression of ``raw``."""
+def _by_rule(name: str, f, sql: str | None, more: list[str]) -> None:
+    """A query of a function over all names of the tables and some that the rule is made for; its SQL, where it has one, is an expression of ``raw``."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     rows = NAMES_SQL.replace("v AS (SELECT raw, count(*) AS n FROM t GROUP BY 1)", f"v AS (SELECT raw, count(*) AS n FROM (SELECT raw FROM t UNION ALL SELECT unnest([{', '.join(map(quote, more))}])) GROUP BY 1)")
 
@@ -299,8 +284,8 @@ def _by_rule(name: str, f, sql: str, more: list[str]) -> None:
         both = _names(spark, d).union(known).groupBy("raw").agg(F.sum("n").alias("n"))
         return both.select(F.md5("raw").alias("digest"), f(F.col("raw")).alias("name"), "n")
 
-    query(name, f"{rows} SELECT md5(raw) AS digest, {sql} AS name, n FROM v", raw=True)(run)
-    if f"{name}_tables" in QUERIES:  # the same rule over the tables' names alone
+    query(name, sql and f"{rows} SELECT md5(raw) AS digest, {sql} AS name, n FROM v", raw=True)(run)
+    if sql and f"{name}_tables" in QUERIES:  # the same rule over the tables' names alone
         ORACLE_SQL[f"{name}_tables"] = f"{NAMES_SQL}SELECT md5(raw) AS digest, {sql} AS name, n FROM v"
 
 
@@ -367,8 +352,7 @@ _by_rule("nrm_01_target", N.target, f"CASE WHEN {_STRIPPED} <> '' THEN {_target_
 _EACH = _STRIPPED.replace("raw", "e")
 _LIST = f"list_filter(list_transform(string_split(raw, ';'), lambda e: CASE WHEN {_EACH} <> '' THEN {_target_sql(_EACH)} END), lambda x: x IS NOT NULL)"
 _LISTED = f"array_to_string(list_transform([{_LIST}], lambda xs: array_to_string(list_filter(xs, lambda x, i: list_position(xs, x) = i), ';')), '')"
-_by_rule("nrm_03_target_lists", lambda c: F.array_join(N.targets(F.split(c, ";")), ";"), _LISTED, ["HER-2;EGFR;ERBB2;", ";", "VEGFA;KDR;x", "a;A;a; a ;n/a;DNA"])
-ORACLE_SQL["nrm_03_target_list_tables"] = f"{NAMES_SQL}SELECT md5(raw) AS digest, {_LISTED} AS name, n FROM v"
+_by_rule("nrm_03_target_list", lambda c: F.array_join(N.targets(F.split(c, ";")), ";"), _LISTED, ["HER-2;EGFR;ERBB2;", "", ";", "VEGFA;KDR;x", "a;A;a; a ;n/a;DNA"])
 _EDGE = re.compile(r"\\b(\w+)\\b")
 _STATE = "CASE " + " ".join(f"WHEN regexp_matches(raw, '(?i){_EDGE.sub(lambda m: f"(?:^|[^{chr(92)}p{{L}}{chr(92)}p{{N}}_]){m[1]}(?:$|[^{chr(92)}p{{L}}{chr(92)}p{{N}}_])", p)}') THEN '{k}'" for k, p in V.BIOMARKER_STATES.items()) + " END"
 _by_rule("nrm_07_biomarker_state", N.biomarker_state, _STATE, ["HER2 Amplification", "HER2", "KRAS G12C", "HER2-low", "EGFR exon 20", "PD-L1 IHC 3+", "ALK fusion", "MSH2 loss", "wild type RAS", "TMB-high", "ER negative", "pos"])
@@ -393,8 +377,48 @@ _FIRST_DRUG = f"coalesce(list_filter(regexp_split_to_array(raw, '{_RE2(V.DRUG_BR
 _GAP = f"""list_transform([{_FIRST_DRUG}], lambda d: CASE WHEN regexp_matches(d, '{_RE2(V.PREVENTIVE)}') THEN NULL WHEN {_has_sql('lower(d)', V.VACCINE_CODES + D.MODALITY['Vaccine'])} THEN 'Vaccine'
  WHEN regexp_matches(d, '{_RE2(V.ANTI_CYTOKINE)}') THEN NULL {' '.join(f"WHEN {_has_sql('lower(d)', D.MODALITY[m])} THEN '{m}'" for m in ('Fusion Protein', 'Recombinant Protein'))} END)[1]"""
 _GAP_CASES = ["BCG vaccine + drug", "COVID vaccine", "interferon alfa", "anti-IL-6 mAb", "x", "anti-interferon fusion protein", "etanercept plus flu vaccine", " , and neo-PV-01", "VB10.NEO/x"]
-_by_rule("mrg_07_gap_fixes", lambda c: M.fixed_modality(c, F.lit("Unknown")), _GAP, _GAP_CASES)
-ORACLE_SQL["mrg_07_gap_fix_tables"] = f"{NAMES_SQL}SELECT md5(raw) AS digest, {_GAP} AS name, n FROM v"
+_by_rule("mrg_07_gap_fix", lambda c: M.fixed_modality(c, F.lit("Unknown")), _GAP, _GAP_CASES)
+
+_LET = "list_transform([{}], lambda {}: {})[1]".format
+_KEY = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')".format
+_BRACKETS = r"\(([A-Za-z0-9/\-]{2,14})\)"
+
+
+def _rescued_sql(x: str) -> str:
+    return "CASE " + " ".join(f"WHEN contains(lower({x}), '{k}') THEN '{v}'" for k, v in V.TARGET_RESCUE.items()) + " END"
+
+
+_INSIDE = f"nullif(regexp_extract(s, '{_BRACKETS}', 1), '')"
+_OF_SENTENCE = f"coalesce({_rescued_sql('s')}, {_case_sql(_KEY(_INSIDE), V.TARGET_CANON)}, {_INSIDE}, 'Unknown')"
+_SHORT_BODY = f"coalesce({_case_sql(_KEY('n'), V.TARGET_CANON)}, CASE WHEN length(n) > 28 AND contains(n, ' ') THEN coalesce({_rescued_sql('n')}, 'Unknown') END, n)"
+_SHORT = _LET(f"coalesce(nullif(regexp_extract(s, '{_BRACKETS}[\\s\\x{{0B}}]*$', 1), ''), s)", "n", _SHORT_BODY)
+_SENTENCE = f"length(s) > 40 AND {_has_sql('lower(s)', V.SENTENCE_MARKS)}"
+_MEANT = f"coalesce({_case_sql(_KEY('s'), V.DRUG_AS_TARGET)}, CASE WHEN {_SENTENCE} THEN {_OF_SENTENCE} ELSE {_SHORT} END)"
+_BARE = _STRIPPED.replace("raw", "m")
+_MODEL = _LET(f"trim({_STRIPPED}, '.')", "s", f"CASE WHEN lower(s) IN ('unknown', '', 'n/a', 'none') THEN 'Unknown' ELSE {_LET(_MEANT, 'm', f"coalesce(CASE WHEN {_BARE} <> '' THEN {_target_sql(_BARE)} END, m)")} END")
+_by_rule(
+    "nrm_04_model_target",
+    N.model_target,
+    _MODEL,
+    ["bortezomib", "TP53", "Vascular Endothelial Growth Factor Receptor (VEGFR)", "n/a", "KRAS G12C", "It is a drug that binds the proteasome; not one target", "some very long name without any abbreviation", "It is not a single target, see (XYZ-1) or (ABC)", " HER-2. ", *V.TARGET_CANON, *V.DRUG_AS_TARGET],
+)
+_DOSED = lambda p: p.replace("(?iU)", "(?i)").replace(r"\s", r"[\s\x{0B}\x{85}\p{Z}]").replace(r"\d", r"\p{Nd}")
+_UNDOSED = f"regexp_replace(regexp_replace({_EACH}, '{_DOSED(drugs.DOSE)}', '', 'g'), '{_DOSED(drugs.SCHEDULE)}', '', 'g')"
+_CLEANED = f"list_filter(list_transform(string_split(raw, ';'), lambda e: {_STRIPPED.replace('raw', _UNDOSED)}), lambda e: e <> '')"
+_IN = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
+_WEIGHT = f"CASE WHEN lower(x) IN {_IN(drugs.SUPPORTIVE)} THEN 0 WHEN lower(x) IN {_IN(drugs.BACKBONE)} THEN 1 WHEN regexp_matches(lower(x), '{drugs.TARGETED_END}') OR (regexp_matches(x, '{drugs.CODE_NAME}') AND NOT regexp_matches(lower(x), '{drugs.CHEMO_END}')) THEN 3 ELSE 2 END"
+_LED = _LET(f"list_transform(d, lambda x: {_WEIGHT})", "w", _LET("list_position(w, list_max(w))", "p", "array_to_string(list_concat([d[p]], list_filter(d, lambda x, i: i <> p)), '|')"))
+_ONCE = _LET("list_transform(c, lambda x: lower(x))", "l", "list_filter(c, lambda x, i: list_position(l, lower(x)) = i)")
+_by_rule(
+    "scl_lead_drug",
+    lambda c: F.array_join(drugs.lead_first(F.split(c, ";")), "|"),
+    _LET(_CLEANED, "c", f"CASE WHEN len(c) = 0 THEN 'Unknown' ELSE {_LET(_ONCE, 'd', _LED)} END"),
+    ["Placebo;Carboplatin;ABC-1;abc-1 10 mg", "", ";", "Cisplatin 5 mg/m2 q3w;Pembrolizumab 200 mg iv;Aspirin", "Docetaxel;x qd;Y po ;y", *drugs.SUPPORTIVE, *drugs.BACKBONE],
+)
+_by_rule("nrm_06_biomarker", N.biomarker, None, ["KRAS G12C", "Her2-low", "VEGFR2", "KRASG12C", "EGFRm", "BRAF V600", "KRAS p.G12C", "MET exon 14 skipping mutation", "mutation", "gene signature", "BRCA1 del 17", *V.BIOMARKER_ALIAS])
+_AFFILIATIONS = ["Yonsei University Health System", "The University of Tokyo Hospital", "Acme Therapeutics, Inc., Boston", "Department of Medicine, University of California, San Francisco, CA", "The University of Texas MD Anderson Cancer Center, Houston", "Department of Physics; Unit 7", ", ;", "Boston University School of Medicine, Boston"]
+_by_rule("nrm_09_institution", N.institution, None, _AFFILIATIONS)
+_by_rule("nrm_11_companies", lambda c: F.array_join(N.companies(c), "|"), None, ["AstraZeneca UK Limited", "AstraZeneca; Merck", "Merck KGaA, Darmstadt", "ABL Bio, Inc. / Seoul National University Hospital", "Pfizer | pfizer", "Acme Bio Holdings Co., Ltd.", *[w for _, ws in V.COMPANIES for w in ws]])
 
 
 def _tag_texts(spark: SparkSession, d: str) -> DataFrame:
