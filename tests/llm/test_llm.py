@@ -211,6 +211,27 @@ def test_license_windows_equal_brute_force():
         assert known.scan(lines.encode()) == [m for _, m in sorted(want, key=lambda x: x[0])]
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_license_runs_find_what_single_begins_find(monkeypatch, seed):
+    """Whole, cut and altered licences in a row, some twice: runs of begins against every begin by itself."""
+    rand = random.Random(seed)
+    words = []
+    for name in rand.choices(list(licenses.TEMPLATES), k=3) + ["GPL-1.0-text"] * 2:
+        w = licenses.TEMPLATES[name].split()
+        i, j = sorted((rand.randrange(len(w)), len(w))) if rand.random() < 0.4 else (0, len(w))
+        words += [x if rand.random() > 0.05 else rand.choice(["foo", "the", "of", "work"]) for x in w[i:j]] + ["other"] * rand.randrange(3)
+    text = " ".join(words).encode()
+    known = licenses.Templates(licenses.TEMPLATES, licenses.THRESHOLD)
+    found = known.scan(text)
+    monkeypatch.setattr(licenses, "RUNS", 10**9)
+    assert found == known.scan(text) and len(found) >= 2
+
+
+def test_licenses_in_a_text_of_some_megabytes():
+    known = licenses.Templates(licenses.TEMPLATES, licenses.THRESHOLD)
+    assert [m["license"] for m in known.scan(licenses.TEMPLATES["GPL-3.0-text"].encode() * 90)] == ["GPL-3.0-text"] * 90
+
+
 def test_token_counts_sum_to_whole_documents(docs, rows):
     for rule in ("first", "most"):
         got = token_counts.counted(docs, rule=rule).collect()

@@ -6,6 +6,11 @@ both) can reach the threshold t only if a window has between t / (2 - t) and (2
 which at least t / (2 - t) times as many are shared: a template is passed over where the whole text, or every window from
 a place on, shares fewer.  A best window begins and ends with a bigram of the template, so only those are compared.
 
+A window that begins d words later shares no more bigrams than one with the same end, so its coefficient is at most
+1 + d / (the least sum of bigrams) times as large: of a run of begins the first one bounds all others.  Runs wait in the order of
+their bounds and are looked into only when nothing better is left, so copies of a licence in a row cost one look a run, not a begin.
+Very long texts are scanned whole.
+
 Defined results: null text has no words; of windows that share words the most alike is reported, ties by the larger
 template, the earlier place and the name; repeated rows are reported alike; an empty table gives an empty table;
 templates are a parameter of a few dozen entries, those of one word never match.
@@ -46,6 +51,8 @@ NOTICES = {
 #: Whole licence texts, by their file's name and "-text".
 TEMPLATES = NOTICES | {f.name.removesuffix(".txt") + "-text": f.read_text("utf-8") for f in sorted(resources.files("therascape.llm.license_texts").iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
 THRESHOLD = 0.8
+#: A run of begins is as long as the template over this.
+RUNS = 64
 _WORD = re.compile(rb"[a-z0-9.\x80-\xff]*[a-z0-9\x80-\xff]")
 
 
@@ -70,6 +77,20 @@ class Marks:
         self.reach = np.searchsorted(at, at + int(n * (2 - threshold) / threshold + 1e-9))
         self.starts = np.flatnonzero(self.reach - k >= n * threshold / (2 - threshold) - 1e-9)
 
+    def runs(self) -> Iterator[tuple[float, np.ndarray]]:
+        """(bound, begins): begins that lie close together and what no window of theirs exceeds; only those that reach the threshold."""
+        begins = self.at[self.starts]
+        for run in np.split(self.starts, np.flatnonzero(np.diff(begins // max(1, self.n // RUNS))) + 1):
+            if len(run) < 2:
+                bound = 1.0
+            else:
+                i, end = int(run[0]), int(self.reach[run[-1]])
+                most = (2 * np.cumsum(self.full[i:end] < i) / (self.at[i:end] - self.at[i] + 1 + self.n)).max()
+                later = self.at[run[-1]] - self.at[i]
+                bound = min(1.0, float(most * (1 + later * (2 - self.threshold) / (2 * self.n))) + 1e-9)
+            if len(run) and bound >= self.threshold:
+                yield bound, run
+
     def best(self, i: int, stop: int) -> tuple[float, int] | None:
         """(Dice, word after the end) of the most alike window that begins at mark i and ends before the word ``stop``."""
         end = min(int(self.reach[i]), int(np.searchsorted(self.at, stop - 1)))
@@ -128,12 +149,22 @@ class Templates:
                 heapq.heappush(heap, (-hit[0], -self.sizes[t], int(marks[t].at[i]), self.names[t], hit[1], t, i))
 
         for t, m in marks.items():
-            for i in m.starts.tolist():
-                put(t, i, len(words))
+            for bound, run in m.runs():
+                if len(run) == 1:
+                    put(t, int(run[0]), len(words))
+                else:
+                    heapq.heappush(heap, (-bound, -self.sizes[t], int(m.at[run[0]]), self.names[t], 0, t, run))
         begins, ends, found = [], [], []
         while heap:
             dice, _, begin, name, end, t, i = heapq.heappop(heap)
             k = bisect(begins, begin)
+            if not end:  # a run: its begins outside the windows found wait by themselves
+                if not k or ends[k - 1] <= marks[t].at[i[-1]]:
+                    for j in i.tolist():
+                        k = bisect(begins, marks[t].at[j])
+                        if not k or ends[k - 1] <= marks[t].at[j]:
+                            put(t, j, begins[k] if k < len(begins) else len(words))
+                continue
             if k and ends[k - 1] > begin:
                 continue
             if k < len(begins) and begins[k] < end:
