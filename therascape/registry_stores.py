@@ -198,7 +198,7 @@ _scanned("flt_37_searched_years", "list_contains(cancer_list, 'en') AND conferen
 @query(
     "nrm_08_clean_lists",
     f"""WITH bw AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS name FROM benchmark),
-dict AS (SELECT name, CASE WHEN length(name) > 5 THEN upper(left(name, 4)) END AS canon, length(name) <= 2 AS blocked FROM bw WHERE name <> ''),
+dict AS (SELECT name, CASE WHEN length(name) > 5 THEN upper(replace(left(name, 4), 'ß', 'SS')) END AS canon, length(name) <= 2 AS blocked FROM bw WHERE name <> ''),
 i AS (SELECT doc_id, unnest(string_split(text, ' ')) AS raw, generate_subscripts(string_split(text, ' '), 1) AS pos FROM documents),
 s AS (SELECT doc_id, pos, {_strip('raw')} AS raw FROM i),
 m AS (SELECT doc_id, pos, coalesce(canon, raw) AS shown FROM s LEFT JOIN dict ON lower(raw) = name WHERE raw <> '' AND blocked IS NOT TRUE),
