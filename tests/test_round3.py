@@ -3,6 +3,7 @@
 import duckdb
 
 from therascape import registry
+from therascape.operators import links as K
 
 
 def equals_sql(spark, name, folder, tables):
@@ -18,3 +19,9 @@ def test_dictionary_names_with_sharp_s_equal_their_sql(spark, tmp_path):
     spark.createDataFrame([(1, "süßigkeit ein maß")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(1, "Süßigkeit SÜSSI süßi ß maß"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert equals_sql(spark, "nrm_08_clean_lists", str(tmp_path), ["benchmark", "documents"])
+
+
+def test_a_paper_counts_once_for_a_trial(spark):
+    papers = spark.createDataFrame([("N1", k, "a drug", "Article", 9 - int(k)) for k in "112"], "nct_id string, pmid string, title string, kind string, cited int")
+    programs = spark.createDataFrame([("N1", "Drug")], "nct_id string, drug_name string")
+    assert [(r.rank, r.pmid) for r in K.papers_of_trials(programs, papers).orderBy("rank").collect()] == [(1, "1"), (2, "2")]
