@@ -31,6 +31,17 @@ def test_a_paper_counts_once_for_a_trial(spark):
     assert [(r.rank, r.pmid) for r in K.papers_of_trials(programs, papers).orderBy("rank").collect()] == [(1, "1"), (2, "2")]
 
 
+def test_evidence_joins_only_the_best_records_of_a_trial_and_a_target(spark):
+    records = spark.createDataFrame([(f"u{k}", ["M"], ["T", "S"] if k else ["T"], f"N{k % 2}", k % 5 / 10) for k in range(40)], "uid string, modality_list array<string>, target_list array<string>, nct_id string, llm_confidence double")
+    programs = spark.createDataFrame([("a", "N0", "T"), ("a", "N9", "S"), ("b", "N9", "T")], "drug_id string, nct_id string, target string")
+    links = programs.join(records, "nct_id").select("drug_id", "uid", F.lit(True).alias("by_trial"))
+    links = links.union(programs.join(records.select("uid", F.explode("target_list").alias("target")), "target").select("drug_id", "uid", F.lit(False)))
+    rows = lambda df: sorted(map(tuple, df.select("drug_id", "uid", "rank").collect()))
+    found = M.evidence_of(programs, records, 3)
+    assert rows(found) == rows(M.evidence(links, records, 3)) and len(rows(found)) == 6
+    assert "evidence_of" in registry._evidence.__code__.co_names
+
+
 def test_long_texts_take_no_round_a_letter(spark):
     ends = ("KRAS mutation", "mutation +", "EGFR exon 19", "end", "KRASm", "KRAS exon 1234567", "del 5 / ", "p.G12C", "X-amp.", "3+")
     df = spark.createDataFrame([("word " * 400 + e,) for e in ends], "raw string")
