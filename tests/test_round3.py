@@ -3,7 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from therascape import registry
+from therascape import registry, registry_pages
 from therascape.functions import normalize as N
 from therascape.functions import text as X
 from therascape.operators import links as K
@@ -63,3 +63,8 @@ def test_the_first_drug_of_a_name(spark):
     texts = [" , and neo-PV-01", "interferon alfa with x", "x and interferon", "a" * 50000 + " plus vaccine", "vaccine", " with ", None]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(M.fixed_modality(F.col("t"), F.lit("Unknown"))).collect()
     assert [r[0] for r in got] == ["Vaccine", "Recombinant Protein", None, None, "Vaccine", None, None]
+
+
+def test_lists_are_counted_before_they_are_taken_apart(spark):
+    plan = registry_pages._spelled(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Generate") : plan.index("Join")]
