@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from therascape import registry, registry_pages
 from therascape.functions import normalize as N
 from therascape.functions import text as X
+from therascape.llm import divergence
 from therascape.operators import links as K
 from therascape.operators import merges as M
 
@@ -68,3 +69,11 @@ def test_the_first_drug_of_a_name(spark):
 def test_lists_are_counted_before_they_are_taken_apart(spark):
     plan = registry_pages._spelled(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan[plan.index("Generate") : plan.index("Join")]
+
+
+def test_terms_are_sorted_by_number_before_name(spark):
+    docs = spark.createDataFrame([("en", "a", "x y x"), ("en", "b", "y Z")], "lang string, source string, text string")
+    runs = divergence.term_runs(docs, 1)
+    assert "Sort [xxhash64(lang" in runs._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((bytes(r.term), bytes(r.source), r.n, r.in_lang) for r in runs.collect())
+    assert got == [(b"x", b"a", 2, 2), (b"y", b"a", 1, 2), (b"y", b"b", 1, 2), (b"z", b"b", 1, 1)]

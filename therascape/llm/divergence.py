@@ -1,7 +1,7 @@
 """How the sources of a language differ in their words: a sort-based streaming audit (operator 11).
 
 A task folds stretches of about ``STRETCH_BYTES`` of text into one row a (lang, term, source), with its documents and occurrences;
-these rows, far fewer than the words, are repartitioned by (lang, term) and sorted by (lang, term, source, stretch), and a run-length
+these rows, far fewer than the words, are repartitioned by (lang, term) and sorted by (number of the term, lang, term, source, stretch), and a run-length
 scan gives each term's document frequency and its count in each source.  So a word of every document brings one row a stretch
 and source, no task holds more than the counts of one term by source, and no text is shuffled.  A second scan, over the kept terms in the
 same order, adds up what each term's run says of pairs of sources and keeps each group's best terms.
@@ -237,7 +237,8 @@ def term_runs(docs: DataFrame, least_docs: int = LEAST_DOCS, text_col: str = "te
     text = lambda c: F.coalesce(docs[c].cast("string"), F.lit("")).cast("binary")
     src = docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), text(text_col).alias("text"))
     folded = src.mapInArrow(_folded, "lang binary, term binary, source binary, stretch long, docs long, n long")
-    dealt = folded.repartition("lang", "term").sortWithinPartitions("lang", "term", "source", "stretch")
+    # a term's number comes first, as names begin alike and would be compared byte by byte; terms of one number are told apart by name
+    dealt = folded.repartition("lang", "term").sortWithinPartitions(F.xxhash64("lang", "term"), "lang", "term", "source", "stretch")
     return dealt.select("lang", "term", "source", "docs", "n").mapInArrow(_run_lengths(least_docs), "lang binary, term binary, source binary, n long, in_lang long, opens boolean")
 
 
