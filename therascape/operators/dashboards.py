@@ -1,6 +1,6 @@
 """Whole pages of charts as one result: distributions, trends, stacked bars and summary cards in one pass over the rows.
 
-Each row gives its (chart, name, series) entries, which are counted before and after one shuffle; a name then holds its counts by
+Rows are counted by each chart's own columns before these are made into (chart, name, series) entries; a name then holds its counts by
 series (years or statuses) in one small list.  Names are cut to a chart's largest in salted parts, and what is behind them is added
 up on the way, so no task sees all names of a chart; what meets at the end has as many rows as the page shows, times the salts.
 
@@ -9,6 +9,7 @@ Defined results: null lists, null and empty names count nowhere; ties go by name
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from typing import NamedTuple
 
@@ -26,7 +27,7 @@ SALTS = 32
 
 
 class Chart(NamedTuple):
-    """``values``: the names of a row.  ``top`` names are shown and the rest as "Other (k)"; with 0 all are, as for fixed lists.
+    """``values``: the names of a row, or a column that ``of`` makes them from, once for equal ones.  ``top`` names are shown and the rest as "Other (k)"; with 0 all are, as for fixed lists.
 
     ``order`` places names by a list (by name if it is empty), unlisted ones last or, if ``listed``, not at all.  With ``series`` a
     chart ``<name>_by_<by>`` counts the first ``most`` names by it (0: all), each once a row if ``once``; ``grid`` names the chart
@@ -45,6 +46,7 @@ class Chart(NamedTuple):
     grid: str = ""
     shown: bool = True
     distinct: str = ""
+    of: Callable[[Column], Column] | None = None
 
 
 def _strings(xs: Column) -> Column:
@@ -61,13 +63,17 @@ def counted(df: DataFrame, charts: dict[str, Chart]) -> DataFrame:
     """(chart, name, count, parts): how often each chart's names are there, and by series how often and in how many rows."""
 
     def entries(name: str, c: Chart) -> Column:
-        values = _strings(c.values)
-        series = F.lit(None).cast("string") if c.series is None else c.series.cast("string")
+        column = F.col(f"{name}_0")
+        values = _strings(c.of(column) if c.of else column)
+        series = F.lit(None).cast("string") if c.series is None else F.col(f"{name}_1").cast("string")
         first = lambda x, i: F.array_position(values, x) == i + 1 if c.once else F.lit(True)
         return F.transform(values, lambda x, i: F.struct(F.lit(name).alias("chart"), x.alias("name"), series.alias("series"), first(x, i).alias("first")))
 
-    every = df.select(F.explode(F.flatten(F.array(*[entries(*kv) for kv in charts.items()]))).alias("e")).select("e.*").where("name <> ''")
-    by_series = every.groupBy("chart", "name", "series").agg(F.count("*").alias("n"), F.count_if("first").alias("rows"))
+    rows = P.by_own_columns(df, {k: [c.values] if c.series is None else [c.values, c.series] for k, c in charts.items()})
+    none = F.array().cast("array<struct<chart:string,name:string,series:string,first:boolean>>")
+    made = reduce(lambda c, kv: c.when(F.col("of") == kv[0], entries(*kv)), charts.items(), F.when(F.lit(False), none))
+    every = rows.select(F.explode(made).alias("e"), "n").select("e.*", "n").where("name <> ''")
+    by_series = every.groupBy("chart", "name", "series").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("first"), F.col("n")).otherwise(0)).alias("rows"))
     return by_series.groupBy("chart", "name").agg(F.sum("n").alias("count"), F.collect_list(F.struct("series", "n", "rows")).alias("parts"))
 
 
@@ -146,17 +152,17 @@ def program_page(programs: DataFrame, top: int = 10, biomarkers: int = 5) -> Dat
     status = F.coalesce(F.nullif("overall_status", F.lit("")), F.lit("UNKNOWN"))
     statuses = list(L.STATUS_LABELS)
     charts = {
-        "company": Chart(_one(F.col("company_normalized")), top),
-        "drug": Chart(_one(X.known(F.col("drug_name"))), top),
-        "cancer": Chart(_one(X.known(F.col("cancer_category"))), top),
-        "target": Chart(_one(X.known(F.col("target"))), top),
-        "phase": Chart(P.phase_options(F.col("phases")), order=L.PHASE_ORDER, series=status, by="status", grid="status"),
-        "status": Chart(_one(status), order=statuses, listed=True),
-        "modality": Chart(_one(X.known(F.col("modality")))),
+        "company": Chart(F.col("company_normalized"), top, of=_one),
+        "drug": Chart(X.known(F.col("drug_name")), top, of=_one),
+        "cancer": Chart(X.known(F.col("cancer_category")), top, of=_one),
+        "target": Chart(X.known(F.col("target")), top, of=_one),
+        "phase": Chart(F.col("phases"), of=P.phase_options, order=L.PHASE_ORDER, series=status, by="status", grid="status"),
+        "status": Chart(status, order=statuses, listed=True, of=_one),
+        "modality": Chart(X.known(F.col("modality")), of=_one),
         "biomarker": Chart(F.col("biomarkers"), biomarkers, rest=False),
         "total": Chart(_one(F.lit("programs")), series=F.when(F.size("biomarkers") > 0, "mentioned").otherwise("not mentioned"), by="biomarker"),
-        "sponsors": Chart(_one(F.col("company")), 1, shown=False, distinct="companies"),
-        "cancers": Chart(_one(F.col("cancer_category")), 1, shown=False, distinct="cancers"),
+        "sponsors": Chart(F.col("company"), 1, shown=False, distinct="companies", of=_one),
+        "cancers": Chart(F.col("cancer_category"), 1, shown=False, distinct="cancers", of=_one),
     }
     return page(programs, charts, {"biomarker_pct": ("total", "mentioned")})
 
@@ -165,14 +171,14 @@ def _literature_charts(top: int, trends: int) -> dict[str, Chart]:
     year = F.col("year").cast("string")
     trend = {"series": year, "by": "year", "most": trends, "once": True, "grid": "year"}
     return {
-        "year": Chart(_one(year), order=[]),
+        "year": Chart(year, order=[], of=_one),
         "modality": Chart(F.col("modality_list"), top, **trend),
-        "target": Chart(F.array_remove(_strings(F.col("target_list")), "Unknown"), top, **trend),
+        "target": Chart(F.col("target_list"), top, of=lambda ts: F.array_remove(_strings(ts), "Unknown"), **trend),
         "biomarker": Chart(F.col("biomarker_list"), top, **trend),
         "cancer": Chart(F.col("cancer_list"), top, distinct="cancers", **trend),
         "company": Chart(F.col("companies_normalized"), top, distinct="companies"),
-        "institution": Chart(_one(N.institution(F.col("affiliation"))), top),
-        "country": Chart(_one(N.country(F.col("country_raw"))), top),
+        "institution": Chart(F.col("affiliation"), top, of=lambda c: _one(N.institution(c))),
+        "country": Chart(F.col("country_raw"), top, of=lambda c: _one(N.country(c))),
         "total": Chart(_one(F.lit("records")), series=F.when(F.size("modality_list") > 0, "therapeutic")),
         "dataset": Chart(_one(F.when(F.col("conference") != "", F.concat_ws(" ", "conference", year))), 1, shown=False, distinct="datasets"),
     }
@@ -182,14 +188,14 @@ def conference_page(literature: DataFrame, top: int = 10, trends: int = 6) -> Da
     """QRY-07, QRY-08: distributions, trends of the ``trends`` largest names, years by conference, their totals and cards of conference records."""
     charts = _literature_charts(top, trends) | {
         "conference": Chart(_one(F.col("conference")), order=[], series=F.col("year").cast("string"), by="year"),
-        "phase": Chart(P.phase_options(F.col("phases")), order=L.PHASE_ORDER),
+        "phase": Chart(F.col("phases"), of=P.phase_options, order=L.PHASE_ORDER),
     }
     return page(literature, charts, {"therapeutic_pct": ("total", "therapeutic")})
 
 
 def publication_page(publications: DataFrame, top: int = 10, trends: int = 6) -> DataFrame:
     """QRY-09: as the conference page, with journals and kinds of publication in place of conferences and phases, and one series of years."""
-    charts = _literature_charts(top, trends) | {"journal": Chart(_one(F.col("journal")), top), "publication_type": Chart(_one(F.col("presentation_type")), top)}
+    charts = _literature_charts(top, trends) | {"journal": Chart(F.col("journal"), top, of=_one), "publication_type": Chart(F.col("presentation_type"), top, of=_one)}
     return page(publications, charts, {"therapeutic_pct": ("total", "therapeutic")})
 
 
@@ -207,11 +213,11 @@ def landing_page(programs: DataFrame, literature: DataFrame, known: DataFrame, s
     of_records = {"kind": F.when(F.col("is_pub"), "publications").otherwise("abstracts"), "cancers": F.col("cancer_list"), "modalities": F.col("modality_list"), "targets": F.col("target_list"), "biomarkers": F.col("biomarker_list"), "companies": F.col("companies_normalized")}
     both = programs.select(*[v.alias(k) for k, v in of_programs.items()]).union(literature.select(*[v.alias(k) for k, v in of_records.items()]))
     charts = {
-        "kind": Chart(_one(F.col("kind"))),
+        "kind": Chart(F.col("kind"), of=_one),
         "cancers": Chart(F.col("cancers"), order=[]),
         "modalities": Chart(F.col("modalities"), order=[]),
-        "targets": Chart(F.array_remove(F.transform("targets", known_target), "Unknown"), most["targets"], rest=False, distinct="targets"),
-        "biomarkers": Chart(N.biomarkers(F.col("biomarkers")), most["biomarkers"], rest=False, distinct="biomarkers"),
+        "targets": Chart(F.col("targets"), most["targets"], rest=False, distinct="targets", of=lambda ts: F.array_remove(F.transform(ts, known_target), "Unknown")),
+        "biomarkers": Chart(F.col("biomarkers"), most["biomarkers"], rest=False, distinct="biomarkers", of=N.biomarkers),
         "companies": Chart(F.col("companies"), most["companies"], rest=False, distinct="companies"),
     }
     none = F.lit(None).cast("string")
@@ -228,16 +234,21 @@ def landing_page(programs: DataFrame, literature: DataFrame, known: DataFrame, s
     fresh = K.missing_from(literature.where("is_pub"), known, "uid")
     papers = fresh.select(F.lit("new_publications").alias("part"), "uid", F.coalesce(F.nullif("title", F.lit("")), F.col("uid")).alias("name"), F.col("journal").alias("detail"), "target_list")
 
-    tallies = trials.groupBy("part").agg(F.count("*").alias("n")).union(papers.groupBy("part").agg(F.count("*").alias("n")))
+    # programs by target, of all and of each list of the news: read once for the numbers of the news and the emerging targets
+    in_list = lambda k: F.count_if(F.coalesce(kind == k, F.lit(False))).alias(k)
+    by_target = programs.groupBy(F.col("target").alias("raw")).agg(F.count("*").alias("all"), in_list("new_trials"), in_list("updated_trials"))
+    tally = by_target.select(F.explode(F.array(*[F.struct(F.lit(k).alias("part"), F.col(k).alias("n")) for k in ("new_trials", "updated_trials")])).alias("t")).select("t.*").where("n > 0")
+    tallies = tally.groupBy("part").agg(F.sum("n").alias("n")).union(papers.groupBy("part").agg(F.count("*").alias("n")))
     counts = tallies.select(F.lit("news").alias("part"), F.lit(None).cast("int").alias("place"), F.col("part").alias("name"), none.alias("detail"), F.col("n").alias("count"))
     salted = lambda df, *key: df.withColumn("salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)))
     line = lambda df: df.select("part", F.col("rank").cast("int").alias("place"), "name", "detail", F.lit(None).cast("long").alias("count"))
     newest = K.cut_to(salted(trials.where("part = 'new_trials'"), "name", "detail"), "part", [F.desc("date"), F.asc("name"), F.asc("detail")], listed)
     new_papers = K.cut_to(salted(papers, "uid"), "part", [F.asc("uid")], listed)
 
-    week = trials.select("target").union(papers.select(F.explode("target_list").alias("target")).select(known_target(F.col("target"))))
-    corpus = programs.select(target.alias("target")).union(literature.select(F.explode("target_list").alias("target")).select(known_target(F.col("target"))))
-    lead = K.emerging_targets(week, corpus, chips)
+    in_week, zero = F.col("new_trials") + F.col("updated_trials"), F.lit(0).cast("long")
+    of_lists = lambda df: df.select(F.explode("target_list").alias("raw")).groupBy("raw").agg(F.count("*").alias("n"))
+    seen = by_target.select("raw", in_week.alias("this_week"), F.col("all").alias("corpus_total")).union(of_lists(papers).select("raw", "n", zero)).union(of_lists(literature).select("raw", zero, "n"))
+    lead = K.emerging_of_counts(seen.select(known_target(F.col("raw")).alias("target"), "this_week", "corpus_total"), chips)
     place = F.row_number().over(Window.orderBy("corpus_total", F.desc("this_week"), "target"))  # of as many rows as there are chips
     emerging = lead.select(F.lit("emerging_targets").alias("part"), place.cast("int").alias("place"), F.col("target").alias("name"), F.col("this_week").cast("string").alias("detail"), F.col("corpus_total").alias("count"))
     return reduce(DataFrame.unionByName, [facets, counts, line(newest), line(new_papers), emerging])
