@@ -7,8 +7,11 @@ from therascape import registry, registry_pages
 from therascape.functions import normalize as N
 from therascape.functions import text as X
 from therascape.llm import divergence
+from therascape.operators import aggregates as A
+from therascape.operators import dashboards as B
 from therascape.operators import links as K
 from therascape.operators import merges as M
+from therascape.operators import pages as P
 
 
 def equals_sql(spark, name, folder, tables):
@@ -77,3 +80,33 @@ def test_terms_are_sorted_by_number_before_name(spark):
     assert "Sort [xxhash64(lang" in runs._jdf.queryExecution().optimizedPlan().toString()
     got = sorted((bytes(r.term), bytes(r.source), r.n, r.in_lang) for r in runs.collect())
     assert got == [(b"x", b"a", 2, 2), (b"y", b"a", 1, 2), (b"y", b"b", 1, 2), (b"z", b"b", 1, 1)]
+
+
+def test_rows_are_counted_by_their_own_columns_before_names_are_made(spark):
+    rows = [("a", ["BM1", "bm1"], "a"), ("a", ["BM1", "bm1"], None), (None, None, "a"), ("b", [], "a")]
+    df = spark.createDataFrame(rows, "x string, xs array<string>, y string")
+    got = sorted((r.of, str(r.x_0), str(r.xs_0), str(r.xs_1), r.n) for r in P.by_own_columns(df, {"x": [F.col("x")], "xs": [F.col("xs"), F.col("y")]}).collect())
+    assert got == sorted([("x", "a", "None", "None", 2), ("x", "b", "None", "None", 1), ("x", "None", "None", "None", 1)] + [("xs", "None", str(xs), str(y), 1) for _, xs, y in rows])
+    options = P._options(df, {"xs": (F.col("xs"), lambda xs: F.array_distinct(F.transform(xs, F.lower))), "y": (F.col("y"), F.array)})
+    assert sorted(map(tuple, options.collect())) == [("xs", "bm1", 2), ("y", "a", 3)]
+    plan = options._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" in plan[plan.index("Generate") :]  # names are taken apart above the count
+
+
+def test_charts_count_equal_rows_at_once(spark):
+    df = spark.createDataFrame([(["a", "a", "b"], "s"), (["a", "a", "b"], "s"), (["a"], None)], "xs array<string>, s string")
+    rows = B.counted(df, {"c": B.Chart(F.col("xs"), series=F.col("s"), once=True)})
+    assert sorted((r.name, r["count"], sorted((str(p.series), p.n, p.rows) for p in r.parts)) for r in rows.collect()) == [("a", 5, [("None", 1, 1), ("s", 4, 2)]), ("b", 2, [("s", 2, 2)])]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" in plan[plan.index("Generate") :]
+    counts = spark.createDataFrame([("T", 3, 5), ("S", 1, 7), ("T", 0, 1), ("Unknown", 9, 9), ("R", 0, 1)], "target string, this_week long, corpus_total long")
+    assert [tuple(r) for r in K.emerging_of_counts(counts, 2).collect()] == [("T", 3, 6), ("S", 1, 7)]
+
+
+def test_a_regimen_shuffles_each_value_once(spark):
+    data = [("d", "c", "P", "L", True, None, "N1", ["u"]), ("d", "c", "P", "L", True, "2020", "N1", ["v", None]), ("d", "c", "P", "L", True, "2020", "N2", None)]
+    df = spark.createDataFrame(data, "drug_name string, company string, phase string, cancer_category string, combo boolean, done string, nct_id string, ids array<string>")
+    out = A.dedup_by_regimen(df, ["combo"], "done", ["nct_id"], ["ids"])
+    assert [(r.done, r.nct_id, r.ids, r.n) for r in out.collect()] == [("2020", "N2", ["v", None, "u"], 3)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by" not in plan and "RepartitionByExpression" in plan
