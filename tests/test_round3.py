@@ -110,3 +110,11 @@ def test_a_regimen_shuffles_each_value_once(spark):
     assert [(r.done, r.nct_id, r.ids, r.n) for r in out.collect()] == [("2020", "N2", ["v", None, "u"], 3)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "max_by" not in plan and "RepartitionByExpression" in plan
+
+
+def test_tags_of_long_texts_equal_the_rules(spark):
+    texts = [*registry._TEXTS, "aMET met", "İRET", "ret", "x-alk.", "bcl-2", "éalké", "breast  K", "HNSCC_", "vaccine mRNA", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    for r in df.select(F.struct(*X.text_tags(t).values()).alias("a"), F.struct(X.modality(t), X.target(t), X.biomarkers(t), X.cancer_category(t)).alias("b")).collect():
+        assert tuple(r.a) == tuple(r.b)
