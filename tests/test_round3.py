@@ -118,3 +118,29 @@ def test_tags_of_long_texts_equal_the_rules(spark):
     t = F.col("t")
     for r in df.select(F.struct(*X.text_tags(t).values()).alias("a"), F.struct(X.modality(t), X.target(t), X.biomarkers(t), X.cancer_category(t)).alias("b")).collect():
         assert tuple(r.a) == tuple(r.b)
+
+
+ODD = ["ſa pharma", "x Ltd, \t", "İnc. genomİcs", "Kite Kite Pharma", "MERCK KGaA", "Acme Bio, Université", "Acme Bio UNIVERSITÉ", "Acme co" + " " * 90, "co_ab", "éco", "", " ; | ", "Roche;Acme Holdings Ltd", "bıo", "KRAS  mutation", "EGFR exon ١٩", "MET  fuſion .",
+       "KRAS  wild-type , ", "A12B ;", "EGFRm", "egfrm", "x 3+. ", "copy\t number", "IHC", "a\n\n b", "HER-2 / neu", "BCG Vaccİne", "Vaccine code VB10.NEO", "K-RAS GAIN", "3+", "fiſh", None]
+
+
+def test_searches_before_the_rules_change_nothing(spark):
+    df = spark.createDataFrame([(t,) for t in [*ODD, *("word " * 90 + t for t in ODD if t is not None)]], "t string")
+    t = F.col("t")
+    pairs = [(N.companies, N.companies_of_text), (N.biomarker, N.biomarker_of_text), (N.biomarker_state, lambda c: N.biomarker_state(c, N.tidy_text))]
+    pairs.append((lambda c: M.fixed_modality(c, F.lit("Unknown")), lambda c: M.fixed_modality_of_text(c, F.lit("Unknown"))))
+    for slow, fast in pairs:
+        for r in df.select("t", slow(t).alias("a"), fast(t).alias("b")).collect():
+            assert r.a == r.b, r
+    # a legal form is sought at a name's end first
+    assert df.limit(1).select(N.companies(F.lit("Acme Bio" + " Holdings, Ltd" * 9))).first()[0] == ["Acme Bio"]
+
+
+def test_rules_of_long_texts_search_whole_columns(spark, tmp_path):
+    for name, c in (("documents", "text"), ("supplier", "s_name"), ("nation", "n_name")):
+        spark.createDataFrame([("Roche\n a  b",)], f"{c} string").withColumn("doc_id", F.lit(1)).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.createDataFrame([("a", "b", "c")], "p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    plan = lambda q: registry.QUERIES[q](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    for q in ("nrm_11_companies_tables", "nrm_11_companies", "nrm_06_biomarker", "mrg_07_gap_fix_tables", "scl_s03_text_tags_tables"):
+        assert "ArrowEvalPython" in plan(q), q
+    assert plan("nrm_11_companies").count("Aggregate [") == 1  # names were counted twice
