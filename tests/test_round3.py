@@ -144,3 +144,15 @@ def test_rules_of_long_texts_search_whole_columns(spark, tmp_path):
     for q in ("nrm_11_companies_tables", "nrm_11_companies", "nrm_06_biomarker", "mrg_07_gap_fix_tables", "scl_s03_text_tags_tables"):
         assert "ArrowEvalPython" in plan(q), q
     assert plan("nrm_11_companies").count("Aggregate [") == 1  # names were counted twice
+
+
+def test_terms_of_one_number_are_told_apart(spark):
+    import pyarrow as pa
+
+    rows = [(1, b"en", b"x", b"a", 1, 2), (1, b"en", b"y", b"a", 1, 1), (1, b"en", b"x", b"a", 1, 3), (1, b"en", b"x", b"b", 1, 1), (2, b"en", b"z", b"a", 1, 1)]
+    batches = [pa.table(list(zip(*part)), names=["number", "lang", "term", "source", "docs", "n"]).to_batches()[0] for part in (rows[:3], rows[3:])]
+    got = [tuple(r.values()) for b in divergence._run_lengths(1)(iter(batches)) for r in b.to_pylist()]
+    assert got == [(b"en", b"x", b"a", 5, 6, True), (b"en", b"x", b"b", 1, 6, False), (b"en", b"y", b"a", 1, 1, True), (b"en", b"z", b"a", 1, 1, True)]
+    docs = spark.createDataFrame([("en", "a", "x y")], "lang string, source string, text string")
+    # one whole number is the only key, so rows are sorted without comparing them
+    assert len(divergence.term_runs(docs, 1)._jdf.queryExecution().optimizedPlan().toString().split("Sort [")[1].split("]")[0].split("NULLS")) == 2

@@ -1,8 +1,8 @@
 """How the sources of a language differ in their words: a sort-based streaming audit (operator 11).
 
 A task folds stretches of about ``STRETCH_BYTES`` of text into one row a (lang, term, source), with its documents and occurrences;
-these rows, far fewer than the words, are repartitioned by (lang, term) and sorted by (number of the term, lang, term, source, stretch), and a run-length
-scan gives each term's document frequency and its count in each source.  So a word of every document brings one row a stretch
+these rows, far fewer than the words, are repartitioned by (lang, term) and sorted by the term's number (a hash of 64 bits), and a run-length
+scan, which tells terms of one number apart by their names, gives each term's document frequency and its count in each source.  So a word of every document brings one row a stretch
 and source, no task holds more than the counts of one term by source, and no text is shuffled.  A second scan, over the kept terms in the
 same order, adds up what each term's run says of pairs of sources and keeps each group's best terms.
 
@@ -46,10 +46,7 @@ _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, text) to (lang, term, source, stretch, docs, n): one row a term and source of each stretch of texts."""
-    from pyspark import TaskContext
-
-    stretch = TaskContext.get().partitionId() << 32
+    """(lang, source, text) to (lang, term, source, docs, n): one row a term and source of each stretch of texts."""
     docs: dict[tuple, Counter] = defaultdict(Counter)
     seen: dict[tuple, Counter] = defaultdict(Counter)
     size = 0
@@ -63,7 +60,6 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     "lang": pa.array([lang] * k, pa.binary()),
                     "term": pa.array(list(terms), pa.binary()),
                     "source": pa.array([source] * k, pa.binary()),
-                    "stretch": pa.array([stretch] * k, pa.int64()),
                     "docs": pa.array(list(map(docs[lang, source].__getitem__, terms)), pa.int64()),
                     "n": pa.array(list(terms.values()), pa.int64()),
                 }
@@ -81,7 +77,7 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if size >= STRETCH_BYTES:
                 yield from out()
                 docs.clear(), seen.clear()
-                stretch, size = stretch + 1, 0
+                size = 0
     yield from out()
 
 
@@ -91,14 +87,11 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def _collapsed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Sorted (lang, term, source, docs, n), each run of equal names within a batch as one tuple."""
+    """(number, lang, term, source, docs, n), sorted by number, the rows of equal names within a batch added up."""
     for batch in batches:
-        names, opens = batch.columns[:3], np.ones(batch.num_rows, bool)
-        if batch.num_rows > 1:
-            opens[1:] = np.any([pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False) for c in names], axis=0)
-        at = np.flatnonzero(opens)
-        if len(at):
-            yield from zip(*(c.take(pa.array(at)).to_pylist() for c in names), *(np.add.reduceat(c.to_numpy(), at).tolist() for c in batch.columns[3:]))
+        t = pa.Table.from_batches([batch]).group_by(["number", "lang", "term", "source"], use_threads=False).aggregate([("docs", "sum"), ("n", "sum")])
+        t = t.take(pa.array(np.argsort(t["number"].to_numpy(), kind="stable")))  # groups come in no order
+        yield from zip(*(t[c].to_pylist() for c in ("number", "lang", "term", "source", "docs_sum", "n_sum")))
 
 
 def _emit(rows: Iterator[tuple], schema: pa.Schema, most: int = 20_000) -> Iterator[pa.RecordBatch]:
@@ -116,22 +109,22 @@ _RUNS = pa.schema([("lang", pa.binary()), ("term", pa.binary()), ("source", pa.b
 
 
 def _run_lengths(least: int):
-    """Sorted (lang, term, source, docs, n) to the kept runs: (lang, term, source, n, in_lang, opens), one row a source of each term."""
+    """(number, lang, term, source, docs, n), sorted by number, to the kept runs: (lang, term, source, n, in_lang, opens), one row a source of each term."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def kept() -> Iterator[tuple]:
-            for (lang, term), run in groupby(_collapsed(batches), lambda r: (r[0], r[1])):
-                frequency, counts = 0, []
-                for source, part in groupby(run, lambda r: r[2]):
-                    n = 0
-                    for r in part:
-                        frequency += r[3]
-                        n += r[4]
-                    counts.append((source, n))
-                if frequency >= least:
-                    whole = sum(n for _, n in counts)
-                    for k, (source, n) in enumerate(counts):
-                        yield lang, term, source, n, whole, k == 0
+            for _, run in groupby(_collapsed(batches), lambda r: r[0]):
+                frequency: Counter = Counter()
+                counts: dict[tuple, Counter] = defaultdict(Counter)
+                for _, lang, term, source, docs, n in run:
+                    frequency[lang, term] += docs
+                    counts[lang, term][source] += n
+                # one term, or the few of one number
+                for (lang, term), mine in counts.items():
+                    if frequency[lang, term] >= least:
+                        whole = sum(mine.values())
+                        for k, (source, n) in enumerate(mine.items()):
+                            yield lang, term, source, n, whole, k == 0
 
         yield from _emit(kept(), _RUNS)
 
@@ -236,10 +229,11 @@ def term_runs(docs: DataFrame, least_docs: int = LEAST_DOCS, text_col: str = "te
     """(lang, term, source, n, in_lang, opens): the count of each kept term in each source that has it and in its language; ``opens`` marks a term's first row."""
     text = lambda c: F.coalesce(docs[c].cast("string"), F.lit("")).cast("binary")
     src = docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), text(text_col).alias("text"))
-    folded = src.mapInArrow(_folded, "lang binary, term binary, source binary, stretch long, docs long, n long")
-    # a term's number comes first, as names begin alike and would be compared byte by byte; terms of one number are told apart by name
-    dealt = folded.repartition("lang", "term").sortWithinPartitions(F.xxhash64("lang", "term"), "lang", "term", "source", "stretch")
-    return dealt.select("lang", "term", "source", "docs", "n").mapInArrow(_run_lengths(least_docs), "lang binary, term binary, source binary, n long, in_lang long, opens boolean")
+    folded = src.mapInArrow(_folded, "lang binary, term binary, source binary, docs long, n long")
+    # sorted by a term's number alone, which takes no comparison of rows; terms of one number are told apart by name in the scan
+    number = F.xxhash64("lang", "term")
+    dealt = folded.repartition("lang", "term").sortWithinPartitions(number)
+    return dealt.select(number.alias("number"), "lang", "term", "source", "docs", "n").mapInArrow(_run_lengths(least_docs), "lang binary, term binary, source binary, n long, in_lang long, opens boolean")
 
 
 def groups_of(docs: DataFrame, runs: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
