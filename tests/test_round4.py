@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from therascape.functions import normalize as N
+from therascape.operators import dashboards as B
 
 
 def test_lists_of_biomarkers_are_brought_to_one_form(spark):
@@ -11,3 +12,8 @@ def test_lists_of_biomarkers_are_brought_to_one_form(spark):
     df = spark.createDataFrame([(names,), ([],), (None,)], "names array<string>")
     assert [r[0] for r in df.select(N.biomarkers(F.col("names"))).collect()] == [list(dict.fromkeys(x for x in one if x is not None)), [], []]
     assert "KRAS" in one
+
+
+def test_charts_of_normalised_biomarkers(spark):
+    df = spark.createDataFrame([(["KRAS  G12C", "KRAS mutation"],), (["KRAS"],), (None,)], "xs array<string>")
+    assert [(r.name, r["count"]) for r in B.counted(df, {"c": B.Chart(F.col("xs"), of=N.biomarkers)}).collect()] == [("KRAS", 2)]
