@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from therascape.functions import normalize as N
 from therascape.operators import dashboards as B
+from therascape.sources import store as S
 
 
 def test_lists_of_biomarkers_are_brought_to_one_form(spark):
@@ -17,3 +18,8 @@ def test_lists_of_biomarkers_are_brought_to_one_form(spark):
 def test_charts_of_normalised_biomarkers(spark):
     df = spark.createDataFrame([(["KRAS  G12C", "KRAS mutation"],), (["KRAS"],), (None,)], "xs array<string>")
     assert [(r.name, r["count"]) for r in B.counted(df, {"c": B.Chart(F.col("xs"), of=N.biomarkers)}).collect()] == [("KRAS", 2)]
+
+
+def test_lite_programs_with_biomarkers(spark):
+    df = spark.createDataFrame([("T", ["KRAS  G12C", None, "KRAS mutation"]), (None, None)], "target string, biomarkers array<string>")
+    assert [tuple(r) for r in S.lite_programs(df, ["target", "biomarkers"]).collect()] == [("T", ["KRAS"]), ("Unknown", [])]
