@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from therascape.llm.common import BLOCK_SCHEMA, materialize, pack, records, table, unpacked
+from therascape.llm.common import BLOCK_SCHEMA, LARGE_ROWS, materialize, pack, records, table, unpacked
 
 WINDOW = 10
 SAMPLE = 8
@@ -286,7 +286,7 @@ def indexed(docs: DataFrame, text_col: str = "text") -> DataFrame:
             texts = unpacked(row["data"]).field(text_col).cast(pa.binary()).to_pylist()
             yield pa.record_batch({k: pa.array([v], pa.int64() if isinstance(v, int) else pa.binary()) for k, v in (row | {"index": index_of(texts)}).items()})
 
-    return materialize(src.mapInArrow(run, out), "fm-shards")
+    return materialize(src.mapInArrow(run, out), "fm-shards", **LARGE_ROWS)
 
 
 _FOUND = "block long, spans array<array<struct<first:long,end:long>>>, items array<array<string>>"
