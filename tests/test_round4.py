@@ -5,7 +5,8 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from therascape.functions import normalize as N
-from therascape.llm import decontaminate
+from therascape.llm import decontaminate, toxicity
+from therascape.llm.features import word_counts
 from therascape.operators import dashboards as B
 from therascape.sources import store as S
 
@@ -37,3 +38,17 @@ def test_shards_are_written_in_small_pieces(spark, tmp_path):
     assert sum(m.num_rows for m in found) > 4
     # a reader and its codec hold a row group or a page at a time
     assert all(m.row_group(k).num_rows <= 3 for m in found for k in range(m.num_row_groups))
+
+
+def test_the_driver_gets_the_fitted_model_alone(spark, monkeypatch):
+    rows = [(k, "bad worse word" if k % 2 else "fine good word", k % 2) for k in range(400)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, y int").drop("y"), spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+
+    def here(*_):
+        raise AssertionError("fitted in the driver")
+
+    monkeypatch.setattr(toxicity.Model, "_descend", here)
+    model = toxicity.fit(docs, labels)
+    over = lambda t: model.over(*word_counts(t))[0]
+    assert over(b"worse bad") > 0.9 and over(b"good fine") < 0.1
+    assert toxicity.fit(docs, labels.limit(0)).column is None

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from therascape.llm.common import BLOCK_SCHEMA, materialize, pack, records, shared_dir, shuffle_width, table, unpacked
+from therascape.llm.common import BLOCK_SCHEMA, LARGE_ROWS, materialize, pack, records, shared_dir, shuffle_width, table, unpacked
 
 WIDTH = 200
 #: Perfect difference set of order 11: every nonzero difference modulo 133 occurs once.
@@ -258,7 +258,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", width: int = WIDTH,
     packed = src.mapInArrow(pack(text_col, BLOCK_BYTES), BLOCK_SCHEMA)
     buckets, name = shuffle_width(spark), f"therascape_suffix_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/therascape/suffix-blocks-{uuid.uuid4().hex}"
-    packed.repartition(buckets, "block").write.bucketBy(buckets, "block").format("parquet").option("path", path).saveAsTable(name)
+    packed.repartition(buckets, "block").write.bucketBy(buckets, "block").format("parquet").options(**LARGE_ROWS).option("path", path).saveAsTable(name)
     blocks = spark.table(name)
     size = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     n_buckets = max(buckets, -(-size * 8 * len(COVER) // (COVER_MOD * BUCKET_BYTES)))

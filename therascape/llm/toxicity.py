@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from therascape.llm.common import table
+from therascape.llm.common import free_memory, table
 from therascape.llm.features import SIZE, held_out, training_rows, word_counts
 
 TRAIN_ROWS = 8000
@@ -62,13 +62,28 @@ class Model:
         chi[(a * (n - toxic) <= TELLING * (b + 1) * toxic) | (a < LEAST)] = 0  # only words that tell of toxicity
         best = np.argsort(-chi, kind="stable")[:FEATURES]
         best = best[chi[best] > 10.8]  # 0.001 level, one degree of freedom
-        self.column = np.full(SIZE, -1, np.int32)
-        self.column[best] = np.arange(len(best))
+        self._take(best)
         told = np.array([(1 + np.log(k[self.column[s] >= 0])).sum() for s, k in zip(slots, counts, strict=True)])
         cuts = np.quantile(told[y == 1], [1 / 3, 2 / 3])
         grade = np.where(y == 1, 1 + (told > cuts[0]) + (told > cuts[1]), 0)
         self._descend(*self._matrix(slots, counts), grade, len(best))
 
+    def _take(self, best: np.ndarray) -> None:
+        self.best, self.column = best, np.full(SIZE, -1, np.int32)
+        self.column[best] = np.arange(len(best))
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        """What is kept of the model; ``restored`` makes it again."""
+        return {} if self.column is None else {"best": self.best.astype("<i8"), "w": self.w.astype("<f8"), "theta": self.theta.astype("<f8")}
+
+    @classmethod
+    def restored(cls, a: dict[str, np.ndarray]) -> Model:
+        model = cls([], [], np.zeros(0, np.int64))
+        if a:
+            model._take(a["best"])
+            model.w, model.theta = a["w"], a["theta"]
+        return model
+
     def _matrix(self, slots: list[np.ndarray], counts: list[np.ndarray]):
         cols = [self.column[s] for s in slots]
         row = np.repeat(np.arange(len(slots)), [int((c >= 0).sum()) for c in cols])
@@ -119,11 +134,22 @@ class Model:
         return _sigmoid(self.w[c[c >= 0]] @ (1 + np.log(counts[c >= 0])) - self.theta)
 
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [(x.as_py(), y.as_py(), z.as_py()) for b in batches for x, y, z in zip(b.column("slots"), b.column("counts"), b.column("y"), strict=True)]
+    rows.sort()
+    ints = lambda k: [np.frombuffer(r[k], "<i4") for r in rows]
+    found = Model(ints(0), ints(1), np.array([r[2] for r in rows], np.int64)).arrays()
+    del rows
+    free_memory()
+    if found:
+        yield pa.record_batch({k: pa.array([v.tobytes()], pa.binary()) for k, v in found.items()})
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TRAIN_ROWS) -> Model:
-    rows = training_rows(docs, labels, label, most).select("y", "text").mapInArrow(_count_lists, "y int, slots binary, counts binary").collect()
-    rows.sort(key=lambda r: (bytes(r["slots"]), bytes(r["counts"]), r["y"]))
-    ints = lambda b: np.frombuffer(b, "<i4")
-    return Model([ints(r["slots"]) for r in rows], [ints(r["counts"]) for r in rows], np.array([int(r["y"]) for r in rows], np.int64))
+    """The model of at most ``most`` rows, fitted in one task; the driver gets its features and weights alone."""
+    rows = training_rows(docs, labels, label, most).select("y", "text").mapInArrow(_count_lists, "y int, slots binary, counts binary")
+    found = rows.repartition(1).mapInArrow(_fitted, "best binary, w binary, theta binary").first()
+    return Model.restored({k: np.frombuffer(v, "<i8" if k == "best" else "<f8") for k, v in found.asDict().items()} if found else {})
 
 
 def graded(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
